@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import bpe, quality
+from quillgrid.llm import bpe, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_bpe": bpe.query,
         "op8_quality": quality.query,
+        "op9_toxicity": toxicity.query,
     }
 
 

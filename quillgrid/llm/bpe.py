@@ -9,9 +9,8 @@ a state for each token and is filled as words reach it: an entry is the result o
 the gadgets in rank order and never changes once computed, so executors that fill
 different parts agree.
 
-A word is encoded left to right. The entry for a prefix is its last token, the one
-suffix token that the state of the shorter prefix lets follow; the trie of tokens
-lists the suffixes. Decoding follows the arcs' ids and emits their labels.
+A word is encoded left to right along the automaton's arcs; a single path spells it.
+Decoding follows the arcs' ids and emits their labels.
 
 Cases: null text counts as empty; an empty text has no ids; a text that spells a
 special token yields its id, as the library does by default; repeated rows are
@@ -36,6 +35,8 @@ from quillgrid.llm.common import table
 
 #: Words kept with their encoding by one Python worker; the table starts anew beyond it.
 CACHE_WORDS = 300_000
+#: Entries of the transition table kept by one Python worker, likewise.
+TABLE_ENTRIES = 1_000_000
 #: A word longer than this is not kept.
 CACHE_LENGTH = 64
 
@@ -54,16 +55,15 @@ class MergeAutomaton:
         self.vocab, self.end = vocab, end
         self.rank = {pair: i for i, pair in enumerate(merges)}
         self.made: dict[str, tuple[int, str, str]] = {}
-        self.follows: dict[tuple[str, str], bool] = {}
-        self.longest = 1
-        sizes: dict[str, int] = {}
+        self.follows: dict[int, bool] = {}
         for i, (u, v) in enumerate(merges):
             w = u + v
-            sizes[w] = sizes.get(u, 1) + sizes.get(v, 1)
             # The gadget yields a reachable state only if u still lets v follow when its turn comes.
             if w not in self.made and self._lets(u, v, i):
                 self.made[w] = (i, u, v)
-                self.longest = max(self.longest, sizes[w])
+        parts = {x for pair in merges for x in pair}
+        self.state = {t: i for t, i in vocab.items() if t in self.made or t not in parts or len(t.removesuffix(end)) == 1}
+        self.longest = max(len(t.removesuffix(end)) for t in self.state)
 
     def _lets(self, x: str, y: str, turn: int) -> bool:
         """Whether state x lets token y follow once the gadgets before turn are applied: undoes gadgets, latest first."""
@@ -83,32 +83,39 @@ class MergeAutomaton:
 
     def lets(self, x: str, y: str) -> bool:
         """The table's entry for (x, y)."""
-        key = (x, y)
+        key = self.state[x] * len(self.state) + self.state[y]
         got = self.follows.get(key)
         if got is None:
-            if len(self.follows) >= 2_000_000:
+            if len(self.follows) >= TABLE_ENTRIES:
                 self.follows.clear()
             got = self.follows[key] = self._lets(x, y, len(self.rank))
         return got
 
-    def encode_word(self, symbols: list[str]) -> list[str]:
-        """The tokens of one word, given as symbols of which the last has the end mark. Time: length times the longest token."""
-        last: list[str] = []
-        sizes: list[int] = []
-        for i in range(len(symbols)):
-            for size in range(min(i + 1, self.longest), 0, -1):
-                token = "".join(symbols[i + 1 - size : i + 1])
-                if size > 1 and token not in self.made:
-                    continue
-                if i + 1 == size or self.lets(last[i - size], token):
-                    last.append(token)
-                    sizes.append(size)
+    def encode_word(self, symbols: str) -> list[str]:
+        """The tokens of one word, given as one symbol a byte; its last gets the end mark.
+
+        Follows the automaton's arcs, longest first. A position that one path has left
+        without reaching the end is dead for all, as only one path reaches it; so time is
+        the word's length times the longest token.
+        """
+        n, state, path, starts = len(symbols), self.state, [], [0]
+        dead: set[int] = set()
+        limit = self.longest
+        while starts[-1] < n:
+            at = starts[-1]
+            for size in range(min(limit, n - at), 0, -1):
+                to = at + size
+                token = symbols[at:to] if to < n else symbols[at:] + self.end
+                if token in state and to not in dead and (not path or self.lets(path[-1], token)):
+                    path.append(token)
+                    starts.append(to)
+                    limit = self.longest
                     break
-        out, i = [], len(symbols) - 1
-        while i >= 0:
-            out.append(last[i])
-            i -= sizes[i]
-        return out[::-1]
+            else:
+                dead.add(at)
+                starts.pop()
+                path.pop()
+        return path
 
 
 class WordTokenizer:
@@ -140,29 +147,25 @@ class WordTokenizer:
 
     def _word(self, word: str) -> tuple[str, int, str]:
         """(ids, their number, labels) of a word, the ids and labels joined by spaces."""
-        symbols = [self.symbols[b] for b in word.encode()]
-        symbols[-1] += self.automaton.end
-        tokens = self.automaton.encode_word(symbols)
+        tokens = self.automaton.encode_word("".join([self.symbols[b] for b in word.encode()]))
         ids = [self.vocab[t] for t in tokens]
-        return " ".join(map(str, ids)), len(ids), " ".join(self.labels[i] for i in ids)
+        got = " ".join(map(str, ids)), len(ids), " ".join([self.labels[i] for i in ids])
+        if len(word) <= CACHE_LENGTH:
+            if len(self.cache) >= CACHE_WORDS:
+                self.cache.clear()
+            self.cache[word] = got
+        return got
 
-    def words_of(self, text: str) -> Iterator[tuple[str, int, str]]:
+    def words_of(self, text: str) -> list[tuple[str, int, str]]:
         """The encodings of a text's words and special tokens, in order."""
-        parts = self.at_special.split(text) if "<|" in text else [text]
-        for part in parts:
+        kept, out = self.cache.get, []
+        for part in self.at_special.split(text) if "<|" in text else [text]:
             if part in self.special:
                 i = self.special[part]
-                yield str(i), 1, self.labels[i]
-                continue
-            for word in self.words.findall(self.normalise(part)):
-                got = self.cache.get(word)
-                if got is None:
-                    got = self._word(word)
-                    if len(word) <= CACHE_LENGTH:
-                        if len(self.cache) >= CACHE_WORDS:
-                            self.cache.clear()
-                        self.cache[word] = got
-                yield got
+                out.append((str(i), 1, self.labels[i]))
+            else:
+                out += [kept(w) or self._word(w) for w in self.words.findall(self.normalise(part))]
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for ids, _, _ in self.words_of(text or "") for i in ids.split(" ")]
@@ -205,7 +208,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, *, text: str = "t
         for batch in batches:
             rows = []
             for value in batch[text]:
-                got = list(tok.words_of(value)) if isinstance(value, str) else []
+                got = tok.words_of(value) if isinstance(value, str) else []
                 joined, labels = " ".join([g[0] for g in got]), " ".join([g[2] for g in got])
                 row = [sum([g[1] for g in got]), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(labels.encode()).hexdigest()]
                 rows.append([*row, list(map(int, joined.split())), labels] if ids else row)

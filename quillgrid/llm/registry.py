@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import bpe, quality, toxicity
+from quillgrid.llm import bpe, minhash, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_bpe": bpe.query,
+        "op7_minhash": minhash.query,
         "op8_quality": quality.query,
         "op9_toxicity": toxicity.query,
     }

@@ -6,17 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import bpe, minhash, quality, toxicity
+from quillgrid.llm import bpe, minhash, mixing, pii, quality, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_pii": pii.query,
         "op5_bpe": bpe.query,
+        "op6_token_counts": token_counts.query,
         "op7_minhash": minhash.query,
         "op8_quality": quality.query,
         "op9_toxicity": toxicity.query,
+        "op10_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_pii": pii.oracle(),
+        "op6_token_counts": token_counts.oracle(),
+        "op10_mixing": mixing.oracle(),
+    }

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import bpe, minhash, mixing, pii, quality, substring, token_counts, toxicity
+from quillgrid.llm import bpe, minhash, mixing, pii, quality, substring, token_counts, toxicity, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_wrappers": wrappers.query,
         "op3_substring": substring.query,
         "op4_pii": pii.query,
         "op5_bpe": bpe.query,

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.llm import bpe, minhash, mixing, pii, quality, substring, token_counts, toxicity, wrappers
+from quillgrid.llm import bpe, dualtree, minhash, mixing, pii, quality, substring, token_counts, toxicity, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_wrappers": wrappers.query,
+        "op2_dualtree": dualtree.query,
         "op3_substring": substring.query,
         "op4_pii": pii.query,
         "op5_bpe": bpe.query,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_dualtree": dualtree.ORACLE,
         "op4_pii": pii.oracle(),
         "op6_token_counts": token_counts.oracle(),
         "op10_mixing": mixing.oracle(),

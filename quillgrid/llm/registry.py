@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from quillgrid.llm import bpe, dualtree, minhash, mixing, pii, quality, substring, token_counts, toxicity, wrappers
 
 
@@ -21,10 +22,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality.query,
         "op9_toxicity": toxicity.query,
         "op10_mixing": mixing.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    """The others are tested against brute force in tests/llm."""
     return {
         "op2_dualtree": dualtree.ORACLE,
         "op4_pii": pii.oracle(),

@@ -11,7 +11,7 @@ tokens and the topic "empty", and as no weight is due to them their probability
 a value without a target keeps its weight; targets are scaled to sum to the corpus
 tokens; repeated rows and equal ids get one draw, a null id the draw of the text
 "(none)"; an empty table gives an empty result; other columns pass through mix()
-unless they have the names it adds.
+unless they have the names it adds, or _source or _lang.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def topic(text: Column, tokens: Column) -> Column:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_tokens (words), topic, and the cell's source and lang without nulls as _source and _lang."""
     body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("n_tokens", F.regexp_count(body, F.lit(WORD)).cast("long"))
+    out = docs.drop("weight", "prob", "kept").withColumn("n_tokens", F.regexp_count(body, F.lit(WORD)).cast("long"))
     out = out.withColumn("topic", topic(body, F.col("n_tokens")))
     return out.withColumn("_source", F.coalesce("source", F.lit("(none)"))).withColumn("_lang", F.coalesce("lang", F.lit("(none)")))
 

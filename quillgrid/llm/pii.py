@@ -12,7 +12,8 @@ high enough. Spans of one kind don't overlap; those of different kinds may.
 
 Cases: null and empty texts have no spans; repeated rows are searched each; redact()
 covers overlapping spans by the first that starts (the longer of two that start
-together); other columns pass through detect() unless they have the names it adds.
+together); other columns pass through detect() unless they have the names it adds, or a
+kind's name after an underscore.
 """
 
 from __future__ import annotations

@@ -8,10 +8,10 @@ cost nothing. Classes that agree on all rows of a band share its bucket.
 Links are found in three steps, none of which lists the pairs of a group. A member is
 checked with the smallest member of its buckets, then with the smallest members of
 all its buckets unless links join them already. What is left are pairs, in a bucket,
-of members that no path of links joins. Those are compared by signature in blocks of
-bounded size, each pair in the first band that it shares, and checked if they agree
-in the share of coordinates that a link can't miss in practice. Each check compares
-the full sets. A link at the threshold escapes all 36 bands with probability 1e-6.
+of members that no path of links joins. Those meet in blocks of bounded size, each pair
+in the first band that it shares. Signatures show which members have a partner that
+agrees in the share of coordinates that a link can't miss in practice; these alone
+meet again with their texts. Each check compares the full sets. A link at the threshold escapes all 36 bands with probability 1e-6.
 
 Cases: a document without words has no set, is linked with nothing and is kept; one
 with fewer words than a shingle has the whole sequence as its only shingle; rows are
@@ -41,7 +41,7 @@ AGREE = 84
 #: Members of one block in the comparison by signature.
 BLOCK = 4096
 #: Ids are broadcast up to this count (some 32 bytes each) and shuffled beyond it.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 400_000
 
 
 def _permuted(x: np.ndarray, first: int, second: int) -> np.ndarray:
@@ -119,10 +119,21 @@ def check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_text", "b_text").mapInPandas(_checked, "a string, b string"))
 
 
-def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of each block that may be links. Rows come sorted by block, and a block may span batches."""
+class _Joined(dict):
+    """Union-find over the components that meet in a block."""
 
-    def pairs(block: pd.DataFrame) -> pd.DataFrame:
+    def root(self, x: str) -> str:
+        while self.get(x, x) != x:
+            x = self[x]
+        return x
+
+
+def _compared(verify: bool):
+    """Compares the minor members of each block with all of it: by signature at first, which leaves the rows that have a
+    partner (at most all rows); then by their full sets, which leaves links that join components (fewer than there are
+    components). So no step lists pairs. Rows come sorted by block, and a block may span batches."""
+
+    def compared(block: pd.DataFrame) -> pd.DataFrame:
         few, every = block[block["few"]], block[~block["few"]]
         band = int(block["band"].iloc[0])
         stack = lambda x, t: np.frombuffer(b"".join(x), t).reshape(len(x), -1)
@@ -130,27 +141,48 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fk, ek = stack(few["keys"], np.int64), stack(every["keys"], np.int64)
         fc, ec = few["comp"].to_numpy(), every["comp"].to_numpy()
         fm, em, minor = few["cls"].to_numpy(), every["cls"].to_numpy(), every["minor"].to_numpy()
-        out = []
+        links, joined, sets = [], _Joined(), {}
+        some, other = np.zeros(len(few), bool), np.zeros(len(every), bool)
+
+        def set_of(rows: pd.DataFrame, i: int) -> np.ndarray:
+            cls = rows["cls"].iat[i]
+            if cls not in sets:
+                sets[cls] = shingle_set(rows["text"].iat[i], SHINGLE)
+            return sets[cls]
+
         for i in range(len(few)):
             # Two rows of the minor components meet twice; the order of their classes picks one meeting.
             ok = (ec != fc[i]) & ~(minor & (em <= fm[i]))
             ok &= ~(ek[:, :band] == fk[i, :band]).any(1)
             at = np.flatnonzero(ok)
             at = at[(es[at] == fs[i]).sum(1) >= AGREE]
-            out += [(fm[i], em[j]) for j in at]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    rest = None
-    for batch in batches:
+            some[i] = len(at) > 0
+            other[at] = True
+            for j in at.tolist() if verify else ():
+                x, y = joined.root(fc[i]), joined.root(ec[j])
+                if x != y and similar(set_of(few, i), set_of(every, j), PERCENT):
+                    joined[max(x, y)] = min(x, y)
+                    links.append((fm[i], em[j]))
+        return pd.DataFrame(links, columns=["a", "b"]) if verify else pd.concat([few[some], every[other]])[ROW]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            if rest is not None:
+                batch = pd.concat([rest, batch], ignore_index=True)
+            ends = np.flatnonzero(batch["block"].to_numpy()[1:] != batch["block"].to_numpy()[:-1]) + 1
+            starts = [0, *ends.tolist()]
+            for s, e in zip(starts, starts[1:], strict=False):
+                yield compared(batch.iloc[s:e])
+            rest = batch.iloc[starts[-1] :] if len(batch) else None
         if rest is not None:
-            batch = pd.concat([rest, batch], ignore_index=True)
-        ends = np.flatnonzero(batch["block"].to_numpy()[1:] != batch["block"].to_numpy()[:-1]) + 1
-        starts = [0, *ends.tolist()]
-        for s, e in zip(starts, starts[1:], strict=False):
-            yield pairs(batch.iloc[s:e])
-        rest = batch.iloc[starts[-1] :] if len(batch) else None
-    if rest is not None:
-        yield pairs(rest)
+            yield compared(rest)
+
+    return run
+
+
+#: A member's row in a block.
+ROW = ["block", "band", "cls", "comp", "minor", "few"]
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -196,10 +228,11 @@ def groups(docs: DataFrame) -> DataFrame:
     keys = classes.select("cls", F.transform("bands", lambda k: F.unhex(F.lpad(F.hex(k), 16, "0"))).alias("keys")).join(wanted.select("cls"), "cls", "left_semi")
     keys = cut(keys.select("cls", F.array_join(F.transform("keys", F.hex), "").alias("hexes")).select("cls", F.unhex("hexes").alias("keys")))
     signs = texts.select("cls", "coordinates").join(keys, "cls")
-    blocked = few.unionByName(every).join(signs, "cls").withColumn("block", F.xxhash64("key", "x", "y"))
-    order = blocked.repartition("block").sortWithinPartitions("block", F.desc("few"), "cls")
-    left = order.select("block", "band", "cls", "comp", "minor", "few", "coordinates", "keys").mapInPandas(_compared, "a string, b string")
-    links = links.union(check(cut(left), texts))
+    blocked = few.unionByName(every).withColumn("block", F.xxhash64("key", "x", "y")).select(ROW)
+    together = lambda df: df.repartition("block").sortWithinPartitions("block", F.desc("few"), "cls")
+    left = cut(together(blocked.join(signs, "cls")).mapInPandas(_compared(False), "block long, band int, cls string, comp string, minor boolean, few boolean"))
+    full = left.join(signs, "cls").join(texts.select("cls", "text"), "cls")
+    links = links.union(cut(together(full).mapInPandas(_compared(True), "a string, b string")))
     comp = cut(components(links))
 
     least = joined(reps, "cls", "comp").groupBy("comp").agg(F.min("rep").alias("component_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import xxhash
@@ -27,6 +28,10 @@ HASHES = WordHashes()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, the same in all workers of an application: Spark gives them one PYTHONHASHSEED, which makes
+    Python's own hash (SipHash) fixed; where it is unset, xxHash takes its place."""
+    if os.environ.get("PYTHONHASHSEED", "random") != "random":
+        return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
@@ -55,6 +60,44 @@ def window_hashes(hashes: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     return mixed(total)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, np.uint64(base))
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def rolling_hashes(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """A hash for every window, as window_hashes() gives, in time that doesn't depend on the size: differences of a running sum of powers, modulo 2**64."""
+    n = len(hashes) - size + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    base = int(factors(1, seed)[0])
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mixed(hashes ^ np.uint64(seed)) * _powers(base, len(hashes) - 1), out=sums[1:])
+    return mixed((sums[size:] - sums[:n]) * _powers(pow(base, -1, 2**64), n - 1))
+
+
+class Members:
+    """Membership in a set of hashes: a table of bits rules most others out before the search."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = np.unique(known)
+        self.bits = min(26, max(10, len(self.known).bit_length() + 4))
+        self.table = np.zeros(1 << self.bits, bool)
+        self.table[self._slot(self.known)] = True
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        out = self.table[self._slot(x)]
+        may = np.flatnonzero(out)
+        if len(may):
+            at = np.minimum(np.searchsorted(self.known, x[may]), len(self.known) - 1)
+            out[may] = self.known[at] == x[may]
+        return out
+
+
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a text's windows of size words, A-Z in lower case; with fewer words, of the whole sequence; without any, empty."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []

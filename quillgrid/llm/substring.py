@@ -4,7 +4,7 @@ The reference blocks are each text's non-overlapping runs of BLOCK words; as a w
 at least twice as long less one, it holds a whole block. The index of block hashes is
 probed with every rolling window of BLOCK words. A block that is found at another place
 anchors a repeat; the anchors are extended to the windows that hold them, and these
-are compared, whole, by 128-bit hashes. A window that starts elsewhere too covers its
+are compared, whole, by 96-bit hashes. A window that starts elsewhere too covers its
 words; the union of such windows is the union of the maximal exact repeats.
 
 Texts are dealt to batches by a hash. A batch sends each distinct hash once, with a
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.llm.common import table, text_bytes
-from quillgrid.llm.shingles import window_hashes, word_hashes
+from quillgrid.llm.shingles import Members, rolling_hashes, word_hashes
 
 WINDOW, BLOCK = 35, 18
 #: Bytes of text in a batch, and in a range of hashes, about.
@@ -54,7 +54,7 @@ class _Batch:
     def rolling(self, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """The places of windows and their hashes."""
         places = np.flatnonzero(self.inside(size))
-        return places, window_hashes(self.hashes, size, seed)[places] if len(places) else np.empty(0, np.uint64)
+        return places, rolling_hashes(self.hashes, size, seed)[places] if len(places) else np.empty(0, np.uint64)
 
     def blocks(self) -> np.ndarray:
         """Whether a place starts one of its document's reference blocks."""
@@ -123,14 +123,27 @@ def _candidates(batch: _Batch, hits: pd.DataFrame, ranges: int) -> tuple[np.ndar
     known = np.concatenate([(np.uint64(p) << np.uint64(32)) | np.frombuffer(h, np.uint32).astype(np.uint64) for p, h in zip(hits["part"], hits["hashes"], strict=True)])
     of, low = _short(hashes, ranges)
     found = np.zeros(len(batch.hashes) + 1, np.int64)
-    found[places] = np.isin((of.astype(np.uint64) << np.uint64(32)) | low, known)
+    found[places] = Members(known).has((of.astype(np.uint64) << np.uint64(32)) | low)
     before = np.concatenate([[0], np.cumsum(found)])
     whole = np.flatnonzero(batch.inside(WINDOW))
     # An anchor starts in the first WINDOW - BLOCK + 1 words of the window.
     whole = whole[before[whole + WINDOW - BLOCK + 1] > before[whole]]
     if not len(whole):
         return none
-    return whole, np.stack([window_hashes(batch.hashes, WINDOW, seed)[whole] for seed in (2, 3)], 1)
+    return whole, np.stack([rolling_hashes(batch.hashes, WINDOW, seed)[whole] for seed in (2, 3)], 1)
+
+
+def _sorted_runs(first: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by both numbers, and where each distinct pair starts in it."""
+    order = np.lexsort((more, first))
+    f, m = first[order], more[order]
+    return order, np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (m[1:] != m[:-1])]))
+
+
+def _distinct(first: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, with their counts."""
+    order, starts = _sorted_runs(first, more)
+    return first[order][starts], more[order][starts], np.diff(np.append(starts, len(order)))
 
 
 def _ask(ranges: int):
@@ -141,27 +154,31 @@ def _ask(ranges: int):
         if len(texts) and len(hits):
             _, keys = _candidates(_Batch(texts["text"]), hits, ranges)
             if len(keys):
-                keys, counts = np.unique(keys, axis=0, return_counts=True)
-                of = (keys[:, 0] >> np.uint64(64 - _bits(ranges))).astype(np.int64)
+                first, more, counts = _distinct(keys[:, 0], (keys[:, 1] >> np.uint64(32)).astype(np.uint32))
+                of = (first >> np.uint64(64 - _bits(ranges))).astype(np.int64)
                 cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                for s, e in zip(cuts, np.append(cuts[1:], len(keys)), strict=True):
-                    rows.append((int(texts["batch"].iloc[0]), int(of[s]), keys[s:e].tobytes(), (counts[s:e] > 1).tobytes()))
+                for s, e in zip(cuts, np.append(cuts[1:], len(first)), strict=True):
+                    rows.append((int(texts["batch"].iloc[0]), int(of[s]), first[s:e].tobytes() + more[s:e].tobytes(), (counts[s:e] > 1).tobytes()))
         return pd.DataFrame(rows, columns=["batch", "part", "hashes", "marks"])
 
     return run
 
 
 def _repeats(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one range: the windows at two places or more, for each batch that asked."""
-    sent = [np.frombuffer(h, np.uint64).reshape(-1, 2) for h in group["hashes"]]
+    """Of one range: the windows at two places or more, for each batch that asked, by their first 64 bits."""
+    sizes = np.array([len(h) // 12 for h in group["hashes"]])
+    first = np.concatenate([np.frombuffer(h, np.uint64, n) for h, n in zip(group["hashes"], sizes, strict=True)])
+    more = np.concatenate([np.frombuffer(h, np.uint32, n, 8 * n) for h, n in zip(group["hashes"], sizes, strict=True)])
     many = np.concatenate([np.frombuffer(m, bool) for m in group["marks"]])
-    every, where = np.unique(np.concatenate(sent), axis=0, return_inverse=True)
-    where = where.ravel()
-    again = (np.bincount(where, minlength=len(every)) > 1) | (np.bincount(where, many, len(every)) > 0)
-    keep, rows, at = again[where], [], 0
-    for batch, keys in zip(group["batch"], sent, strict=True):
-        mine = keys[keep[at : at + len(keys)]]
-        at += len(keys)
+    order, starts = _sorted_runs(first, more)
+    runs = np.diff(np.append(starts, len(order)))
+    again = (runs > 1) | (np.add.reduceat(many[order].astype(np.int64), starts) > 0)
+    keep = np.empty(len(order), bool)
+    keep[order] = np.repeat(again, runs)
+    rows, at = [], 0
+    for batch, n in zip(group["batch"], sizes.tolist(), strict=True):
+        mine = first[at : at + n][keep[at : at + n]]
+        at += n
         if len(mine):
             rows.append((batch, 0, mine.tobytes()))
     return pd.DataFrame(rows, columns=["batch", "part", "hashes"])
@@ -174,15 +191,10 @@ def _removed(keep_text: bool):
         batch = _Batch(texts["text"])
         covered = np.zeros(len(batch.hashes) + 1, np.int64)
         if len(repeats):
-            known = np.unique(np.concatenate([np.frombuffer(h, np.uint64).reshape(-1, 2) for h in repeats["hashes"]]), axis=0)
+            # What came back is of this batch's own windows, so their first 64 bits tell them apart.
+            known = Members(np.concatenate([np.frombuffer(h, np.uint64) for h in repeats["hashes"]]))
             places = np.flatnonzero(batch.inside(WINDOW))
-            first, second = (window_hashes(batch.hashes, WINDOW, seed)[places] for seed in (2, 3))
-            # Few windows share a first hash with a repeat, so only those are compared in full.
-            some = np.isin(first, known[:, 0])
-            places, first, second = places[some], first[some], second[some]
-            pair = np.dtype([("a", np.uint64), ("b", np.uint64)])
-            mine = np.ascontiguousarray(np.stack([first, second], 1)).view(pair).ravel()
-            places = places[np.isin(mine, np.ascontiguousarray(known).view(pair).ravel())]
+            places = places[known.has(rolling_hashes(batch.hashes, WINDOW, 2)[places])]
             np.add.at(covered, places, 1)
             np.add.at(covered, places + WINDOW, -1)
         gone = np.cumsum(covered)[:-1] > 0

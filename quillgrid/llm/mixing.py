@@ -2,9 +2,10 @@
 
 Documents fall into cells of source, language and topic; a cell starts with its tokens.
 Raking scales the cells to each target marginal in turn, a fixed number of rounds.
-A document is kept with its cell's raked weight per token, scaled so that the largest
-is 1; the draw is a hash of its id, so it is the same in every run. Everything is
-DataFrame work; only cells, which are sums, pass the windows.
+A document is kept with its cell's raked weight per token, which is 1 on average, or 1
+if that is less: cells above their targets are thinned to them, and cells below are
+kept whole, as nothing is repeated. The draw is a hash of its id, so it is the same in
+every run. Everything is DataFrame work; only cells, which are sums, pass the windows.
 
 Cases: null source or language is the value "(none)"; null and empty texts have no
 tokens and the topic "empty", and as no weight is due to them their probability is 0;
@@ -98,10 +99,9 @@ def mix(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, rounds:
     goals = dict(targets) if targets else {n: tempered(cells, n, TEMPER[n]) for n in DIMENSIONS}
     rated = rake(cells, goals, rounds).withColumn("weight", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0))
     rated = cut(rated.select(*[F.col(n).alias(f"_c_{n}") for n in DIMENSIONS], "weight"))
-    size = rated.agg(F.count("*").alias("n"), F.max("weight").alias("top")).first()
-    near = F.broadcast(rated) if size.n <= BROADCAST_CELLS else rated
+    near = F.broadcast(rated) if rated.count() <= BROADCAST_CELLS else rated
     on = (F.col("_source") == F.col("_c_source")) & (F.col("_lang") == F.col("_c_lang")) & (F.col("topic") == F.col("_c_topic"))
-    out = marks.join(near, on).withColumn("prob", F.round(F.col("weight") / F.lit(size.top or 1.0), 6))
+    out = marks.join(near, on).withColumn("prob", F.round(F.least(F.lit(1.0), F.col("weight")), 6))
     draw = hex_fraction(F.coalesce(F.col("doc_id").cast("string"), F.lit("(none)")))
     return out.withColumn("kept", draw < F.col("prob")).drop("_source", "_lang", *[f"_c_{n}" for n in DIMENSIONS])
 
@@ -132,5 +132,5 @@ def oracle() -> str:
         c = ("s", "l", "topic")[k % 3]
         parts.append(f"r{k + 1} as (select * exclude (w), case when sum(w) over (partition by {c}) > 0 and h{k % 3} is not null then w * h{k % 3} * total / sum(w) over (partition by {c}) else w end as w from r{k})")
     parts.append(f"x as (select s, l, topic, case when tokens > 0 then w / tokens else 0 end as weight from r{ROUNDS * 3})")
-    parts.append("y as (select m.doc_id, source, lang, topic, n_tokens, weight, round(weight / (select coalesce(nullif(max(weight), 0), 1) from x), 6) as prob from m join x using (s, l, topic))")
+    parts.append("y as (select m.doc_id, source, lang, topic, n_tokens, weight, round(least(1.0, weight), 6) as prob from m join x using (s, l, topic))")
     return "with " + ",\n".join(parts) + "\nselect doc_id, source, lang, topic, n_tokens, round(weight, 6) as weight, prob, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '(none)')), 1, 8) as bigint) / 4294967296.0 < prob as kept from y"

@@ -1 +1 @@
-"""quillgrid.functions"""
+"""Column functions: text, vectors and maps."""

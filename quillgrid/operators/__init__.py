@@ -1 +1 @@
-"""quillgrid.operators"""
+"""Operators on DataFrames of documents, terms, vectors, edges and states."""

@@ -1,9 +1,19 @@
 """Registered queries of the engine's own operators."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from quillgrid.plans import text_queries
+
+MODULES = [text_queries]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: s for m in MODULES for name, s in m.ORACLES.items()}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.plans import text_queries
+from quillgrid.plans import retrieval, text_queries
 
-MODULES = [text_queries]
+MODULES = [text_queries, retrieval]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

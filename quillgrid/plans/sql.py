@@ -15,8 +15,17 @@ def unique(e: str) -> str:
 
 
 def runs(e: str, size: int, glue: str = " ") -> str:
-    """Runs of neighbours; e is a column."""
-    return f"list_transform(range(1, len({e}) - {size - 2}), lambda i: array_to_string({e}[i:i + {size - 1}], '{glue}'))"
+    """Runs of neighbours; e is a column. Shifted slices are zipped."""
+    n = f"greatest(len({e}) - {size - 1}, 0)"
+    slices = ", ".join(f"{e}[{k + 1}:{n} + {k}]" for k in range(size))
+    joined = f" || '{glue}' || ".join(f"p[{k + 1}]" for k in range(size))
+    return f"list_transform(list_zip({slices}), lambda p: {joined})"
+
+
+def first_tokens(table: str, id: str, column: str) -> str:
+    """Common tables tk_ and u: each row's distinct tokens (u.u) by first occurrence, from a list column."""
+    return f"""tk_ as (select {id}, unnest({column}) as term, generate_subscripts({column}, 1) as pos from {table}), tm_ as (select {id}, term, min(pos) as pos from tk_ group by all),
+ul_ as (select {id}, list(term order by pos) as u from tm_ group by all), u as (select {table}.{id}, coalesce(ul_.u, cast([] as varchar[])) as u from {table} left join ul_ using ({id}))"""
 
 
 def strings(items) -> str:

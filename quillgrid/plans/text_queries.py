@@ -198,7 +198,7 @@ ORACLES = {
     "tokenize_counts": f"select doc_id, cast(len(t) as int) as n_tokens, cast(len(list_distinct(t)) as int) as n_unique from (select doc_id, {sql.tokens('text')} as t from documents)",
     "document_frequency": f"with {_TERMS} select term, count(*) as df, cast(sum(n) as bigint) as cf from tf group by term",
     "corpus_stats": f"with {_TERMS}, l as (select doc_id, sum(n) as n from tf group by all) select count(*) as n_docs, round(avg(n), 6) as avg_length, (select count(distinct term) from tf) as n_terms from l",
-    "token_windows": f"""with t as (select doc_id, {sql.tokens('text')} as t from documents), u as (select doc_id, {sql.unique('t')} as u from t), g as (select doc_id, list_concat({sql.runs('u', 2)}, {sql.runs('u', 3)}) as g from u)
+    "token_windows": f"""with t as (select doc_id, {sql.tokens('text')} as t from documents), {sql.first_tokens('t', 'doc_id', 't')}, g as (select doc_id, list_concat({sql.runs('u', 2)}, {sql.runs('u', 3)}) as g from u)
 select doc_id, cast(len(g) as int) as n, md5(coalesce(array_to_string(g, '|'), '')) as grams_md5 from g""",
     "adjacent_ngrams": f"""with t as (select doc_id, {sql.tokens('text')} as t from documents), g as (select doc_id, list_concat({sql.runs('t', 2)}, {sql.runs('t', 3)}) as g from t)
 select doc_id, cast(len(g) as int) as n, md5(coalesce(array_to_string(g, '|'), '')) as grams_md5 from g""",
@@ -213,7 +213,7 @@ select page_id, cast(i as int) as ord, h[i] as href, {_stripped('l[i]')} as labe
 select page_id, {_decoded("case when a = 0 then '' when b = 0 then r else substr(r, 1, b - 1) end")} as title, try_cast(nullif(regexp_extract(html, '(?:19|20)\\d{{2}}', 0), '') as int) as year from t""",
     "summarize": f"""{_V}, s as (select id, {_stripped('abstract')} as s from docs)
 select id, case when length(s) > 180 then substr(s, 1, 177) || '...' else s end as summary, case when length(s) > 320 then substr(s, 1, 317) || '...' else s end as excerpt from s""",
-    "keyword_bag": f"with t as (select doc_id, {sql.tokens('text')} as t from documents) select doc_id, coalesce(array_to_string({sql.unique('t')}[1:8], ' '), '') as bag from t",
+    "keyword_bag": f"with t as (select doc_id, {sql.tokens('text')} as t from documents), {sql.first_tokens('t', 'doc_id', 't')} select doc_id, coalesce(array_to_string(u[1:8], ' '), '') as bag from u",
     "noise_flags": f"""with d as (select doc_id, coalesce(text, '') as text, {sql.norm('text')} as n from documents), f as (select doc_id, contains(text, '�') as broken, ({_NOISE}) as noise, {_matches('n', ['the', 'tion'])} as m from d)
 select doc_id, broken, noise, not broken and not noise and m as usable from f""",
     "record_keys": f"""{_V}, k as (select *, {sql.tokens('organization')} as o, list_transform(authors, lambda a: {sql.norm('a')}) as names, trim(title) as tt from docs)

@@ -38,7 +38,8 @@ def _pairs(docs: DataFrame, lists: tuple[str, ...], fields: list[str]) -> DataFr
 
 
 def _best(pairs: DataFrame, weight: Column, kind: str) -> DataFrame:
-    rated = pairs.withColumn("weight", F.round(weight, 4)).where(F.col("weight") >= LEAST[kind])
+    # Halves go up, whatever the last bit of the sum.
+    rated = pairs.withColumn("weight", F.round(weight + 1e-9, 4)).where(F.col("weight") >= LEAST[kind])
     rank = F.row_number().over(Window.partitionBy("x_id").orderBy(F.desc("weight"), "y_id"))
     best = rated.withColumn("r", rank).where(F.col("r") <= MOST[kind])
     return best.select(F.col("x_id").cast("string").alias("source_id"), F.col("y_id").cast("string").alias("target_id"), F.lit(kind).alias("edge_type"), "weight")

@@ -45,16 +45,16 @@ def first_by_key(parts: list[DataFrame], key: str) -> DataFrame:
 
 
 def library_view(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """items (item_id, canonical_id) with the document of that id, or of the id without its type; nulls if there is none.
+    """items (item_id, canonical_id) with the document of that id, else of the id without its type; nulls if there is none.
 
-    The two forms of a key are exploded, so it is an equi join; the full form wins.
+    An OR in the condition would be a nested loop: each form of the key is an equi join of its own, and the full form wins.
     """
+    fields = [c for c in docs.columns if c != "id"]
+    side = lambda p: docs.select(F.col("id").alias(f"_{p}"), *[F.col(c).alias(f"_{p}_{c}") for c in fields])
     bare = F.regexp_replace("canonical_id", "^[^:]*:", "")
-    forms = items.select("item_id", "canonical_id", F.posexplode(F.array_distinct(F.array("canonical_id", bare))).alias("_form", "id"))
-    joined = forms.join(docs, "id", "left").withColumn("_found", F.col(docs.columns[1]).isNotNull())
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("_found"), "_form"))
-    best = joined.withColumn("_r", rank).where("_r = 1")
-    return best.select("item_id", "canonical_id", F.when(F.col("_found"), F.col("id")).alias("document_id"), *[c for c in docs.columns if c != "id"])
+    both = items.join(side("a"), F.col("canonical_id") == F.col("_a"), "left").join(side("b"), (bare == F.col("_b")) & F.col("_a").isNull(), "left")
+    pick = lambda c: F.when(F.col("_a").isNotNull(), F.col(f"_a_{c}")).otherwise(F.col(f"_b_{c}")).alias(c)
+    return both.select("item_id", "canonical_id", F.coalesce("_a", "_b").alias("document_id"), *map(pick, fields))
 
 
 def override_status(defaults: DataFrame, live: DataFrame, key: str) -> DataFrame:

@@ -63,8 +63,12 @@ def duplicate_links(docs: DataFrame) -> DataFrame:
     fits = (F.col("type_a") == F.col("type_b")) & F.coalesce(F.abs(F.col("year_a") - F.col("year_b")) <= YEARS, F.lit(True))
     titles = similar_titles(docs).select("a", "b").join(left, "a").join(right, "b").where(fits).select("a", "b")
     by_name = keyed.where("names <> ''").select("id", "type", "year", "names")
-    other = by_name.select(F.col("id").alias("b"), F.col("type").alias("type_b"), F.col("year").alias("year_b"), "names", F.explode(F.when(F.col("year").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.array(F.col("year") - 1, "year", F.col("year") + 1))).alias("near"))
-    same = by_name.select(F.col("id").alias("a"), F.col("type").alias("type_a"), F.col("year").alias("near"), "names").join(other, ["names", "near"]).where("a < b and type_a = type_b").select("a", "b")
+    near = by_name.where("year is not null").select(F.col("id").alias("b"), "type", "names", F.explode(F.array(F.col("year") - 1, "year", F.col("year") + 1)).alias("near"))
+    same = by_name.select(F.col("id").alias("a"), "type", "names", F.col("year").alias("near")).join(near, ["type", "names", "near"]).where("a < b").select("a", "b")
+    # A record without a year fits all of its names; one such record links them.
+    hubs = by_name.where("year is null").groupBy("type", "names").agg(F.min("id").alias("a"))
+    hub = by_name.join(hubs, ["type", "names"]).select("a", F.col("id").alias("b")).where("a <> b")
+    same = same.unionByName(hub)
     return direct.unionByName(titles).unionByName(same).distinct()
 
 
@@ -95,7 +99,7 @@ def leaders(docs: DataFrame) -> DataFrame:
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         heads, by_key, out = [], {}, []
         for row in group.sort_values("id").itertuples():
-            tokens, hit = set(row.tokens), by_key.get(row.key)
+            tokens, hit = set(row.tokens), by_key.get(row.key) if row.key else None
             if hit is None:
                 for h in heads:
                     years = pd.isna(row.year) or pd.isna(h.year) or abs(row.year - h.year) <= YEARS
@@ -106,7 +110,8 @@ def leaders(docs: DataFrame) -> DataFrame:
             if hit is None:
                 heads.append(row)
                 hit = row.id
-            by_key.setdefault(row.key, hit)
+            if row.key:  # records without a title share no key
+                by_key.setdefault(row.key, hit)
             out.append((row.id, hit))
         return pd.DataFrame(out, columns=["id", "leader"])
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrid.plans import graph_queries, retrieval, store_queries, text_queries
+from quillgrid.plans import graph_queries, retrieval, source_queries, store_queries, text_queries
 
-MODULES = [text_queries, retrieval, graph_queries, store_queries]
+MODULES = [text_queries, retrieval, graph_queries, store_queries, source_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

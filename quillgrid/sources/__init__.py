@@ -1 +1 @@
-"""quillgrid.sources"""
+"""Sources: parsers of connector payloads, and readers of document files."""

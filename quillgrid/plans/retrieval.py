@@ -146,10 +146,10 @@ def supplemented_results(spark, d):
 
 
 def _papers(spark, d):
-    """Documents that labels call good and toxic, as the papers that a reader has at hand."""
+    """The five most cited documents that labels call good and toxic, as the papers that a reader has at hand; and all documents."""
     ids = table(spark, d, "labels").where("quality = 1 and toxic = 1").select(F.col("doc_id").alias("id"))
     v = documents_view(spark, d)
-    return v.join(ids, "id", "left_semi"), v
+    return v.join(ids, "id", "left_semi").orderBy(F.desc("citations"), "id").limit(5), v
 
 
 def recommend_heuristic(spark, d):
@@ -283,7 +283,7 @@ def _profile_sql() -> str:
 
 
 _V = DOCUMENTS_VIEW_SQL
-_PAPERS = "ids as (select distinct doc_id as id from labels where quality = 1 and toxic = 1), papers as (select docs.* from docs join ids using (id))"
+_PAPERS = "ids as (select id from docs where id in (select doc_id from labels where quality = 1 and toxic = 1) order by citations desc, id limit 5), papers as (select docs.* from docs join ids using (id))"
 _WORDS = lambda e: f"list_distinct({sql.tokens(e)})"
 _PAIRS = f"""dw as (select *, {_WORDS('title')} as words from docs), pr as (select p.id as p_id, d.id, p.keywords as pk, d.keywords as dk, p.words as pw, d.words as dw, p.region as p_region, d.region, p.source as p_source, d.source, p.authors as pa, d.authors as da,
  p.organization as po, d.organization as dorg, p.methods as pm, d.methods as dm, d.citations, d.year, d.title from dw p join ids using (id) join dw d on p.id <> d.id)"""

@@ -47,9 +47,21 @@ def with_defaults(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+#: Few files of at most so many bytes are dealt to all cores; larger ones have row groups to split.
+SPREAD_BYTES = 256_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, whole."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table, whole. Texts in a single small file would keep one core busy, so their rows are dealt out first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in ("documents", "pages"):
+        files, cores = df.inputFiles(), spark.sparkContext.defaultParallelism
+        if 0 < 2 * len(files) <= cores:
+            path = lambda f: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+            fs = path(files[0]).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            if sum(fs.getFileStatus(path(f)).getLen() for f in files) <= SPREAD_BYTES:
+                return df.repartition(cores)
+    return df
 
 
 def documents_view(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,15 +36,21 @@ def document_frequency(terms: DataFrame) -> DataFrame:
 
 
 def bm25(terms: DataFrame, query: list[str]) -> DataFrame:
-    """id and bm25 of the documents that hold a query term. Only the query's terms are joined; the lengths are one aggregate of the term table."""
-    lengths = terms.groupBy("id").agg(F.sum("tf").alias("length"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg"))
-    hits = terms.where(F.col("term").isin(list(dict.fromkeys(query))))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    row = hits.join(F.broadcast(df), "term").join(lengths, "id").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg")))
-    return row.groupBy("id").agg(F.sum(gain).alias("bm25"))
+    """id and bm25 of the documents that hold a query term.
+
+    One aggregate gives each document's length and its frequencies of the query's terms;
+    the corpus statistics are one row over the same exchange.
+    """
+    wanted = list(dict.fromkeys(query))
+    per = terms.groupBy("id").agg(F.sum("tf").alias("length"), *[F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"q{i}") for i, t in enumerate(wanted)])
+    stats = per.agg(F.count("*").alias("n"), F.avg("length").alias("avg"), *[F.count(f"q{i}").alias(f"df{i}") for i in range(len(wanted))])
+    score, found = F.lit(0.0), F.lit(False)
+    for i in range(len(wanted)):
+        tf, df = F.col(f"q{i}"), F.col(f"df{i}")
+        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+        score = score + F.coalesce(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avg"))), F.lit(0.0))
+        found = found | tf.isNotNull()
+    return per.where(found).crossJoin(F.broadcast(stats)).select("id", score.alias("bm25"))
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:

@@ -87,25 +87,21 @@ def hybrid_score(spark, d):
     return _scored(spark, d).select("id", *[F.round(p, 4).alias(p) for p in scoring.PARTS])
 
 
-def _results(spark, d):
-    s = _scored(spark, d)
-    return s.where(scoring.has_evidence(SEARCH) & ~scoring.is_collision(SEARCH))
-
-
-def _top(df):
-    return df.select("id", "match", F.round("total", 4).alias("total"), "year", "citations")
+def _search(spark, d, sort):
+    found = scoring.best(_scored(spark, d), scoring.has_evidence(SEARCH) & ~scoring.is_collision(SEARCH), TOP, sort)
+    return found.select("id", "match", F.round("total", 4).alias("total"), "year", "citations")
 
 
 def search_relevance(spark, d):
-    return _top(scoring.ordered(_results(spark, d)).limit(TOP))
+    return _search(spark, d, "relevance")
 
 
 def search_latest(spark, d):
-    return _top(scoring.ordered(_results(spark, d), "latest").limit(TOP))
+    return _search(spark, d, "latest")
 
 
 def search_citation(spark, d):
-    return _top(scoring.ordered(_results(spark, d), "citation").limit(TOP))
+    return _search(spark, d, "citation")
 
 
 def evidence_flags(spark, d):
@@ -252,7 +248,7 @@ _MATCH = """round(least(lexical, 120) + least(bm25, 5) * 18 + title_coverage * 4
  + case when exact_title > 0 then 40 else 0 end + case when compact_title > 0 then 24 else 0 end, 4)"""
 
 
-def _search(order: str) -> str:
+def _search_sql(order: str) -> str:
     return f"""with {_BM}, {_scored_sql(SEARCH, True)}, g as (select *, {_gates(SEARCH)}, {_MATCH} as match from sc)
 select id, match, round(total, 4) as total, year, citations from g where evidence and not collision order by {order}, id limit {TOP}"""
 
@@ -312,9 +308,9 @@ select a, b, round(c / (na + nb - c), 6) as jaccard from s where c / (na + nb -
 m as (select title_key, min(id) as id, count(*) as records, arg_min(source, id) as source, array_to_string(list_sort(list(distinct source)), '|') as sources, max(citations) as citations, md5(first(abstract order by length(abstract) desc, id)) as abstract_md5, flatten(list(keywords order by id)) as ks, flatten(list(methods order by id)) as ms from k group by title_key)
 select title_key, id, records, source, sources, citations, abstract_md5, coalesce(array_to_string({sql.unique('ks')}[1:12], '|'), '') as keywords, coalesce(array_to_string({sql.unique('ms')}[1:10], '|'), '') as methods from m""",
     "hybrid_score": f"with {_BM}, {_scored_sql(SEARCH, True)} select id, {', '.join(f'round({p}, 4) as {p}' for p in scoring.PARTS)} from sc",
-    "search_relevance": _search("round(match, 2) desc, round(total, 6) desc, year desc"),
-    "search_latest": _search("year desc, round(total, 6) desc"),
-    "search_citation": _search("citations desc, round(total, 6) desc"),
+    "search_relevance": _search_sql("round(match, 2) desc, round(total, 6) desc, year desc"),
+    "search_latest": _search_sql("year desc, round(total, 6) desc"),
+    "search_citation": _search_sql("citations desc, round(total, 6) desc"),
     "evidence_flags": f"with {_BM}, {_scored_sql(SEARCH, True)} select id, {_gates(SEARCH)}, cast(len(list_filter(['tion', 'thes', 'onthe'], lambda x: contains(body, x) or contains(replace(body, ' ', ''), x))) as int) as relaxed from sc",
     "filter_and_prefer": f"with {_BM}, {_scored_sql(SEARCH, True)} select id, case when source in ('src1', 'src2') then 18.0 else -6.0 end as source_boost, round(total + case when source in ('src1', 'src2') then 18.0 else -6.0 end, 4) as total from sc where region = 'domestic' and type = 'paper'",
     "profile_boost": _profile_sql(),

@@ -205,3 +205,19 @@ def test_defaults_evaluation_and_ops(spark):
     assert tuple(ops.request_alerts(log).first()) == (20, 3, "critical")
     c = similarity.confidence(*[F.lit(x) for x in (90, 2400, 160, 3, 2, 1, 80, 4)])
     assert spark.range(1).select(c).first()[0] == int(90 * 0.34 + 18 + 16 + 89 * 0.18 + 78 * 0.14 + 0.5)
+
+
+def test_search_cascade(spark):
+    from quillgrid.operators.search import Index, search
+
+    rows = [(i, f"Wildfire spread model {i}" if i < 10 else f"Rice cooking {i}", "Fire and wind." if i < 10 else "Water and rice.", "paper", ("arxiv", "kci")[i % 2], 2000 + i, i, "global") for i in range(20)]
+    docs = spark.createDataFrame(rows, "id long, title string, abstract string, type string, source string, year int, citations int, region string").withColumn("keywords", F.array(F.lit("forest"))).withColumn("language", F.lit("en"))
+    index, events = Index.of(docs), []
+    got = search(index, "wildfire spread", on_event=lambda n, e: events.append(n)).collect()
+    assert len(got) == 10 and {r["mode"] for r in got} == {"strict"} and all("Wildfire" in r.title for r in got)
+    assert [r.match for r in got] == sorted((r.match for r in got), reverse=True) and events[0] == "summary" and events[-1] == "done"
+    assert [r.id for r in search(index, "wildfire spread", sort="latest", k=3).collect()] == [9, 8, 7]
+    few = search(index, "rice cooking 13").collect()
+    assert few[0].id == 13
+    assert search(index, "산불").count() > 0  # by the lexicon
+    assert search(index, "zzzz qqqq").count() == 0

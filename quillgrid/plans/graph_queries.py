@@ -109,3 +109,12 @@ u as (select '' as via, target_id as target, round(weight, 4) as weight, 1 as ho
 select via, target, weight, cast(hops as int) as hops from u order by weight desc, hops, via, target limit 12""",
     "distinct_edges": "select 'c:' || o_custkey as source_id, o_orderpriority as target_id, o_orderstatus as edge_type, max(o_totalprice) as weight from orders group by all",
 }
+
+
+def section_health(spark, d):
+    from quillgrid.operators import detail
+
+    return detail.section_health(star_edges(spark, d), "n:7")
+
+
+QUERIES["section_health"] = section_health

@@ -221,3 +221,16 @@ def test_search_cascade(spark):
     assert few[0].id == 13
     assert search(index, "산불").count() > 0  # by the lexicon
     assert search(index, "zzzz qqqq").count() == 0
+
+
+def test_detail(spark):
+    from quillgrid.operators import detail
+
+    edges = spark.createDataFrame([("1", str(i), "references", 1.0 - i / 10) for i in range(2, 6)] + [("2", "9", "similar", 0.5), ("1", "3", "similar", 0.4)], "source_id string, target_id string, edge_type string, weight double")
+    health = {r.section: (r.entries, r.status) for r in detail.section_health(edges, "1").collect()}
+    assert health["references"] == (4, "healthy") and health["similar"] == (1, "degraded") and health["cited_by"] == (0, "unavailable") and health["all"][1] == "degraded"
+    docs = spark.createDataFrame([(1, "a", ["x", "y"], 2020, "s", "r"), (2, "b", ["y"], 2022, "s", "q"), (3, "c", [], 2019, "t", "r")], "id long, title string, keywords array<string>, year int, source string, region string")
+    rows = {r.neighbour: r for r in detail.comparison_matrix(docs, edges, "1").collect() if r.edge_type == "references"}
+    assert rows["2"].shared == ["y"] and rows["2"].same_source and not rows["2"].same_region and rows["2"].years_apart == 2 and set(rows) == {"2", "3"}
+    a, b = (spark.createDataFrame(x, "via string, target string, weight double") for x in ([("v", "t", 0.1)], [("v", "t", 0.9), ("w", "t", 0.2)]))
+    assert [tuple(r) for r in detail.merged_paths(a, b, 5).collect()] == [("v", "t", 0.1), ("w", "t", 0.2)]

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters between words: space, and the control characters 9 to 13. bytes.split() splits at exactly these.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Rows of an Arrow batch between the JVM and Python.
+BATCH_ROWS = 1_000
 #: A run of anything else is a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,9 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return have
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read back: lineage ends here and a lost executor costs nothing that was written."""
+def cut(df: DataFrame, share: int = 1) -> DataFrame:
+    """df, written to the shared folder and read back: lineage ends here and a lost executor costs nothing that was written.
+
+    share: for what is a small part of the corpus, such as links, one file for so many shuffle partitions; a file costs
+    several calls to the file system, and at least 16 tasks remain.
+    """
     shared_dir(df.sparkSession)
+    if share > 1:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(max(16, partitions // share))
     return df.checkpoint(eager=True)
 
 
@@ -58,6 +72,22 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()[0])
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering the session's rows in an Arrow batch to BATCH_ROWS: of texts, Spark's 10,000 rows are tens of MB in the JVM and again in Python, for each running task."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
+def trim_memory() -> None:
+    """Gives a Python worker's freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def hex_fraction(key: Column) -> Column:
     """A number in [0, 1) from the md5 of a key: the same on every engine and in every run."""
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -30,8 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import cut, stored, table
-from quillgrid.llm.components import components
+from quillgrid.llm.common import bounded_batches, cut, stored, table, trim_memory
+from quillgrid.llm.components import SHARE, components
 from quillgrid.llm.shingles import mixed, set_digest, shingle_set, similar
 
 SHINGLE, PERCENT = 5, 75
@@ -84,6 +84,7 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "bands": [band_keys(signature(s)) if len(s) else None for s in sets],
             }
         )
+    trim_memory()
 
 
 def _with_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,12 +112,14 @@ def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [similar(of(a, x), of(b, y), PERCENT) for a, b, x, y in zip(batch["a"], batch["b"], batch["a_text"], batch["b_text"], strict=True)]
         yield batch.loc[np.array(found, bool), ["a", "b"]]
+    sets.clear()
+    trim_memory()
 
 
 def check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The links among pairs (a, b). Spark splits the rows of a class that is in very many pairs."""
     of = lambda c: texts.select(F.col("cls").alias(c), F.col("text").alias(f"{c}_text"))
-    return cut(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_text", "b_text").mapInPandas(_checked, "a string, b string"))
+    return cut(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_text", "b_text").mapInPandas(_checked, "a string, b string"), SHARE)
 
 
 class _Joined(dict):
@@ -177,6 +180,8 @@ def _compared(verify: bool):
             rest = batch.iloc[starts[-1] :] if len(batch) else None
         if rest is not None:
             yield compared(rest)
+        rest = batch = None
+        trim_memory()
 
     return run
 
@@ -187,7 +192,7 @@ ROW = ["block", "band", "cls", "comp", "minor", "few"]
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    docs = bounded_batches(docs).select("doc_id", "text")
     signed = stored(docs.mapInPandas(_signed, "doc_id long, n_shingles long, cls string, bands array<long>"), "signed")
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     buckets = classes.select("cls", F.posexplode("bands").alias("band", "key"))
@@ -195,7 +200,7 @@ def groups(docs: DataFrame) -> DataFrame:
     members = cut(buckets.join(shared, "key"))
 
     reps = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    wanted = cut(members.select("cls").distinct().join(reps, "cls"))
+    wanted = cut(members.select("cls").distinct().join(reps, "cls"), SHARE)
     near = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     found = docs.join(near, docs["doc_id"].eqNullSafe(near["rep"])).select("cls", "text")
     texts = stored(found.mapInPandas(_with_text, "cls string, text string, coordinates binary").dropDuplicates(["cls"]), "texts")
@@ -204,7 +209,7 @@ def groups(docs: DataFrame) -> DataFrame:
     spokes = members.where("cls != center").select(F.col("cls").alias("a"), F.col("center").alias("b"))
     first = spokes.groupBy("a").agg(F.min("b").alias("b"))
     links = check(first, texts)
-    comp = cut(components(links))
+    comp = cut(components(links), SHARE)
 
     def joined(df: DataFrame, column: str, name: str) -> DataFrame:
         return df.join(comp.select(F.col("node").alias(column), F.col("comp").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
@@ -212,7 +217,7 @@ def groups(docs: DataFrame) -> DataFrame:
     # Each with the smallest members of its other buckets, unless links join them.
     others = joined(joined(spokes.distinct().join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca != cb")
     links = links.union(check(others, texts))
-    comp = cut(components(links))
+    comp = cut(components(links), SHARE)
 
     # What is left in buckets of three or more that hold several components.
     rest = joined(members.where("n > 2 and cls != center"), "cls", "comp")
@@ -226,14 +231,14 @@ def groups(docs: DataFrame) -> DataFrame:
     every = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks("minors") - 1)))
     every = every.select("key", "band", "cls", "comp", "minor", F.lit(False).alias("few"), F.col("other").alias("x"), own("all").alias("y"))
     keys = classes.select("cls", F.transform("bands", lambda k: F.unhex(F.lpad(F.hex(k), 16, "0"))).alias("keys")).join(wanted.select("cls"), "cls", "left_semi")
-    keys = cut(keys.select("cls", F.array_join(F.transform("keys", F.hex), "").alias("hexes")).select("cls", F.unhex("hexes").alias("keys")))
+    keys = cut(keys.select("cls", F.array_join(F.transform("keys", F.hex), "").alias("hexes")).select("cls", F.unhex("hexes").alias("keys")), SHARE)
     signs = texts.select("cls", "coordinates").join(keys, "cls")
     blocked = few.unionByName(every).withColumn("block", F.xxhash64("key", "x", "y")).select(ROW)
     together = lambda df: df.repartition("block").sortWithinPartitions("block", F.desc("few"), "cls")
     left = cut(together(blocked.join(signs, "cls")).mapInPandas(_compared(False), "block long, band int, cls string, comp string, minor boolean, few boolean"))
     full = left.join(signs, "cls").join(texts.select("cls", "text"), "cls")
-    links = links.union(cut(together(full).mapInPandas(_compared(True), "a string, b string")))
-    comp = cut(components(links))
+    links = links.union(cut(together(full).mapInPandas(_compared(True), "a string, b string"), SHARE))
+    comp = cut(components(links), SHARE)
 
     least = joined(reps, "cls", "comp").groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = joined(reps, "cls", "comp").join(least, "comp").select("cls", "component_id")

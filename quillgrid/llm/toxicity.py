@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import table
+from quillgrid.llm.common import bounded_batches, table
 from quillgrid.llm.quality import labelled
 
 #: The most labelled rows that each of the three fits uses: those with the smallest hashes of their ids.
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
 
 def score(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """docs with held_out, score and predicted. Rows stay where they are; the model is at most a few hundred kB."""
-    model = fit(docs, labels, rows)
+    model = fit(bounded_batches(docs), labels, rows)
     added = [T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     kept = [f for f in docs.schema.fields if f.name not in {a.name for a in added}]
 

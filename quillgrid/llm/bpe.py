@@ -25,18 +25,21 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import table
+from quillgrid.llm.common import bounded_batches, table, trim_memory
 
-#: Words kept with their encoding by one Python worker; the table starts anew beyond it.
-CACHE_WORDS = 300_000
+#: Words kept with their encoding by one Python worker, in each of two generations: of the older, words that come again move up.
+CACHE_WORDS = 160_000
 #: Entries of the transition table kept by one Python worker, likewise.
-TABLE_ENTRIES = 1_000_000
+TABLE_ENTRIES = 300_000
+#: Rows encoded at a time.
+ROWS = 256
 #: A word longer than this is not kept.
 CACHE_LENGTH = 64
 
@@ -136,6 +139,7 @@ class WordTokenizer:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.symbols = byte_symbols()
         self.cache: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def normalise(self, text: str) -> str:
         """NFC, runs of white space as one space, each character in lower case by itself."""
@@ -147,11 +151,14 @@ class WordTokenizer:
 
     def _word(self, word: str) -> tuple[str, int, str]:
         """(ids, their number, labels) of a word, the ids and labels joined by spaces."""
-        tokens = self.automaton.encode_word("".join([self.symbols[b] for b in word.encode()]))
-        ids = [self.vocab[t] for t in tokens]
-        got = " ".join(map(str, ids)), len(ids), " ".join([self.labels[i] for i in ids])
+        got = self.older.get(word)
+        if got is None:
+            tokens = self.automaton.encode_word("".join([self.symbols[b] for b in word.encode()]))
+            ids = [self.vocab[t] for t in tokens]
+            got = " ".join(map(str, ids)), len(ids), " ".join([self.labels[i] for i in ids])
         if len(word) <= CACHE_LENGTH:
             if len(self.cache) >= CACHE_WORDS:
+                self.older = self.cache.copy()
                 self.cache.clear()
             self.cache[word] = got
         return got
@@ -191,7 +198,7 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, *, text: str = "text", ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, *, text: str = "text", ids: bool = True, decoded: bool = False) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256, and with ids (array<int>) and decoded (string) if asked for.
 
     A text's encoding depends on nothing else, so rows stay where they are: no shuffle, and memory for one batch.
@@ -199,25 +206,40 @@ def encode_documents(docs: DataFrame, path: str | None = None, *, text: str = "t
     """
     added = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
     if ids:
-        added |= {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
+        added["ids"] = T.ArrayType(T.IntegerType())
+    if decoded:
+        added["decoded"] = T.StringType()
     kept = [f for f in docs.schema.fields if f.name not in added]
     schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in added.items())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path or default_path())
-        for batch in batches:
-            rows = []
-            for value in batch[text]:
-                got = tok.words_of(value) if isinstance(value, str) else []
-                joined, labels = " ".join([g[0] for g in got]), " ".join([g[2] for g in got])
-                row = [sum([g[1] for g in got]), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(labels.encode()).hexdigest()]
-                rows.append([*row, list(map(int, joined.split())), labels] if ids else row)
-            out = batch[[f.name for f in kept]].copy()
-            for k, name in enumerate(added):
-                out[name] = [r[k] for r in rows]
-            yield out
-
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInPandas(run, schema)
+        try:
+            for whole in batches:
+                for start in range(0, whole.num_rows, ROWS):  # ids of a whole batch would be some hundred MB
+                    yield encoded(tok, whole.slice(start, ROWS))
+        finally:  # a worker outlives its task, and what it keeps counts against the tasks after it
+            _TOKENIZERS.clear()
+            del tok
+            trim_memory()
+
+    def encoded(tok: WordTokenizer, part: pa.RecordBatch) -> pa.RecordBatch:
+        out: dict[str, list] = {name: [] for name in added}
+        for value in part.column(text).to_pylist():
+            got = tok.words_of(value or "")
+            joined, labels = " ".join([g[0] for g in got]), " ".join([g[2] for g in got])
+            out["n_tokens"].append(sum([g[1] for g in got]))
+            out["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(labels.encode()).hexdigest())
+            if ids:
+                out["ids"].append(np.array(joined.split(), np.int32))
+            if decoded:
+                out["decoded"].append(labels)
+        types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
+        columns = [part.column(f.name) for f in kept] + [pa.array(v, types.get(n, pa.string())) for n, v in out.items()]
+        return pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), *out])
+
+    return bounded_batches(docs).select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def test_bpe_is_the_library(spark):
     theirs, r = Tokenizer.from_file(bpe.default_path()), random.Random(1)
     pieces = ["a", "aa", "the", "ing", " ", "\n", "'s", "don't", "<|endoftext|>", "<|", "Σ", "İ", "é", "한국", "😀", "12", "!!", "ß", "ǆ"]
     texts = [*ODD, "aaaaaaaaa aaaa", *("".join(r.choice(pieces) for _ in range(r.randint(1, 30))) for _ in range(400))]
-    got = {x.doc_id: x for x in bpe.encode_documents(documents(spark, texts).withColumn("ids", F.lit("clash"))).collect()}
+    got = {x.doc_id: x for x in bpe.encode_documents(documents(spark, texts).withColumn("ids", F.lit("clash")), decoded=True).collect()}
     for i, text in enumerate(texts):
         want = theirs.encode(text or "", add_special_tokens=False).ids
         assert got[i].ids == want and got[i].n_tokens == len(want)

@@ -232,3 +232,14 @@ def dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3_substring: what is left of every document."""
     return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
+#: DuckDB SQL: every window as a hash of its words, those that start at two places, and the words they cover.
+ORACLE = r"""with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+k as (select r, unnest(w) as word, generate_subscripts(w, 1) as i, len(w) as n from d),
+a as (select r, i, n, word, list(word) over (partition by r order by i rows between current row and 34 following) as ws from k),
+h as (select r, i, word, case when i <= n - 34 then md5(array_to_string(ws, ' ')) end as h from a),
+m as (select *, case when h is not null and count(*) over (partition by h) > 1 then 1 else 0 end as again from h),
+c as (select r, i, word, max(again) over (partition by r order by i rows between 34 preceding and current row) as gone from m),
+s as (select r, count(*) as n_words, sum(gone) as n_removed, coalesce(string_agg(word, ' ' order by i) filter (where gone = 0), '') as kept from c group by r)
+select doc_id, coalesce(n_words, 0) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join s using (r)"""

@@ -26,13 +26,14 @@ def author_edges(docs: DataFrame) -> DataFrame:
     return edge("d", "a", "authored_by").unionByName(edge("a", "d", "author_document"))
 
 
-def _pairs(docs: DataFrame, lists: tuple[str, ...], fields: list[str]) -> DataFrame:
-    """All ordered pairs of different documents that share an item of one of the lists, with fields of both (x_ and y_)."""
+def _pairs(docs: DataFrame, lists: tuple[str, ...], fields: list[str], starts: DataFrame | None = None) -> DataFrame:
+    """All ordered pairs of different documents that share an item of one of the lists, with fields of both (x_ and y_); from the ids of starts only, if given."""
     keys = [docs.select("id", F.explode(F.array_distinct(c)).alias("key"), F.lit(c).alias("of")) for c in lists]
     each = keys[0]
     for k in keys[1:]:
         each = each.unionByName(k)
-    ids = each.select(F.col("id").alias("x_id"), "key", "of").join(each.select(F.col("id").alias("y_id"), "key", "of"), ["key", "of"]).where("x_id <> y_id").select("x_id", "y_id").distinct()
+    first = each if starts is None else each.join(starts.select("id").distinct(), "id", "left_semi")
+    ids = first.select(F.col("id").alias("x_id"), "key", "of").join(each.select(F.col("id").alias("y_id"), "key", "of"), ["key", "of"]).where("x_id <> y_id").select("x_id", "y_id").distinct()
     side = lambda p: docs.select(*[F.col(f).alias(f"{p}_{f}") for f in ["id", *fields]])
     return ids.join(side("x"), "x_id").join(side("y"), "y_id")
 
@@ -62,9 +63,9 @@ def reference_edges(docs: DataFrame) -> DataFrame:
     return own.unionByName(mirror)
 
 
-def affinity_edges(docs: DataFrame) -> DataFrame:
-    """Edges to documents that share authors."""
-    pairs = _pairs(docs, ("authors",), _with(docs, ["authors", "keywords", "organization"]))
+def affinity_edges(docs: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """Edges to documents that share authors; of the documents of starts only, if given."""
+    pairs = _pairs(docs, ("authors",), _with(docs, ["authors", "keywords", "organization"]), starts)
     shared = F.size(F.array_intersect("x_authors", "y_authors"))
     same = F.when(tx.organization_key(F.col("x_organization")) == tx.organization_key(F.col("y_organization")), 0.18).otherwise(0.0)
     weight = 0.55 * shared + same + 0.17 * vx.max_overlap(F.col("x_keywords"), F.col("y_keywords")) + 0.1 * _cosine(docs)

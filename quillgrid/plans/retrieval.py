@@ -142,10 +142,10 @@ def supplemented_results(spark, d):
 
 
 def _papers(spark, d):
-    """The five most cited documents that labels call good and toxic, as the papers that a reader has at hand; and all documents."""
+    """All documents that labels call good and toxic, as the papers that a reader has at hand; and all documents."""
     ids = table(spark, d, "labels").where("quality = 1 and toxic = 1").select(F.col("doc_id").alias("id"))
     v = documents_view(spark, d)
-    return v.join(ids, "id", "left_semi").orderBy(F.desc("citations"), "id").limit(5), v
+    return v.join(ids, "id", "left_semi"), v
 
 
 def recommend_heuristic(spark, d):
@@ -157,7 +157,7 @@ def recommend_full(spark, d):
     from quillgrid.operators import graph
 
     papers, docs = _papers(spark, d)
-    return recommend.full(papers, docs, graph.affinity_edges(docs), 5, ["thinor"], ["src3"], "domestic")
+    return recommend.full(papers, docs, graph.affinity_edges(docs, papers), 5, ["thinor"], ["src3"], "domestic")
 
 
 def recommend_feed(spark, d):

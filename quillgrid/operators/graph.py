@@ -1,8 +1,10 @@
 """The document graph: edges derived from documents, and bounded expansions over an edge table.
 
-Edges are (source_id, target_id, edge_type, weight). Pairs of documents come from an equi
-join on a keyword or an author that they share, never from a cross join; pairs that share
-neither are no candidates here, and vector neighbours are the edges of their own kind.
+Edges are (source_id, target_id, edge_type, weight). Pairs of documents come from equi
+joins: on a keyword or an author that they share, on rare title words, and with the most
+cited documents up to a year. The other pairs can't be among a document's best; only with
+a vector column, where the cosine rates every pair, are all pairs made. Vector neighbours
+are the edges of their own kind.
 """
 
 from __future__ import annotations
@@ -33,7 +35,13 @@ def _pairs(docs: DataFrame, lists: tuple[str, ...], fields: list[str], starts: D
     for k in keys[1:]:
         each = each.unionByName(k)
     first = each if starts is None else each.join(starts.select("id").distinct(), "id", "left_semi")
-    ids = first.select(F.col("id").alias("x_id"), "key", "of").join(each.select(F.col("id").alias("y_id"), "key", "of"), ["key", "of"]).where("x_id <> y_id").select("x_id", "y_id").distinct()
+    ids = first.select(F.col("id").alias("x_id"), "key", "of").join(each.select(F.col("id").alias("y_id"), "key", "of"), ["key", "of"]).where("x_id <> y_id").select("x_id", "y_id")
+    return _sides(docs, ids, fields)
+
+
+def _sides(docs: DataFrame, ids: DataFrame, fields: list[str]) -> DataFrame:
+    """The fields of both (x_ and y_) beside pairs of ids."""
+    ids = ids.distinct()
     side = lambda p: docs.select(*[F.col(f).alias(f"{p}_{f}") for f in ["id", *fields]])
     return ids.join(side("x"), "x_id").join(side("y"), "y_id")
 
@@ -54,10 +62,45 @@ def _with(docs: DataFrame, fields: list[str]) -> list[str]:
     return fields + (["vector"] if "vector" in docs.columns else [])
 
 
+def _by_keyword(docs: DataFrame) -> DataFrame:
+    each = docs.select("id", F.explode(F.array_distinct(F.transform("keywords", lambda k: F.lower(k)))).alias("key"))
+    return each.select(F.col("id").alias("x_id"), "key").join(each.select(F.col("id").alias("y_id"), "key"), "key").where("x_id <> y_id").select("x_id", "y_id")
+
+
+def _all_ids(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("id").alias("x_id")).crossJoin(docs.select(F.col("id").alias("y_id"))).where("x_id <> y_id")
+
+
+def _most_cited(docs: DataFrame, most: int) -> DataFrame:
+    """x_id and y_id: each document with the most cited others up to its year, of years the distinct ones at hand."""
+    years = F.array(*[F.lit(r.year).cast("int") for r in docs.select("year").where("year is not null").distinct().collect()]).cast("array<int>")
+    rated = docs.where("year is not null").select(F.col("id").alias("y_id"), "year", F.round(_cited(F.col("citations")) + 1e-9, 4).alias("cited"))
+    # One more than the most, as the document itself may be among them.
+    head = lambda df, by: df.withColumn("place", F.dense_rank().over(Window.partitionBy(by).orderBy(F.desc("cited"), "y_id"))).where(F.col("place") <= most + 1).drop("place")
+    until = head(rated, "year").withColumn("until", F.explode(F.filter(years, lambda y: y >= F.col("year"))))
+    return docs.select(F.col("id").alias("x_id"), F.col("year").alias("until")).join(head(until, "until"), "until").where("x_id <> y_id").select("x_id", "y_id")
+
+
+def _cited(citations: Column) -> Column:
+    return F.least(citations / 300, F.lit(0.2))
+
+
+def _by_title(titled: DataFrame, least: float) -> DataFrame:
+    """x_id and y_id of all pairs whose shared title words are at least that share of the longer title, and some others: such titles share one of the rarest words of each."""
+    each = titled.select("id", F.explode("words").alias("term"))
+    rarity = each.groupBy("term").agg(F.count("*").alias("df"))
+    terms = each.join(rarity, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("terms")).withColumn("n", F.size("terms"))
+    head = F.slice("terms", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
+    keyed = terms.select("id", "n", F.explode(head).alias("t")).select("id", "n", F.col("t.term").alias("term"))
+    x, y = (keyed.select(F.col("id").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"), "term") for p in "xy")
+    return x.join(y, "term").where((F.col("x_id") != F.col("y_id")) & (F.least("x_n", "y_n") >= F.greatest("x_n", "y_n") * least - 1e-9)).select("x_id", "y_id")
+
+
 def reference_edges(docs: DataFrame) -> DataFrame:
-    """Edges to documents of the same year or before that share keywords, and their mirrors."""
-    pairs = _pairs(docs, ("keywords",), _with(docs, ["keywords", "year", "citations"])).where("y_year <= x_year")
-    weight = 0.55 * vx.max_overlap(F.col("x_keywords"), F.col("y_keywords")) + 0.45 * _cosine(docs) + F.least(F.col("y_citations") / 300, F.lit(0.2))
+    """Edges to documents of the same year or before that share keywords or are cited much, and their mirrors."""
+    ids = _all_ids(docs) if "vector" in docs.columns else _by_keyword(docs).union(_most_cited(docs, MOST["references"]))
+    pairs = _sides(docs, ids, _with(docs, ["keywords", "year", "citations"])).where("y_year <= x_year")
+    weight = 0.55 * vx.max_overlap(F.col("x_keywords"), F.col("y_keywords")) + 0.45 * _cosine(docs) + _cited(F.col("y_citations"))
     own = _best(pairs, weight, "references")
     mirror = own.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), F.lit("cited_by").alias("edge_type"), "weight")
     return own.unionByName(mirror)
@@ -73,9 +116,11 @@ def affinity_edges(docs: DataFrame, starts: DataFrame | None = None) -> DataFram
 
 
 def topic_edges(docs: DataFrame) -> DataFrame:
-    """Edges to documents with common keywords and title words."""
+    """Edges to documents with common keywords or title words."""
     titled = docs.withColumn("words", tx.unique_tokens(F.col("title")))
-    pairs = _pairs(titled, ("keywords",), _with(docs, ["keywords", "words", "region"]))
+    # Without a common keyword, title words have to make up what the region and rounding leave of the threshold.
+    ids = _all_ids(docs) if "vector" in docs.columns else _by_keyword(docs).union(_by_title(titled, (LEAST["topic_bridge"] - 0.06 - 0.0001) / 0.3))
+    pairs = _sides(titled, ids, _with(docs, ["keywords", "words", "region"]))
     keys, words = vx.max_overlap(F.col("x_keywords"), F.col("y_keywords")), vx.max_overlap(F.col("x_words"), F.col("y_words"))
     region = F.when(F.col("x_region") == F.col("y_region"), 0.06).otherwise(0.0)
     gate = (keys > 0) | (words > 0) | (_cosine(docs) >= 0.46)

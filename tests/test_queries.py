@@ -62,3 +62,14 @@ def test_recommenders_serve_every_labelled_paper(spark, sf_dir, duck, name):
     assert mine == theirs
     if "p_id" in columns:
         assert {r[columns.index("p_id")] for r in mine} == {r[0] for r in duck.execute("select doc_id from labels where quality = 1 and toxic = 1").fetchall()}
+
+
+@pytest.mark.parametrize("name", ["reference_edges", "topic_edges"])
+def test_edges_are_the_best_of_all_pairs(spark, sf_dir, duck, name):
+    """The same SQL over all pairs of documents."""
+    from quillgrid.plans import graph_queries
+
+    every = "p as (select a.id as x, b.id as y from docs a join docs b on a.id <> b.id)"
+    theirs = sorted((tuple(map(plain, r)) for r in duck.execute(ORACLES[name].replace(graph_queries._pairs("keywords"), every)).fetchall()), key=repr)
+    df = catalogue.queries()[name](spark, sf_dir).select("source_id", "target_id", "edge_type", "weight")
+    assert sorted((tuple(map(plain, r)) for r in df.collect()), key=repr) == theirs

@@ -14,8 +14,8 @@ meet. Copies of one vector share a pivot but fill several blocks.
 
 Cases: vectors that are null, or hold null or non-finite components, and null ids take
 no part; a shorter vector counts as filled with zeros; rows with the query's id are not
-its candidates; equal scores go by the smaller id, so ties and repeated rows are
-settled; with k candidates or fewer all are returned; an empty table gives an empty
+its candidates; equal scores go by the smaller id, so ties are settled; a repeated row
+counts each time, as a candidate and as a query, whose rows share the k ranks; with k candidates or fewer all are returned; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -88,11 +88,12 @@ class CoverTree:
 
 
 class TopK:
-    """The best scores of each query so far, and their ids; missing ones are -inf."""
+    """The best scores of each query so far, their ids, and whether they were added here or before; missing ones are -inf."""
 
     def __init__(self, ids: np.ndarray, k: int):
         self.ids, self.k = ids, k
         self.scores, self.found = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
+        self.fresh = np.ones((len(ids), k), bool)
 
     def worst(self) -> np.ndarray:
         return self.scores[:, -1]
@@ -107,9 +108,10 @@ class TopK:
             if len(at) > 4 * self.k:  # ties at the cut stay in
                 high = s >= np.partition(s, len(s) - self.k)[len(s) - self.k]
                 s, i = s[high], i[high]
+            new = np.concatenate([self.fresh[start + r], np.ones(len(s), bool)])
             s, i = np.concatenate([self.scores[start + r], s]), np.concatenate([self.found[start + r], i])
             best = np.lexsort((i, -s))[: self.k]
-            self.scores[start + r], self.found[start + r] = s[best], i[best]
+            self.scores[start + r], self.found[start + r], self.fresh[start + r] = s[best], i[best], new[best]
 
 
 def search(queries: CoverTree, data: CoverTree, top: TopK) -> int:
@@ -238,7 +240,7 @@ RESULT = "block long, rows long, ids binary, points binary, scores binary, found
 
 
 def _met(k: int):
-    """Each query block's best scores after meeting a data block. Rows come sorted by data block, that block first."""
+    """Each query block's best scores in a data block, without those from before. Rows come sorted by data block, that block first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = None
@@ -259,10 +261,11 @@ def _met(k: int):
                     back[np.argsort(mine.ids, kind="stable")] = order
                     top.scores = np.frombuffer(row.scores, np.float64).reshape(row.rows, -1)[back].copy()
                     top.found = np.frombuffer(row.found, np.int64).reshape(row.rows, -1)[back].copy()
-                old = top.found.copy()
+                    top.fresh[:] = False
                 search(mine, tree, top)
-                if row.scores is None or not np.array_equal(old, top.found):
-                    out.append((row.block, row.rows, mine.ids.tobytes(), mine.points.tobytes(), top.scores.tobytes(), top.found.tobytes()))
+                if row.scores is None or top.fresh.any():
+                    scores = np.where(top.fresh, top.scores, -np.inf)
+                    out.append((row.block, row.rows, mine.ids.tobytes(), mine.points.tobytes(), scores.tobytes(), top.found.tobytes()))
             yield pd.DataFrame(out, columns=["block", "rows", "ids", "points", "scores", "found"])
 
     return run
@@ -316,7 +319,7 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = K) -> D
                 q, j = np.nonzero(scores > -np.inf)
                 yield pd.DataFrame({"query_id": ids[q], "vec_id": found[q, j], "score": scores[q, j].astype(np.int64)})
 
-    rows = ended.select("rows", "ids", "scores", "found").mapInPandas(listed, "query_id long, vec_id long, score long").distinct()
+    rows = ended.select("rows", "ids", "scores", "found").mapInPandas(listed, "query_id long, vec_id long, score long")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return rows.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -26,6 +26,22 @@ def test_search_is_exact(spark, monkeypatch):
         assert [got[q[0]][k + 1] for k in range(15)] == [(i, -s) for s, i in dict.fromkeys(best)][:15] or len(set(best)) < 20
 
 
+def test_repeated_rows_count_each(spark, monkeypatch):
+    monkeypatch.setattr(dualtree, "DATA_ROWS", 64)
+    monkeypatch.setattr(dualtree, "QUERY_ROWS", 8)
+    monkeypatch.setattr(dualtree, "LEAF", 8)
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=6).astype(np.float32).tolist()) for i in range(300)]
+    rows += 12 * [(1, [9.0] * 6)] + 30 * [(2, [-8.0, 8.0] * 3)] + 2 * [rows[20]] + [(40, rows[7][1])]
+    got = {}
+    for x in dualtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    part = [(i, np.floor(64 * np.array(v))) for i, v in rows]
+    for q in range(0, 300, 20):
+        best = sorted((-int(a @ b), j) for i, a in part if i == q for j, b in part if j != q)[:20]
+        assert sorted(got[q]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+
+
 def test_search_with_few_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (7, [0.5, 0.5]), (20, [1.0, 0.0])], "vec_id long, embedding array<float>")
     rows = sorted(map(tuple, dualtree.top_k(few).collect()))

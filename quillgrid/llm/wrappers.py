@@ -26,6 +26,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 
 from quillgrid.llm.common import bounded_batches, cut, table
 
-#: Nesting beyond this is ignored.
+#: Levels of a wrapper; elements nested deeper are followed without a level of their own, but for the outermost aside.
 DEPTH = 100
 #: Hosts whose wrappers one task holds at a time; those of more are sent on as partial wrappers.
 HOSTS = 500
@@ -51,7 +52,7 @@ MOST = 0.6
 CELLS = 250_000
 
 #: Elements that are dropped with all they hold.
-RAW = "script|style|noscript|template|svg|title|textarea|iframe|object|select|button|head"
+RAW = "script|style|noscript|template|svg|title|textarea|iframe|object|select|button"
 #: Elements that start a block of text.
 BLOCKS = frozenset("html body main article section div nav header footer aside form ul ol li dl dt dd table caption thead tbody tfoot tr td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary fieldset center menu dialog".split())
 #: What an element ends if it is open among its siblings.
@@ -68,8 +69,7 @@ TOP_TAGS, TOP_WORDS = frozenset(["header"]), frozenset("header masthead topbar".
 MAIN_WORDS = frozenset("main content article post entry story".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S | re.I)
-HEAD = re.compile(r"<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)", re.S | re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<head(?=[\s/>])[^>]*>.*?(?:</head\s*>|(?=<body\b))|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S | re.I)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -94,10 +94,12 @@ def _is_aside(label: str, inside: bool) -> bool:
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str, int]]:
     """The blocks of text in page order: the labels of their elements, the places of those among their siblings, the text, and its characters inside links."""
-    page = HEAD.sub(" ", page, count=1) if "<head" in page[:2000].lower() else page
     out: list[tuple[tuple[str, ...], tuple[int, ...], str, int]] = []
     labels: list[str] = []
+    # All open elements, how many levels there were before each, and how many are open by name.
     tags: list[str] = []
+    levels: list[int] = []
+    opened: Counter[str] = Counter()
     places: list[int] = []
     counts = [0]
     parts: list[str] = []
@@ -114,7 +116,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str, int]]
         linked = 0
 
     def close(at: int) -> None:
-        del labels[at:], tags[at:], places[at:], counts[at + 1 :]
+        n = levels[at]
+        opened.subtract(tags[at:])
+        del labels[n:], tags[at:], levels[at:], places[n:], counts[n + 1 :]
+
+    def last(names: set[str]) -> int:
+        return next(k for k in range(len(tags) - 1, -1, -1) if tags[k] in names)
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -124,7 +131,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str, int]]
         at = m.end()
         tag = m[3]
         if tag is None:
-            parts.append(" " if m[1] else "")
+            parts.append(" " if m[1] or m[0][:5].lower() == "<head" else "")
             continue
         tag = tag.lower()
         if tag == "a":
@@ -133,10 +140,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str, int]]
             end_block()
             continue
         if m[2]:
-            if tag in BLOCKS or tag in tags:
+            if tag in BLOCKS or opened[tag]:
                 end_block()
-                if tag in tags:
-                    close(len(tags) - 1 - tags[::-1].index(tag))
+                if opened[tag]:
+                    close(last({tag}))
             continue
         if tag not in BLOCKS:
             label = _label(tag, m[4]) if "=" in m[4] and not m[4].endswith("/") else tag
@@ -145,20 +152,23 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str, int]]
         else:
             label = _label(tag, m[4])
         end_block()
-        if "p" in tags and tag in BLOCKS:
-            close(len(tags) - 1 - tags[::-1].index("p"))
-        for k in range(len(tags) - 1, -1, -1) if tag in ENDS else ():
+        if opened["p"] and tag in BLOCKS:
+            close(last({"p"}))
+        for k in range(len(tags) - 1, -1, -1) if any(opened[t] for t in ENDS.get(tag, ())) else ():
             if tags[k] in SCOPE[tag]:
                 break
             if tags[k] in ENDS[tag]:
                 close(k)
                 break
-        if len(tags) < DEPTH and not m[4].endswith("/"):
-            places.append(counts[-1])
-            counts[-1] += 1
-            counts.append(0)
-            labels.append(label)
+        if not m[4].endswith("/"):
             tags.append(tag)
+            levels.append(len(labels))
+            opened[tag] += 1
+            if len(labels) < DEPTH or (len(labels) == DEPTH and _is_aside(label, any(x.split(".")[0] in ("article", "main") for x in labels))):
+                places.append(counts[-1])
+                counts[-1] += 1
+                counts.append(0)
+                labels.append(label)
     if at < len(page):
         parts.append(page[at:])
     end_block()

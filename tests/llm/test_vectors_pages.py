@@ -91,3 +91,14 @@ def test_alignment_makes_groups_slots_and_options():
 def test_without_an_article_the_running_text_wins():
     html = "<body><div id=nav><a href=x>one</a> <a href=y>two</a></div><div id=wrap><div><h1>t</h1><p>much more running text than anything else here</p></div><div class=related>see</div></div>"
     assert wrappers.main_text(html, wrappers.rules(wrappers.page_wrapper(wrappers.blocks(html)))) == "t\nmuch more running text than anything else here"
+
+
+def test_deep_markup_and_late_heads_lose_no_text():
+    deep = "<div>" * 150 + "inner<nav>deep menu</nav><p>last" + "</div>" * 150
+    html = f"<html><body><div><article><p>first</p>{deep}<p>after</p></article><p>outside</p></div></body></html>"
+    told = wrappers.rules(wrappers.page_wrapper(wrappers.blocks(html)))
+    assert wrappers.main_text(html, told) == "first\ninner\nlast\nafter"
+    late = "<!--" + "x" * 3000 + "--><html><head><title>t</title><meta name=a><body><article><p>text</article>"
+    told = wrappers.rules(wrappers.page_wrapper(wrappers.blocks(late)))
+    assert wrappers.main_text(late, told) == "text"
+    assert wrappers.blocks("<head><title>t</title></head>a<!-- <head> -->b")[0][2] == "ab"

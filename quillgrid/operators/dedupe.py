@@ -72,19 +72,20 @@ def duplicate_links(docs: DataFrame) -> DataFrame:
     return direct.unionByName(titles).unionByName(same).distinct()
 
 
-def components(nodes: DataFrame, links: DataFrame, most: int = 30) -> DataFrame:
-    """id and cluster (its smallest member): least labels along links (a, b) until none changes, then pointers are followed twice a round."""
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """id and cluster (its smallest member): least labels along links (a, b), which all records of a label take at once, and pointers are followed, until none changes."""
     both = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = checkpointed(nodes.select("id", F.col("id").alias("cluster")))
-    for _ in range(most):
+    while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("cluster").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("cluster", "near").alias("next"), F.col("cluster").alias("old"))
+        least = step.groupBy("old").agg(F.min("next").alias("least"))
+        step = step.join(least, "old").select("id", F.col("least").alias("next"), "old")
         jump = step.select(F.col("id").alias("next"), F.col("next").alias("further"))
         new = checkpointed(step.join(jump, "next", "left").select("id", F.least("next", F.coalesce("further", "next")).alias("cluster"), "old"))
         labels = new.select("id", "cluster")
         if new.where("cluster <> old").limit(1).count() == 0:
             return labels
-    return labels
 
 
 def leaders(docs: DataFrame) -> DataFrame:

@@ -234,3 +234,11 @@ def test_detail(spark):
     assert rows["2"].shared == ["y"] and rows["2"].same_source and not rows["2"].same_region and rows["2"].years_apart == 2 and set(rows) == {"2", "3"}
     a, b = (spark.createDataFrame(x, "via string, target string, weight double") for x in ([("v", "t", 0.1)], [("v", "t", 0.9), ("w", "t", 0.2)]))
     assert [tuple(r) for r in detail.merged_paths(a, b, 5).collect()] == [("v", "t", 0.1), ("w", "t", 0.2)]
+
+
+def test_components_of_long_chains_are_whole(spark):
+    """0-100-99-...-1: the least label is at the far end of an unlucky order."""
+    links = [(0, 100), *((k, k + 1) for k in range(1, 100)), (200, 201)]
+    nodes = spark.createDataFrame([(k,) for k in [*range(101), 200, 201, 300]], "id long")
+    got = {x.id: x.cluster for x in dedupe.components(nodes, spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(101)}, 200: 200, 201: 200, 300: 300}

@@ -10,7 +10,8 @@ merged in two steps, by part of a host and by host.
 
 A wrapper then tells the main container (an article, else a main element, else the
 smallest element with most of the running text), and the template text inside it that
-is the same on all pages. Text of elements that are menus, headers, footers and so on
+is the same on all pages; inside an article or a main element no text counts as that, as
+copies of one article would agree on theirs. Text of elements that are menus, headers, footers and so on
 by their tag, role, class or id is left out.
 
 Cases: null and empty html, and a page without text, give an empty text; pages without
@@ -342,6 +343,8 @@ def rules(wrapper: Node) -> dict:
         named = [at]
     template = []
     for best in named:
+        if any(label.split(".")[0] in ("article", "main") for label in best):
+            continue
         mine = [(p, t) for p, t in leaves if p[: len(best)] == best]
         if any(t[0] is None for _, t in mine):
             template += [[list(p), t[0]] for p, t in mine if t[0] is not None and t[3] >= TEMPLATE_PAGES and not (p and p[-1].split(".")[0] in HEADINGS)]

@@ -102,3 +102,13 @@ def test_deep_markup_and_late_heads_lose_no_text():
     told = wrappers.rules(wrappers.page_wrapper(wrappers.blocks(late)))
     assert wrappers.main_text(late, told) == "text"
     assert wrappers.blocks("<head><title>t</title></head>a<!-- <head> -->b")[0][2] == "ab"
+
+
+def test_copies_of_an_article_lose_no_text():
+    for tag in ("article", "main"):
+        pages = [f"<body><{tag}><h1>h{i}</h1><p>own words {i}</{tag}>" for i in range(5)] + 12 * [f"<body><{tag}><h1>copied</h1><p>same<blockquote>quoted words</blockquote></{tag}>"]
+        whole = None
+        for html in pages:
+            one = wrappers.page_wrapper(wrappers.blocks(html))
+            whole = one if whole is None else wrappers.align(whole, one)
+        assert wrappers.main_text(pages[-1], wrappers.rules(whole)) == "copied\nsame\nquoted words"

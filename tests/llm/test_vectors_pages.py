@@ -8,22 +8,43 @@ from quillgrid.llm import dualtree, wrappers
 
 
 def test_search_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(dualtree, "DATA_ROWS", 64)
-    monkeypatch.setattr(dualtree, "QUERY_ROWS", 8)
-    monkeypatch.setattr(dualtree, "LEAF", 8)
+    for name, n in (("DATA_ROWS", 64), ("QUERY_ROWS", 8), ("LEAF", 8), ("CHUNK", 2), ("PIVOTS", 4)):
+        monkeypatch.setattr(dualtree, name, n)
     r = np.random.default_rng(1)
     centers = r.normal(size=(5, 6))
     vectors = [(centers[i % 5] + 0.2 * r.normal(size=6)).astype(np.float32).tolist() for i in range(500)]
     vectors += [vectors[0]] * 150  # copies, and so ties
-    rows = [(i, v) for i, v in enumerate(vectors)] + [(None, vectors[1]), (900, None), (901, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (20, vectors[3]), (905, [0.5])]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(None, vectors[1]), (900, None), (901, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (20, vectors[3]), (905, [0.5]), (906, [])]
+    frame = spark.createDataFrame([(*x, "clash") for x in rows], "vec_id long, embedding array<float>, score string")
+    best, met = dualtree.found(frame)
     got = {}
-    for x in dualtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
-        got.setdefault(x.query_id, {})[x["rank"]] = (x.vec_id, x.score)
-    part = [(i, np.floor(64 * np.array(v + [0.0] * (6 - len(v))))) for i, v in rows if i is not None and i not in (900, 901, 902, 903)]
-    for q in [p for p in part if p[0] % 20 == 0 and p[0] != 20]:
-        best = sorted((-int(q[1] @ v), i) for i, v in part if i != q[0])[:20]
-        # A repeated row counts once for each id and score.
-        assert [got[q[0]][k + 1] for k in range(15)] == [(i, -s) for s, i in dict.fromkeys(best)][:15] or len(set(best)) < 20
+    for x in best.collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    part = [(i, np.floor(64 * np.array(v + [0.0] * (6 - len(v))))) for i, v in rows if i is not None and i not in (900, 901, 902, 903, 906)]
+    asked = [p for p in part if p[0] % 20 == 0]
+    for q in {i for i, _ in asked}:
+        best = sorted((-int(a @ v), i) for j, a in asked if j == q for i, v in part if i != q)[:20]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert len(got) == len({i for i, _ in asked})
+    assert 0 < met.agg({"compared": "sum"}).first()[0] < 0.7 * len(asked) * len(part)
+
+
+def test_cover_trees_cover_and_separate():
+    r = np.random.default_rng(6)
+    for points in (r.normal(size=(900, 3)), r.normal(size=(300, 40)), np.repeat(r.normal(size=(20, 4)), 40, 0), np.zeros((100, 3)), r.normal(size=(1, 5))):
+        points = np.floor(64 * points)
+        t = dualtree.CoverTree.build(points, np.arange(len(points)))
+        assert sorted(t.ids) == list(range(len(points))) and (t.points == points[t.ids]).all()
+        for n, below in enumerate(t.below):
+            mine = t.points[t.starts[n] : t.ends[n]]
+            assert np.linalg.norm(mine - t.centers[n], axis=1).max() <= t.radii[n] * (1 + 1e-12)
+            if not len(below):
+                assert len(mine) <= dualtree.LEAF or t.radii[n] == 0
+                continue
+            assert [*t.starts[below], t.ends[n]] == [t.starts[n], *t.ends[below]]
+            assert (t.radii[below] <= t.radii[n] / 2 * (1 + 1e-9)).all()
+            apart = np.linalg.norm(t.centers[below][:, None] - t.centers[below][None], axis=2)
+            assert (apart + 1e9 * np.eye(len(below)) > t.radii[n] / 2 * (1 - 1e-9)).all()
 
 
 def test_repeated_rows_count_each(spark, monkeypatch):

@@ -1,15 +1,19 @@
-"""Quality rules: rule statistics of each text, and an isolation forest over their rates.
-
-Each rate is a rule: its limits are outer quantiles of the labelled good documents,
-with a margin, and the rule's statistic is how far a text lies outside them. The
-forest isolates labelled documents by random splits of these statistics; one with a
-short mean path breaks rules in a way that few do. The threshold is calibrated so
-that at most a stated share of the labelled good documents is lost.
-
-Cases: null and empty texts have no words and fail the base rules; without a good
-labelled row there is no forest and the base rules decide alone; repeated rows are
-judged each; a label counts once per doc_id, bad if any of its rows is; other columns
-pass through judge() unless they have the names it adds.
+"""Quality rules: rule statistics of each text, and an isolation forest over them.
+
+Base rules on counts reject a text at once. The forest judges the others by their raw
+rates. Its trees cut at random: a feature by its range among a node's rows, in units of
+the good documents' spread, and a place in that range, until no two good rows are left
+together. A tree sees many good labelled rows and few bad ones, which only widen the
+ranges; a text that rates unlike the good ones parts from them after few cuts, and its
+short mean path tells. Labelled rows are
+dealt by crc32(doc_id as text) mod 4: the trees see remainders 0 and 1; the threshold is
+calibrated on 3, so that at most a stated share of its good documents is lost; 2 is left
+for measuring.
+
+Cases: null and empty texts have no words and fail the base rules; without two good and
+a bad labelled row in 0 and 1, or a good one in 3, there is no forest and the base rules
+decide alone; repeated rows are judged each; a label counts once per doc_id, bad if any
+of its rows is; other columns pass through judge() unless they have the names it adds.
 """
 
 from __future__ import annotations
@@ -23,17 +27,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import bounded_batches, table
+from quillgrid.llm.common import bounded_batches, fold, table
 
 #: Base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 #: The most labelled rows that the forest and its threshold are fitted on: those with the smallest hashes of their ids.
 FIT_ROWS = 8_000
-TREES, TREE_ROWS = 120, 256
-#: A rule's limits: this quantile of the good documents on either side, and a margin in units of its distance from their median.
-QUANTILE, MARGIN = 0.999, 0.5
-#: Share of the labelled good documents that may score beyond the threshold.
+TREES, GOOD_ROWS, BAD_ROWS, DEEPEST = 200, 500, 12, 12
+#: Added to the spread of a rate among the good documents.
+LEAST_SPREAD = 0.01
+#: Remainders of the rows that the trees and the threshold are fitted on.
+TREE_FOLDS, THRESHOLD_FOLD, HELD_OUT = (0, 1), 3, 2
+#: Share of the good calibration rows that may score beyond the threshold.
 LOST_GOOD = 0.001
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATES = ("chars", "symbols", "dup_lines", "repeats", "capitals", "digits", "marks", "loud", "bars", "ends")
@@ -79,10 +85,16 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
     return [n, chars, symbols, dup, repeats], rates
 
 
+def usual_path(n: int) -> float:
+    """The mean path length in a random tree of n rows."""
+    return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+
 @dataclass
 class IsolationForest:
-    """Trees of random splits as arrays: feature (-1 at a leaf), cut, left child, and the path length that a leaf stands for."""
+    """Trees of random cuts as arrays: feature (-1 at a leaf), cut, left child (the right one follows), and the path length that a leaf stands for."""
 
+    unit: np.ndarray
     feature: np.ndarray
     cut: np.ndarray
     left: np.ndarray
@@ -90,36 +102,31 @@ class IsolationForest:
     usual: float
 
     @staticmethod
-    def fit(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 7) -> IsolationForest:
-        rng = np.random.default_rng(seed)
-        rows = min(rows, len(x))
-        deepest = max(1, int(np.ceil(np.log2(max(rows, 2)))))
-        size = 2 ** (deepest + 1)
-        made = [np.full((trees, size), v, t) for v, t in ((-1, np.int16), (0.0, float), (0, np.int32), (0.0, float))]
-        feature, cut, left, length = made
-
-        def usual(n: int) -> float:
-            return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
-
+    def fit(good: np.ndarray, bad: np.ndarray, trees: int = TREES, seed: int = 7) -> IsolationForest:
+        rng, unit = np.random.default_rng(seed), good.std(0) + LEAST_SPREAD
+        take = [(x / unit, min(n, len(x))) for x, n in ((good, GOOD_ROWS), (bad, BAD_ROWS))]
+        rows, most = sum(n for _, n in take), take[0][1]
+        feature, cut, left, length = (np.full((trees, 2 * rows), v, t) for v, t in ((-1, np.int16), (0.0, float), (0, np.int32), (0.0, float)))
         for t in range(trees):
-            free = 1
-            todo = [(0, x[rng.choice(len(x), rows, replace=False)], 0)]
+            sample, free = np.concatenate([x[rng.choice(len(x), n, replace=False)] for x, n in take]), 1
+            todo = [(0, sample, np.arange(rows) < most, 0)]
             while todo:
-                node, part, depth = todo.pop()
-                spread = np.flatnonzero(part.max(0) > part.min(0)) if len(part) > 1 and depth < deepest else []
-                if len(spread) == 0:
-                    length[t, node] = depth + usual(len(part))
+                node, part, fine, depth = todo.pop()
+                reach = part.max(0) - part.min(0)
+                if not fine.any() or len(part) < 2 or depth == DEEPEST or reach.max() <= 0:
+                    length[t, node] = depth + usual_path(int(fine.sum()))
                     continue
-                f = int(rng.choice(spread))
+                f = int(rng.choice(len(reach), p=reach / reach.sum()))
                 at = rng.uniform(part[:, f].min(), part[:, f].max())
                 feature[t, node], cut[t, node], left[t, node] = f, at, free
-                todo += [(free, part[part[:, f] <= at], depth + 1), (free + 1, part[part[:, f] > at], depth + 1)]
+                low = part[:, f] <= at
+                todo += [(free, part[low], fine[low], depth + 1), (free + 1, part[~low], fine[~low], depth + 1)]
                 free += 2
-        return IsolationForest(feature, cut, left, length, usual(rows) or 1.0)
+        return IsolationForest(unit, feature, cut, left, length, usual_path(most))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1; the shorter the mean path, the higher."""
-        total, at = np.zeros(len(x)), np.arange(len(x))
+        x, total, at = x / self.unit, np.zeros(len(x)), np.arange(len(x))
         for t in range(len(self.feature)):
             node = np.zeros(len(x), np.int64)
             while True:
@@ -166,41 +173,36 @@ def _measured(docs: DataFrame, kept: list[T.StructField]) -> DataFrame:
 
 @dataclass
 class Verdict:
-    """Rule limits, forest and threshold."""
+    """Forest and threshold."""
 
-    low: np.ndarray
-    high: np.ndarray
-    unit: np.ndarray
-    forest: IsolationForest | None = None
-    threshold: float = 1.0
-
-    def outside(self, rates: np.ndarray) -> np.ndarray:
-        return (np.maximum(rates - self.high, 0) + np.maximum(self.low - rates, 0)) / self.unit
+    forest: IsolationForest
+    threshold: float
 
     def score(self, rates: np.ndarray) -> np.ndarray:
-        return self.forest.score(self.outside(rates))
-
-
-def calibrate(good: np.ndarray, bad: np.ndarray) -> Verdict:
-    """The verdict that labelled rates lead to. The order of the rows doesn't matter."""
-    good, bad = (np.array(sorted(map(tuple, x)), float).reshape(len(x), len(RATES)) for x in (good, bad))
-    middle, high, low = np.median(good, 0), np.quantile(good, QUANTILE, 0), np.quantile(good, 1 - QUANTILE, 0)
-    model = Verdict(low - MARGIN * (middle - low), high + MARGIN * (high - middle), good.std(0) + 0.01)
-    model.forest = IsolationForest.fit(model.outside(np.concatenate([good, bad])))
-    scores = np.sort(model.score(good))
+        return self.forest.score(rates)
+
+
+def calibrate(rates: np.ndarray, bad: np.ndarray, folds: np.ndarray) -> Verdict | None:
+    """The verdict from labelled rates. The order of the rows doesn't matter."""
+    order = np.lexsort((*rates.T, bad, folds)) if len(rates) else []
+    rates, bad, folds = rates[order], bad[order] == 1, folds[order]
+    seen, judged = np.isin(folds, TREE_FOLDS), folds == THRESHOLD_FOLD
+    if (seen & ~bad).sum() < 2 or not (seen & bad).any() or not (judged & ~bad).any():
+        return None
+    forest = IsolationForest.fit(rates[seen & ~bad], rates[seen & bad])
+    scores = np.sort(forest.score(rates[judged & ~bad]))
     edge = float(scores[len(scores) - 1 - int(LOST_GOOD * len(scores))])
-    beyond = [float(s) for s in model.score(bad) if s > edge] if len(bad) else []
-    model.threshold = (edge + min(beyond)) / 2 if beyond else edge + 0.02
-    return model
+    beyond = [float(s) for s in forest.score(rates[judged & bad]) if s > edge] if (judged & bad).any() else []
+    return Verdict(forest, (edge + min(beyond)) / 2 if beyond else edge + 0.02)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Verdict | None:
-    """The verdict from labelled rows that pass the base rules; None without two good ones."""
+    """The verdict from at most rows labelled rows, of which those count that pass the base rules."""
     marked = labels.withColumn("bad", F.lit(1) - F.col("quality"))
-    sample = labelled(docs, marked, "bad", rows)
-    got = _measured(sample.select("label", "text"), [T.StructField("label", T.IntegerType())]).collect()
-    of = [[list(r.rates) for r in got if r.label == k and not base_failed(r.n_words, r.n_repeat_words)] for k in (0, 1)]
-    return calibrate(*map(np.array, of)) if len(of[0]) > 1 else None
+    sample = labelled(docs, marked, "bad", rows, fold(F.col("doc_id")) != HELD_OUT).withColumn("fold", fold(F.col("doc_id")).cast("int"))
+    got = _measured(sample.select("label", "fold", "text"), [T.StructField(n, T.IntegerType()) for n in ("label", "fold")]).collect()
+    got = [r for r in got if not base_failed(r.n_words, r.n_repeat_words)]
+    return calibrate(np.array([r.rates for r in got], float).reshape(len(got), len(RATES)), np.array([r.label for r in got]), np.array([r.fold for r in got]))
 
 
 def judge(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:

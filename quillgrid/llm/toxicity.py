@@ -23,11 +23,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import bounded_batches, table
+from quillgrid.llm.common import bounded_batches, fold, table
 from quillgrid.llm.quality import labelled
 
 #: The most labelled rows that each of the three fits uses: those with the smallest hashes of their ids.
@@ -46,11 +46,6 @@ NEAR = 5
 NAMES = ("word_density", "stem_density", "word_hits", "stem_hits", "hidden_hits", "near_second", "second_person", "capitals", "shouted", "loud", "question", "marks", "hidden", "words")
 
 
-def fold(doc_id: Column) -> Column:
-    """crc32(doc_id as text) mod 4."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
-
-
 def features(text: str | None, words: frozenset[str], stems: frozenset[str]) -> list[float]:
     """NAMES of a text. Densities are per word, with ten plain words added."""
     text = text or ""

@@ -98,6 +98,31 @@ def test_quality_finds_odd_documents(spark):
     assert quality.judge(docs.limit(0), labels).count() == 0
 
 
+def test_the_forest_decides_and_loses_no_more_than_limits_on_each_rate():
+    """On the held-out labelled rows of sf0.1 that pass the base rules; limits are outer quantiles of the good rows, with a margin."""
+    import duckdb
+    import numpy as np
+    import zlib
+
+    at = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"select d.doc_id, text, max(1 - quality) from '{at}/documents.parquet' d join '{at}/labels.parquet' l using (doc_id) where quality is not null group by all").fetchall()
+    got = [(zlib.crc32(str(i).encode()) % 4, bad, *quality.statistics(t)) for i, t, bad in rows]
+    got = [(f, bad, rates) for f, bad, n, rates in got if not quality.base_failed(n[0], n[4])]
+    folds, bad, rates = (np.array(x) for x in zip(*got, strict=True))
+    held, bad = folds == quality.HELD_OUT, bad == 1
+    verdict = quality.calibrate(rates[~held], bad[~held].astype(int), folds[~held])
+    forest = verdict.score(rates[held]) > verdict.threshold
+    good = rates[~held & ~bad]
+    middle, high, low = np.median(good, 0), np.quantile(good, 0.999, 0), np.quantile(good, 0.001, 0)
+    for margin in (0, 0.5):
+        limits = ((rates[held] > high + margin * (high - middle)) | (rates[held] < low - margin * (middle - low))).any(1)
+        print(margin, "limits: caught", (limits & bad[held]).sum(), "lost", (limits & ~bad[held]).sum())
+        if margin == 0:
+            assert (forest != limits).any() and (forest != bad[held]).sum() <= (limits != bad[held]).sum()
+    print("forest: caught", (forest & bad[held]).sum(), "of", bad[held].sum(), "lost", (forest & ~bad[held]).sum(), "of", (~bad[held]).sum())
+    assert (forest & bad[held]).sum() >= 0.97 * bad[held].sum() and (forest & ~bad[held]).sum() <= 0.005 * (~bad[held]).sum()
+
+
 def test_toxicity_on_held_out_rows(spark):
     r = random.Random(4)
     texts = []

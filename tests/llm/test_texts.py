@@ -179,14 +179,45 @@ def test_raking_meets_the_marginals(spark):
     rows = mixing.mix(docs).collect()
     assert len(rows) == 303 and all(0 <= x.prob <= 1 for x in rows)
     assert all(x.prob == 0 and not x.kept for x in rows if x.n_tokens == 0)
-    total = sum(x.n_tokens for x in rows)
-    for name, power in mixing.TEMPER.items():
-        have, goal = {}, {}
+    size = sum(x.prob * x.n_tokens for x in rows)
+    for name in mixing.DIMENSIONS:
+        have, tokens = {}, {}
         for x in rows:
             key = getattr(x, name) or "(none)"
-            have[key] = have.get(key, 0) + x.weight * x.n_tokens
-            goal[key] = goal.get(key, 0) + x.n_tokens
-        scale = sum(v**power for v in goal.values())
+            have[key] = have.get(key, 0) + x.prob * x.n_tokens
+            tokens[key] = tokens.get(key, 0) + x.n_tokens
+        goal = {k: v ** mixing.TEMPER[name] if name in mixing.TEMPER else mixing.LANGUAGES.get(k, 1 - sum(mixing.LANGUAGES.values())) for k, v in tokens.items()}
+        goal = {k: v for k, v in goal.items() if tokens[k]}
         for k, v in goal.items():
-            assert have[k] == pytest.approx(total * v**power / scale, rel=0.02, abs=1)
+            assert have[k] / size == pytest.approx(v / sum(goal.values()), abs=0.005)
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_a_hot_source_is_thinned_to_its_target(spark):
+    """A source of a tenth of the tokens with a target of nine tenths, which probabilities above 1 would be needed for at full size."""
+    docs = spark.createDataFrame([(i, prose(i), "en", "rare" if i % 10 == 0 else "hot") for i in range(4000)], "doc_id long, text string, lang string, source string")
+    share = spark.createDataFrame([("rare", 9.0), ("hot", 1.0), ("absent", 5.0)], "value string, share double")
+    rows = mixing.mix(docs, {"source": share}).collect()
+    kept = {s: sum(x.prob * x.n_tokens for x in rows if x.source == s) for s in ("rare", "hot")}
+    assert kept["rare"] / sum(kept.values()) == pytest.approx(0.9, abs=0.001) and max(x.prob for x in rows) <= 1
+    drawn = {s: sum(x.n_tokens for x in rows if x.source == s and x.kept) for s in ("rare", "hot")}
+    assert drawn["rare"] / sum(drawn.values()) == pytest.approx(0.9, abs=0.05)
+
+
+def test_kept_shares_are_the_targets_on_whole_tables(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    cells = mixing.cells_of(mixing.measured(docs))
+    raked, few = (mixing.rake(cells, mixing.goals_of(cells), n) for n in (mixing.ROUNDS, 3))
+    rows = mixing.residuals(raked).collect()
+    assert max(abs(x.target - x.reached) for x in rows) <= 0.005, sorted(rows, key=lambda x: -abs(x.target - x.reached))[:5]
+    assert raked.where("w > tokens").count() == 0
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)  # marginals as aggregates that are joined
+    of = lambda df: {(x.source, x.lang, x.topic): x.w for x in df.collect()}
+    one, two = of(mixing.rake(cells, mixing.goals_of(cells), 3)), of(few)
+    assert one == pytest.approx(two)
+
+
+def test_topics_are_subjects_then_forms(spark):
+    texts = ["The court heard the judge.", "Ein Gericht und ein Richter, code", "the bank and the court", "plain words", None, "a|b|c|d"]
+    rows = {x.doc_id: x.topic for x in mixing.measured(documents(spark, texts)).collect()}
+    assert rows == {0: "law", 1: "law", 2: "note", 3: "note", 4: "empty", 5: "table"}

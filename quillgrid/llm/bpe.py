@@ -2,15 +2,19 @@
 
 The merges are compiled, in rank order, by merge gadgets. The gadget of a merge
 (u, v) -> w adds a state w. A state that let u follow now lets w follow too; w lets
-follow whatever v let follow; and u no longer lets v follow. So state x lets token y
-follow exactly if a chain of gadgets says so, and a token sequence is the encoding
-of its text exactly if each token lets the next one follow. The transition table has
-a state for each token and is filled as words reach it: an entry is the result of
-the gadgets in rank order and never changes once computed, so executors that fill
-different parts agree.
+follow whatever v let follow; and u no longer lets v follow. So a token sequence is the
+encoding of its text exactly if each token lets the next one follow. An entry of this
+relation is the result of the gadgets in rank order and never changes, so it is kept once
+computed, and executors that fill different parts agree.
 
-A word is encoded left to right along the automaton's arcs; a single path spells it.
-Decoding follows the arcs' ids and emits their labels.
+The labels of the states are compiled into one deterministic automaton over bytes: its
+state is the longest end of what was read that starts a label, and a state knows the
+labels that end there. A word is encoded by a transition for each byte. As every prefix
+of a word has one encoding, and so one last token, that token is found among the labels
+that end there: the one that the last token before it lets follow. The tokens are then
+read back from the end. Time is the word's length times the labels that end at a place.
+
+Decoding emits the arcs' labels from the ids alone.
 
 Cases: null text counts as empty; an empty text has no ids; a text that spells a
 special token yields its id, as the library does by default; repeated rows are
@@ -34,9 +38,9 @@ from pyspark.sql import types as T
 
 from quillgrid.llm.common import bounded_batches, table, trim_memory
 
-#: Words kept with their encoding by one Python worker, in each of two generations: of the older, words that come again move up.
+#: Words, and runs between blanks, kept with their encoding by one Python worker, in each of two generations: of the older, those that come again move up.
 CACHE_WORDS = 160_000
-#: Entries of the transition table kept by one Python worker, likewise.
+#: Entries of the relation, and transitions that leave a label, kept by one Python worker.
 TABLE_ENTRIES = 300_000
 #: Rows encoded at a time.
 ROWS = 256
@@ -66,7 +70,54 @@ class MergeAutomaton:
                 self.made[w] = (i, u, v)
         parts = {x for pair in merges for x in pair}
         self.state = {t: i for t, i in vocab.items() if t in self.made or t not in parts or len(t.removesuffix(end)) == 1}
-        self.longest = max(len(t.removesuffix(end)) for t in self.state)
+        self.size = max(vocab.values()) + 1
+        self.token = {i: t for t, i in self.state.items()}
+        self._compile()
+
+    def _compile(self) -> None:
+        """Arcs over labels, the state of the longest proper end, and the labels that end at a state, inside of a word and at its end."""
+        arcs: dict[int, int] = {}
+        label: list[list[int]] = [[-1, -1]]
+        self.length: dict[int, int] = {}
+        parent, by = [0], [0]
+        for token, number in self.state.items():
+            node, text = 0, token.removesuffix(self.end)
+            self.length[number] = len(text)
+            for c in text:
+                key = node << 9 | ord(c)
+                to = arcs.get(key)
+                if to is None:
+                    to = arcs[key] = len(label)
+                    label.append([-1, -1])
+                    parent.append(node)
+                    by.append(ord(c))
+                node = to
+            label[node][len(text) < len(token)] = number
+        depth = [0] * len(label)
+        for n in range(1, len(label)):  # a state's parent comes before it
+            depth[n] = depth[parent[n]] + 1
+        shorter, more = [0] * len(label), [0] * len(label)
+        for n in sorted(range(1, len(label)), key=depth.__getitem__):
+            f = shorter[parent[n]] if depth[n] > 1 else 0
+            if depth[n] > 1:
+                while f and f << 9 | by[n] not in arcs:
+                    f = shorter[f]
+                f = arcs.get(f << 9 | by[n], 0)
+            shorter[n] = f
+            more[n] = f if label[f] != [-1, -1] else more[f]
+        self.arcs, self.shorter, self.more, self.depth = arcs, shorter, more, depth
+        self.inner, self.final = [x[0] for x in label], [x[1] for x in label]
+        self.leaps: dict[int, int] = {}
+
+    def _leap(self, node: int, c: int) -> int:
+        """The transition of a state that has no arc for c."""
+        key, f = node << 9 | c, node
+        while f and f << 9 | c not in self.arcs:
+            f = self.shorter[f]
+        if len(self.leaps) >= TABLE_ENTRIES:
+            self.leaps.clear()
+        to = self.leaps[key] = self.arcs.get(f << 9 | c, 0)
+        return to
 
     def _lets(self, x: str, y: str, turn: int) -> bool:
         """Whether state x lets token y follow once the gadgets before turn are applied: undoes gadgets, latest first."""
@@ -84,41 +135,43 @@ class MergeAutomaton:
             else:
                 turn, x = mx[0], mx[2]
 
-    def lets(self, x: str, y: str) -> bool:
-        """The table's entry for (x, y)."""
-        key = self.state[x] * len(self.state) + self.state[y]
+    def lets(self, x: int, y: int) -> bool:
+        """Whether the token of id x lets that of id y follow."""
+        key = x * self.size + y
         got = self.follows.get(key)
         if got is None:
             if len(self.follows) >= TABLE_ENTRIES:
                 self.follows.clear()
-            got = self.follows[key] = self._lets(x, y, len(self.rank))
+            got = self.follows[key] = self._lets(self.token[x], self.token[y], len(self.rank))
         return got
 
-    def encode_word(self, symbols: str) -> list[str]:
-        """The tokens of one word, given as one symbol a byte; its last gets the end mark.
-
-        Follows the automaton's arcs, longest first. A position that one path has left
-        without reaching the end is dead for all, as only one path reaches it; so time is
-        the word's length times the longest token.
-        """
-        n, state, path, starts = len(symbols), self.state, [], [0]
-        dead: set[int] = set()
-        limit = self.longest
-        while starts[-1] < n:
-            at = starts[-1]
-            for size in range(min(limit, n - at), 0, -1):
-                to = at + size
-                token = symbols[at:to] if to < n else symbols[at:] + self.end
-                if token in state and to not in dead and (not path or self.lets(path[-1], token)):
-                    path.append(token)
-                    starts.append(to)
-                    limit = self.longest
-                    break
-            else:
-                dead.add(at)
-                starts.pop()
-                path.pop()
-        return path
+    def encode_word(self, symbols: str) -> list[int]:
+        """The ids of one word, given as one symbol a byte; its last token has the end mark."""
+        arcs, leaps, more, depth, of = self.arcs, self.leaps, self.more, self.depth, self.inner
+        follows, size, n, node = self.follows, self.size, len(symbols), 0
+        # The last token of each prefix, which the empty one lacks.
+        ending = [-1] * (n + 1)
+        for i, c in enumerate(symbols, 1):
+            c = ord(c)
+            key = node << 9 | c
+            node = arcs.get(key) or leaps.get(key) or self._leap(node, c)
+            if i == n:
+                of = self.final
+            at = node
+            while at:
+                token = of[at]
+                if token >= 0:
+                    before = ending[i - depth[at]]
+                    ok = before < 0 or follows.get(before * size + token)
+                    if ok or (ok is None and self.lets(before, token)):
+                        ending[i] = token
+                        break
+                at = more[at]
+        path = []
+        while n:
+            path.append(ending[n])
+            n -= self.length[ending[n]]
+        return path[::-1]
 
 
 class WordTokenizer:
@@ -131,15 +184,15 @@ class WordTokenizer:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = MergeAutomaton(model["vocab"], merges, model["end_of_word_suffix"])
         self.vocab = model["vocab"]
-        self.labels = {i: t for t, i in self.vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.labels.update({i: t for t, i in self.special.items()})
+        #: The label of each id, given in decimals.
+        self.labels = {str(i): t for t, i in [*self.vocab.items(), *self.special.items()]}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.symbols = byte_symbols()
-        self.cache: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
+        self.words_kept: tuple[dict, dict] = {}, {}
+        self.runs_kept: tuple[dict, dict] = {}, {}
 
     def normalise(self, text: str) -> str:
         """NFC, runs of white space as one space, each character in lower case by itself."""
@@ -149,37 +202,42 @@ class WordTokenizer:
                 text = text.replace("Σ", "σ")
         return text.lower()
 
-    def _word(self, word: str) -> tuple[str, int, str]:
-        """(ids, their number, labels) of a word, the ids and labels joined by spaces."""
-        got = self.older.get(word)
-        if got is None:
-            tokens = self.automaton.encode_word("".join([self.symbols[b] for b in word.encode()]))
-            ids = [self.vocab[t] for t in tokens]
-            got = " ".join(map(str, ids)), len(ids), " ".join([self.labels[i] for i in ids])
-        if len(word) <= CACHE_LENGTH:
-            if len(self.cache) >= CACHE_WORDS:
-                self.older = self.cache.copy()
-                self.cache.clear()
-            self.cache[word] = got
+    def _kept(self, kept: tuple[dict, dict], key, made):
+        """made(key), kept if the key is short."""
+        fresh, older = kept
+        got = older.get(key) or made(key)
+        if len(key) <= CACHE_LENGTH:
+            if len(fresh) >= CACHE_WORDS:
+                older.clear()
+                older.update(fresh)
+                fresh.clear()
+            fresh[key] = got
         return got
 
-    def words_of(self, text: str) -> list[tuple[str, int, str]]:
-        """The encodings of a text's words and special tokens, in order."""
-        kept, out = self.cache.get, []
+    def _word(self, word: str) -> str:
+        return " ".join(map(str, self.automaton.encode_word("".join([self.symbols[b] for b in word.encode()]))))
+
+    def _run(self, run: bytes) -> str:
+        """The ids of a run between blanks, which no word crosses."""
+        kept = self.words_kept[0].get
+        return " ".join([kept(w) or self._kept(self.words_kept, w, self._word) for w in self.words.findall(run.decode())])
+
+    def ids_of(self, text: str) -> str:
+        """A text's ids in decimals, joined by spaces."""
+        kept, out = self.runs_kept[0].get, []
         for part in self.at_special.split(text) if "<|" in text else [text]:
             if part in self.special:
-                i = self.special[part]
-                out.append((str(i), 1, self.labels[i]))
+                out.append(str(self.special[part]))
             else:
-                out += [kept(w) or self._word(w) for w in self.words.findall(self.normalise(part))]
-        return out
+                out += [kept(r) or self._kept(self.runs_kept, r, self._run) for r in self.normalise(part).encode().split()]
+        return " ".join(filter(None, out))
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for ids, _, _ in self.words_of(text or "") for i in ids.split(" ")]
+        return [int(i) for i in self.ids_of(text or "").split()]
 
-    def decode(self, ids: list[int]) -> str:
-        """The labels of the arcs, joined by spaces (the file names no decoder)."""
-        return " ".join(self.labels[i] for i in ids)
+    def decode(self, ids: list[str]) -> str:
+        """The labels of the arcs, joined by spaces (the file names no decoder), from ids in decimals."""
+        return " ".join(map(self.labels.__getitem__, ids))
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -226,13 +284,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, *, text: str = "t
     def encoded(tok: WordTokenizer, part: pa.RecordBatch) -> pa.RecordBatch:
         out: dict[str, list] = {name: [] for name in added}
         for value in part.column(text).to_pylist():
-            got = tok.words_of(value or "")
-            joined, labels = " ".join([g[0] for g in got]), " ".join([g[2] for g in got])
-            out["n_tokens"].append(sum([g[1] for g in got]))
+            joined = tok.ids_of(value or "")
+            numbers = joined.split()
+            labels = tok.decode(numbers)
+            out["n_tokens"].append(len(numbers))
             out["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(labels.encode()).hexdigest())
             if ids:
-                out["ids"].append(np.array(joined.split(), np.int32))
+                out["ids"].append(np.array(numbers, np.int32))
             if decoded:
                 out["decoded"].append(labels)
         types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}

@@ -32,6 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_dualtree": dualtree.ORACLE,
         "op3_substring": substring.ORACLE,
         "op4_pii": pii.oracle(),
-        "op6_token_counts": token_counts.oracle(),
         "op10_mixing": mixing.oracle(),
     }

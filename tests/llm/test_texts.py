@@ -159,6 +159,7 @@ def test_labels_are_no_input_of_a_score(spark):
 
 def test_rollups_are_idempotent_and_signed(spark, tmp_path):
     store = token_counts.RollupStore(spark, str(tmp_path / "store"))
+    assert store.totals().count() == 0
     docs = documents(spark, [*ODD, "one two, three"])
     counts = token_counts.counted(docs)
     assert store.commit("a", token_counts.inserts(counts)) and not store.commit("a", token_counts.inserts(counts))
@@ -172,6 +173,64 @@ def test_rollups_are_idempotent_and_signed(spark, tmp_path):
     assert total()["words-1"] == (1, 7)
 
 
+def test_a_rival_commit_counts_once(spark, tmp_path, monkeypatch):
+    """Both find the name free, one is done first; also if the slower one's attempt stays behind."""
+    one, two = (token_counts.RollupStore(spark, str(tmp_path / "store")) for _ in range(2))
+    changes = token_counts.inserts(token_counts.counted(documents(spark, ["a b", "c"]), {"words-1": token_counts.WORD}))
+    done = []
+
+    class Slow(token_counts.RollupStore):
+        def committed(self, batch):
+            if not done:
+                done.append(one.commit(batch, changes))
+            return False
+
+    assert not Slow(spark, str(tmp_path / "store")).commit("load", changes) and done == [True]
+    sums = lambda: two.totals().agg(F.sum("n_docs"), F.sum("n_tokens")).first()
+    assert tuple(sums()) == (2, 3)
+    (home,) = (tmp_path / "store" / "committed" / "load").iterdir()
+    home.rename(home.with_name("0" + home.name))
+    changes.groupBy(*token_counts.KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(str(home))
+    assert tuple(sums()) == (2, 3)
+
+
+def test_totals_of_repeated_rows_and_nulls(spark, tmp_path):
+    """The query against plain counting, and its pattern version against SQL."""
+    import duckdb
+    from tokenizers import Tokenizer
+
+    texts = [*ODD, "write to a@b.cd now", "call +1 555 555 5555", "x y"]
+    rows = [(i if i != 3 else None, t, ("en", None)[i % 2], None if i % 5 == 0 else "s", 0) for i, t in enumerate(texts)]
+    rows += 2 * [(10, "again a@b.cd", "en", "s", 0)] + [(None, "no id c@d.ef", "en", "s", 0)]
+    labels = [(0, 0, 1), (10, 1, 1), (10, None, None), (11, None, 1), (5, 1, 0), (12, 0, None), (12, 1, 1), (None, 0, 1)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {tuple(x) for x in token_counts.query(spark, str(tmp_path)).collect()}
+    bpe_count = Tokenizer.from_file(bpe.default_path())
+    count = {"words-1": lambda t: len(t.encode().split()), "word-bpe-49k": lambda t: len(bpe_count.encode(t, add_special_tokens=False).ids)}
+    want = {}
+    clear = {"write to a@b.cd now": "write to <EMAIL> now", "again a@b.cd": "again <EMAIL>", "call +1 555 555 5555": "call <PHONE>"}
+    for i, t, lang, source, _ in rows:
+        if i in (0, 12):
+            continue
+        t = clear.get(t or "", t or "") if i in (10, 11) else t or ""
+        for v, n in count.items():
+            d, s = want.get((source, lang, v), (0, 0))
+            want[source, lang, v] = d + 1, s + n(t)
+    assert got == {(*k, *v) for k, v in want.items()}
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    words = {(s, lang, v): d for s, lang, v, d, _ in con.execute(token_counts.PATTERN_ORACLE).fetchall()}
+    assert words == {k: v[0] for k, v in want.items() if k[2] == "words-1"}
+    plain = {(s, lang): n for s, lang, _, _, n in con.execute(token_counts.PATTERN_ORACLE).fetchall()}
+    store = token_counts.RollupStore(spark, str(tmp_path / "plain"))
+    counts = token_counts.counted(spark.read.parquet(f"{tmp_path}/documents.parquet"), {"words-1": token_counts.WORD})
+    store.commit("load", token_counts.inserts(counts))
+    store.commit("bad", token_counts.deletes(counts.where("doc_id in (0, 12)")))
+    assert {(x.source, x.lang): x.n_tokens for x in store.totals().collect()} == plain
+
+
 def test_raking_meets_the_marginals(spark):
     r = random.Random(5)
     # No cell holds most of a marginal, so that the targets can be met together.

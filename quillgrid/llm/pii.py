@@ -7,13 +7,16 @@ match ended, which gives the leftmost matches in linear time and without recursi
 long runs.
 
 The base kinds are email, ip, card and phone; a base match that passes its check always
-stays. The method adds iban (mod-97) and ssn (needs a context word) if their score is
-high enough. Spans of one kind don't overlap; those of different kinds may.
+stays. The method adds iban (mod-97; lost to a word such as "sample" nearby, unless one
+such as "account" is there too) and ssn (needs a context word) if their score is high
+enough. Words are nearby if they lie within REACH code points and before the next match
+of the kind. Spans of one kind don't overlap; those of different kinds may. Time is
+linear in the text: no span looks for its place in the whole text.
 
 Cases: null and empty texts have no spans; repeated rows are searched each; redact()
-covers overlapping spans by the first that starts (the longer of two that start
-together); other columns pass through detect() unless they have the names it adds, or a
-kind's name after an underscore.
+replaces spans that overlap by one mark, of the first that starts (the longer of two
+that start together); other columns pass through detect() unless they have the names it
+adds, or a kind's name after an underscore.
 """
 
 from __future__ import annotations
@@ -46,24 +49,26 @@ CONTEXT = {
     "ssn": r"\bssn\b|social security",
 }
 REACH = 40
-#: Score: pattern alone, a passed checksum, a context word. Added kinds need THRESHOLD.
-PLAIN, CHECKED, NEARBY, THRESHOLD = 0.4, 0.4, 0.2, 0.6
-#: Matches in a block of the running sums.
-BLOCK = 256
+#: Words that speak against any kind.
+AGAINST = r"\b(?:example|sample|test|dummy|beispiel|ejemplo|exemple)\b"
+#: Score: pattern alone, a passed checksum, a context word, a word against. Added kinds need THRESHOLD.
+PLAIN, CHECKED, NEARBY, DOUBT, THRESHOLD = 0.4, 0.4, 0.2, 0.3, 0.6
+#: Elements in a block of running sums, and code points in a block of a text that is cut up.
+BLOCK, PIECE = 256, 1024
 
 
-def _running(lengths: Column) -> Column:
-    """Sums of the elements before each element, in blocks: time is a block's size times the length."""
+def _running(lengths: Column, plus=lambda s, x: s + x) -> Column:
+    """Sums (or what plus gives, from 0 on) of the elements before each element, in blocks: time is a block's size times the length."""
 
     def running(of: Column) -> Column:
         empty = F.array().cast("array<long>")
         start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("all"))
-        return F.aggregate(of, start, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+        return F.aggregate(of, start, lambda s, x: F.struct(plus(s["at"], x).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
 
     n = F.size(lengths)
     blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
-    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + x))
-    whole = F.flatten(F.zip_with(blocks, running(sums), lambda b, at: F.transform(running(b), lambda x: x + at)))
+    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), plus))
+    whole = F.flatten(F.zip_with(blocks, running(sums), lambda b, at: F.transform(running(b), lambda x: plus(x, at))))
     return F.when(n <= BLOCK, running(lengths)).otherwise(whole)
 
 
@@ -101,14 +106,13 @@ def _check_of(kind: str):
     return lambda x: _passes(kind, x["m"])
 
 
-def _score_of(kind: str, body: Column):
+def _score_of(kind: str):
     """Turns a match of a kind into a span with its score."""
     own = PLAIN + (CHECKED if kind in ("ip", "card", "phone", "iban") else 0.0)
 
     def span(x: Column) -> Column:
-        low = F.greatest(x["start"] - REACH, F.lit(0))
-        near = F.substr(body, (low + 1).cast("int"), (x["end"] + REACH - low).cast("int"))
-        score = F.lit(own) + F.when(F.lower(near).rlike(CONTEXT[kind]), NEARBY).otherwise(0.0)
+        near = F.lower(x["near"])
+        score = F.lit(own) + F.when(near.rlike(CONTEXT[kind]), NEARBY).otherwise(0.0) - F.when(near.rlike(AGAINST), DOUBT).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.round(score, 3).alias("score"))
 
     return span
@@ -129,31 +133,48 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
         has = body.rlike(NEEDS[kind])
         gaps = F.when(has, F.split(body, PATTERNS[kind], -1))
         found = F.when(has, F.regexp_extract_all(body, F.lit(PATTERNS[kind]), F.lit(0)))
-        out = out.withColumn(f"_{kind}", F.when(has, F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), m.alias("m")))))
+        out = out.withColumns({"_gaps": gaps, "_found": found})
+        # Each match with the text before it and after it up to the next ones.
+        sides = F.zip_with(F.slice("_gaps", 1, F.size("_found")), F.slice("_gaps", 2, F.size("_found")), lambda g, h: F.struct(F.length(g).cast("long").alias("gap"), F.concat_ws(" ", F.right(g, F.lit(REACH)), F.left(h, F.lit(REACH))).alias("near")))
+        out = out.withColumn(f"_{kind}", F.when(has, F.zip_with(sides, F.col("_found"), lambda g, m: F.struct(g["gap"].alias("gap"), g["near"].alias("near"), m.alias("m"))))).drop("_gaps", "_found")
         some = F.size(f"_{kind}") > 0
-        starts = F.when(some, _running(F.transform(f"_{kind}", lambda x: x["gap"] + F.length(x["m"]))))
-        at = F.zip_with(F.col(f"_{kind}"), starts, lambda x, s: F.struct((s + x["gap"]).alias("start"), (s + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("m")))
+        # A column of its own: a lambda would compute an expression again for each element.
+        out = out.withColumn("_lengths", F.transform(f"_{kind}", lambda x: x["gap"] + F.length(x["m"])))
+        out = out.withColumn("_starts", F.when(some, _running(F.col("_lengths"))))
+        starts = F.col("_starts")
+        at = F.zip_with(F.col(f"_{kind}"), starts, lambda x, s: F.struct((s + x["gap"]).alias("start"), (s + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("m"), x["near"].alias("near")))
         passed = F.filter(at, _check_of(kind))
-        spans = F.transform(passed, _score_of(kind, body))
+        spans = F.transform(passed, _score_of(kind))
         if kind not in BASE:
             spans = F.filter(spans, lambda x: x["score"] >= THRESHOLD)
         out = out.withColumn(f"_{kind}", F.when(some, spans).otherwise(F.array().cast(SPAN)))
-    return out.withColumn("spans", F.concat(*[F.col(f"_{k}") for k in KINDS])).drop(*[f"_{k}" for k in KINDS])
+    return out.withColumn("spans", F.concat(*[F.col(f"_{k}") for k in KINDS])).drop("_lengths", "_starts", *[f"_{k}" for k in KINDS])
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of text replaced by its kind in angle brackets."""
-    found = detect(docs, text)
     order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
-
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substr(F.col(text), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
-        put = F.struct(F.concat(s["text"], gap, F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("text"), (-x["end"]).alias("at"))
-        return F.when(x["start"] >= s["at"], put).otherwise(s)
-
-    whole = F.aggregate(order, begin, step, lambda s: F.concat(s["text"], F.substr(F.col(text), (s["at"] + 1).cast("int"))))
-    return found.withColumn(text, F.when(F.size("spans") > 0, whole).otherwise(F.col(text))).drop("spans")
+    found = detect(docs, text).withColumn("_order", order).withColumn("_ends", F.transform("_order", lambda x: -x["end"]))
+    ends = _running(F.col("_ends"), lambda s, x: F.greatest(s, x))
+    # Where what came before ends; a span that starts earlier is part of that.
+    with_ends = F.zip_with("_order", ends, lambda x, e: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), e.alias("after")))
+    some = F.size("_order") > 0
+    found = found.withColumn("_heads", F.when(some, F.filter(with_ends, lambda x: x["start"] >= x["after"])))
+    found = found.withColumn("_last", F.array_max("_ends"))
+    found = found.withColumn("_pieces", F.when(some, F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+    block = lambda at: F.floor(at / PIECE).cast("int")
+    inside = lambda at: F.pmod(at, F.lit(PIECE)).cast("int")
+    piece = lambda at: F.coalesce(F.get("_pieces", block(at)), F.lit(""))
+
+    def between(a: Column, b: Column) -> Column:
+        whole = F.array_join(F.slice("_pieces", block(a) + 2, block(b) - block(a) - 1), "")
+        apart = F.concat(F.substr(piece(a), inside(a) + 1), whole, F.left(piece(b), inside(b)))
+        return F.when(block(a) == block(b), F.substr(piece(a), inside(a) + 1, (b - a).cast("int"))).otherwise(apart)
+
+    marked = F.transform("_heads", lambda x: F.concat(between(x["after"], x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+    rest = F.concat(F.substr(piece(F.col("_last")), inside(F.col("_last")) + 1), F.array_join(F.slice("_pieces", block(F.col("_last")) + 2, F.size("_pieces")), ""))
+    whole = F.concat(F.array_join(marked, ""), rest)
+    return found.withColumn(text, F.when(some, whole).otherwise(F.col(text))).drop("spans", "_order", "_ends", "_heads", "_last", "_pieces")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

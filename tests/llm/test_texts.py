@@ -70,6 +70,41 @@ def test_pii_added_kinds_and_redaction(spark):
     assert clear[4] == "write to <EMAIL> or <IP>!" and clear[0] == "iban <IBAN>." and clear[5] is None
 
 
+def added_spans(text):
+    """iban and ssn by plain means."""
+    out = []
+    for kind, pattern in (("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")):
+        matches = list(re.finditer(pattern, text))
+        for k, m in enumerate(matches):
+            plain = m[0].replace(" ", "")
+            if kind == "iban" and (not 15 <= len(plain) <= 34 or int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 != 1):
+                continue
+            low, high = matches[k - 1].end() if k else 0, matches[k + 1].start() if k + 1 < len(matches) else len(text)
+            near = f"{text[max(low, m.start() - 40) : m.start()]} {text[m.end() : min(high, m.end() + 40)]}".lower()
+            score = (0.8 if kind == "iban" else 0.4) + 0.2 * bool(re.search(pii.CONTEXT[kind], near)) - 0.3 * bool(re.search(pii.AGAINST, near))
+            if round(score, 3) >= 0.6:
+                out.append((kind, m.start(), m.end(), round(score, 3)))
+    return out
+
+
+def test_pii_added_kinds_and_redaction_are_the_plain_ones(spark):
+    r = random.Random(12)
+    pool = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013001", "123-45-6789", "ssn", "account", "sample", "test", "word " * 9, "é😀", "a@b.cd", "10.0.0.1", "+1 555 555 5555", "4111 1111 1111 1111", "-", "x", "\n", "z" * 1500]
+    texts = [*ODD, *(r.choice(["", " "]).join(r.choice(pool) for _ in range(r.randint(1, 14))) for _ in range(300)), " ".join(["a@b.cd, my ssn 123-45-6789;"] * 400)]
+    docs = documents(spark, texts)
+    found = {x.doc_id: [tuple(s) for s in x.spans] for x in pii.detect(docs).collect()}
+    clear = {x.doc_id: x.text for x in pii.redact(docs).collect()}
+    for i, text in enumerate(texts):
+        assert [s for s in found[i] if s[0] not in pii.BASE] == added_spans(text or ""), text
+        out, at = [], 0
+        for start, end, kind in sorted((s[1], -s[2], s[0]) for s in found[i]):
+            if start >= at:
+                out += [(text[at:start]), f"<{kind.upper()}>"]
+            at = max(at, -end)
+        assert clear[i] == (text if text is None else "".join(out) + text[at:])
+    assert pii.detect(docs.limit(0)).count() == 0 and pii.redact(docs.limit(0)).count() == 0
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]

@@ -57,7 +57,11 @@ LEAST_WORDS = 2
 
 def subject_pattern(words: str) -> str:
     """Any of the words between other characters than letters: the same matches in Java's and RE2's engine."""
-    either = "|".join(f"[{w[0].upper()}{w[0]}]{w[1:]}" for w in sorted(words.split()))
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(set(words.split())):
+        by_first.setdefault(w[0], []).append(w[1:])
+    # One branch a first letter, as Java's engine tries branches one after the other.
+    either = "|".join(f"[{c.upper()}{c}](?:{'|'.join(rest)})" for c, rest in by_first.items())
     return rf"(?:^|[^\p{{L}}])(?:{either})(?:$|[^\p{{L}}])"
 
 

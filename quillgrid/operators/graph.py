@@ -17,6 +17,8 @@ from quillgrid.functions import vectors as vx
 
 #: Thresholds and most edges a document, by kind.
 LEAST = {"references": 0.18, "author_affinity": 0.2, "similar": 0.33, "topic_bridge": 0.22}
+#: Kinds whose weight must exceed the threshold; others may equal it.
+ABOVE = ("references", "author_affinity")
 MOST = {"references": 8, "author_affinity": 4, "similar": 4, "topic_bridge": 4}
 
 
@@ -48,7 +50,8 @@ def _sides(docs: DataFrame, ids: DataFrame, fields: list[str]) -> DataFrame:
 
 def _best(pairs: DataFrame, weight: Column, kind: str) -> DataFrame:
     # Halves go up, whatever the last bit of the sum.
-    rated = pairs.withColumn("weight", F.round(weight + 1e-9, 4)).where(F.col("weight") >= LEAST[kind])
+    rated = pairs.withColumn("_raw", weight).withColumn("weight", F.round(F.col("_raw") + 1e-9, 4))
+    rated = rated.where(F.col("_raw") > LEAST[kind] + 1e-9 if kind in ABOVE else F.col("weight") >= LEAST[kind])
     rank = F.row_number().over(Window.partitionBy("x_id").orderBy(F.desc("weight"), "y_id"))
     best = rated.withColumn("r", rank).where(F.col("r") <= MOST[kind])
     return best.select(F.col("x_id").cast("string").alias("source_id"), F.col("y_id").cast("string").alias("target_id"), F.lit(kind).alias("edge_type"), "weight")
@@ -107,10 +110,22 @@ def reference_edges(docs: DataFrame) -> DataFrame:
 
 
 def affinity_edges(docs: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-    """Edges to documents that share authors; of the documents of starts only, if given."""
-    pairs = _pairs(docs, ("authors",), _with(docs, ["authors", "keywords", "organization"]), starts)
-    shared = F.size(F.array_intersect("x_authors", "y_authors"))
-    same = F.when(tx.organization_key(F.col("x_organization")) == tx.organization_key(F.col("y_organization")), 0.18).otherwise(0.0)
+    """Edges to documents that share authors (by name and organisation), or an organisation and a keyword; of the documents of starts only, if given.
+
+    Without either, the weight can't exceed the threshold but by vectors, for which all pairs meet.
+    """
+    people = F.array_distinct(F.transform("authors", lambda a: tx.author_identity(a, F.col("organization"))))
+    house = tx.organization_key(F.col("organization"))
+    both = F.when(house != "", F.transform("keywords", lambda k: F.concat(house, F.lit("\x1f"), F.lower(k)))).otherwise(F.array().cast("array<string>"))
+    named = docs.withColumns({"people": people, "house": house, "house_keys": both})
+    fields = _with(docs, ["people", "keywords", "house"])
+    if "vector" in docs.columns:
+        ids = _all_ids(docs)
+        pairs = _sides(named, ids if starts is None else ids.join(starts.select(F.col("id").alias("x_id")).distinct(), "x_id", "left_semi"), fields)
+    else:
+        pairs = _pairs(named, ("people", "house_keys"), fields, starts)
+    shared = F.size(F.array_intersect("x_people", "y_people"))
+    same = F.when((F.col("x_house") != "") & (F.col("x_house") == F.col("y_house")), 0.18).otherwise(0.0)
     weight = 0.55 * shared + same + 0.17 * vx.max_overlap(F.col("x_keywords"), F.col("y_keywords")) + 0.1 * _cosine(docs)
     return _best(pairs, weight, "author_affinity")
 

@@ -72,8 +72,8 @@ _STAR = """e as (select 'c:' || c_custkey as source_id, 'n:' || c_nationkey as t
  union all select 's:' || s_suppkey, 'n:' || s_nationkey, 'references', (s_suppkey % 10 + 1) / 10.0 from supplier union all select 'n:' || n_nationkey, 'r:' || n_regionkey, 'topic_bridge', (n_nationkey % 10 + 1) / 10.0 from nation)"""
 
 
-def _pairs(column: str) -> str:
-    return f"k as (select id, unnest(list_distinct({column})) as key from docs), p as (select distinct a.id as x, b.id as y from k a join k b on a.key = b.key and a.id <> b.id)"
+#: All pairs of documents: what the best of them are compared with.
+_EVERY = "p as (select a.id as x, b.id as y from docs a join docs b on a.id <> b.id)"
 
 
 def _overlap(a: str, b: str) -> str:
@@ -81,13 +81,13 @@ def _overlap(a: str, b: str) -> str:
 
 
 def _best(kind: str, weight: str, where: str = "true", extra: str = "") -> str:
-    return f"""{extra} w as (select x, y, round({weight} + 1e-9, 4) as weight from p join docs a on a.id = x join docs b on b.id = y where {where}),
-r as (select *, row_number() over (partition by x order by weight desc, y) as r from w where weight >= {graph.LEAST[kind]}),
+    return f"""{extra} w as (select x, y, round({weight} + 1e-9, 4) as weight, {weight} as raw from p join docs a on a.id = x join docs b on b.id = y where {where}),
+r as (select *, row_number() over (partition by x order by weight desc, y) as r from w where {f"raw > {graph.LEAST[kind]} + 1e-9" if kind in graph.ABOVE else f"weight >= {graph.LEAST[kind]}"}),
 o as (select cast(x as varchar) as source_id, cast(y as varchar) as target_id, '{kind}' as edge_type, weight from r where r <= {graph.MOST[kind]})"""
 
 
 _REF = _best("references", f"0.55 * {_overlap('a.keywords', 'b.keywords')} + least(b.citations / 300.0, 0.2)", "b.year <= a.year")
-_AFF = _best("author_affinity", f"0.55 * len(list_intersect(a.authors, b.authors)) + case when a.organization = b.organization then 0.18 else 0 end + 0.17 * {_overlap('a.keywords', 'b.keywords')}")
+_AFF = _best("author_affinity", f"0.55 * case when a.organization = b.organization then len(list_intersect(a.authors, b.authors)) else 0 end + case when a.organization = b.organization then 0.18 else 0 end + 0.17 * {_overlap('a.keywords', 'b.keywords')}")
 _TOP = _best("topic_bridge", f"0.42 * {_overlap('a.keywords', 'b.keywords')} + 0.3 * {_overlap('a.words', 'b.words')} + case when a.region = b.region then 0.06 else 0 end").replace("join docs ", "join dw ")
 _V = DOCUMENTS_VIEW_SQL
 
@@ -95,9 +95,9 @@ ORACLES = {
     "star_edges": f"with {_STAR} select * from e",
     "author_edges": f"""with {_V}, a as (select id, organization, unnest(authors) as author from docs), t as (select cast(id as varchar) as d, 'author:' || {sql.norm('author')} || '::' || array_to_string(list_filter(string_split({sql.norm('organization')}, ' '), lambda t: length(t) >= 2)[1:3], ':') as a from a)
 select d as source_id, a as target_id, 'authored_by' as edge_type, 1.0 as weight from t union all select a, d, 'author_document', 1.0 from t""",
-    "reference_edges": f"with {_V}, {_pairs('keywords')}, {_REF} select * from o union all select target_id, source_id, 'cited_by', weight from o",
-    "affinity_edges": f"with {_V}, {_pairs('authors')}, {_AFF} select * from o",
-    "topic_edges": f"with {_V}, dw as (select *, list_distinct({sql.tokens('title')}) as words from docs), {_pairs('keywords')}, {_TOP} select * from o",
+    "reference_edges": f"with {_V}, {_EVERY}, {_REF} select * from o union all select target_id, source_id, 'cited_by', weight from o",
+    "affinity_edges": f"with {_V}, {_EVERY}, {_AFF} select * from o",
+    "topic_edges": f"with {_V}, dw as (select *, list_distinct({sql.tokens('title')}) as words from docs), {_EVERY}, {_TOP} select * from o",
     "edge_scan": f"with {_STAR} select * from e where target_id = 'n:3' and edge_type = 'similar'",
     "neighbourhood": f"""with {_STAR}, b as (select 'out' as direction, target_id as neighbour, edge_type, weight from e where source_id = 'n:5' union all select 'in', source_id, edge_type, weight from e where target_id = 'n:5'),
 r as (select *, row_number() over (partition by direction, edge_type order by weight desc, neighbour) as r from b) select direction, neighbour, edge_type, weight from r where r <= 4""",

@@ -279,16 +279,15 @@ def _profile_sql() -> str:
 
 
 _V = DOCUMENTS_VIEW_SQL
-_PAPERS = "ids as (select id from docs where id in (select doc_id from labels where quality = 1 and toxic = 1) order by citations desc, id limit 5), papers as (select docs.* from docs join ids using (id))"
+_PAPERS = "ids as (select id from docs where id in (select doc_id from labels where quality = 1 and toxic = 1)), papers as (select docs.* from docs join ids using (id))"
 _WORDS = lambda e: f"list_distinct({sql.tokens(e)})"
 _PAIRS = f"""dw as (select *, {_WORDS('title')} as words from docs), pr as (select p.id as p_id, d.id, p.keywords as pk, d.keywords as dk, p.words as pw, d.words as dw, p.region as p_region, d.region, p.source as p_source, d.source, p.authors as pa, d.authors as da,
  p.organization as po, d.organization as dorg, p.methods as pm, d.methods as dm, d.citations, d.year, d.title from dw p join ids using (id) join dw d on p.id <> d.id)"""
 _HEURISTIC = """he as (select p_id, id, round(len(list_intersect(pk, dk)) * 14 + least(citations, 120) * 0.18 + case when region = p_region then 4 else 0 end + {pref} + greatest(0, year - 2020), 2) as score from pr where len(list_intersect(pk, dk)) > 0 or len(list_intersect(pw, dw)) > 0),
 hr as (select *, cast(row_number() over (partition by p_id order by score desc, id) as int) as rank from he)"""
-_AFFINITY = f"""ax as (select id, unnest(list_distinct(authors)) as a from docs), ap as (select distinct x.id as x, y.id as y from ax x join ax y on x.a = y.a and x.id <> y.id),
-aw as (select x, y, round(0.55 * len(list_intersect(p.authors, q.authors)) + case when p.organization = q.organization then 0.18 else 0 end
- + 0.17 * case when len(p.keywords) > 0 and len(q.keywords) > 0 then len(list_intersect(p.keywords, q.keywords)) / greatest(len(p.keywords), len(q.keywords)) else 0 end, 4) as weight from ap join docs p on p.id = x join docs q on q.id = y),
-ae as (select x, y from (select *, row_number() over (partition by x order by weight desc, y) as r from aw where weight >= 0.2) where r <= 4)"""
+_AFFINITY = f"""aw as (select p.id as x, q.id as y, 0.55 * case when p.organization = q.organization then len(list_intersect(p.authors, q.authors)) else 0 end + case when p.organization = q.organization then 0.18 else 0 end
+ + 0.17 * case when len(p.keywords) > 0 and len(q.keywords) > 0 then len(list_intersect(p.keywords, q.keywords)) / greatest(len(p.keywords), len(q.keywords)) else 0 end as raw from papers p join docs q on p.id <> q.id),
+ae as (select x, y from (select *, row_number() over (partition by x order by round(raw + 1e-9, 4) desc, y) as r from aw where raw > 0.2 + 1e-9) where r <= 4)"""
 _NAMES = lambda a, o: f"list_transform({a}, lambda z: z || '::' || {o})"
 
 ORACLES = {

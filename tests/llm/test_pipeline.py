@@ -52,9 +52,84 @@ def test_stages_follow_one_another(spark, sf_dir):
     assert last.count() == len(mixed) and last.where(F.size("ids") != F.col("n_tokens")).count() == 0
 
 
-def test_run_is_the_stages(spark, sf_dir):
+def plain_run(spark, folder):
+    """Every decision by plain means: rows in, rows out. The forest, the spans and the probabilities are the operators' own, which have brute-force tests."""
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    from quillgrid.llm import bpe, mixing, pii
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    verdict = quality.fit(docs, labels)
+    rows = []
+    for r in docs.collect():
+        counts, rates = quality.statistics(r.text)
+        if not quality.base_failed(counts[0], counts[4]) and (verdict is None or verdict.score(quality.np.array([rates]))[0] <= verdict.threshold):
+            rows.append(r)
+    sets, root = [], list(range(len(rows)))
+    for r in rows:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in r.text).encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+
+    def of(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                root[of(a)] = of(b)
+    least = {}
+    for k, r in enumerate(rows):
+        least[of(k)] = min(least.get(of(k), r.doc_id), r.doc_id)
+    rows = {(r.doc_id, r.text): r for k, r in enumerate(rows) if least[of(k)] == r.doc_id}.values()
+    clear = []
+    for r in pii.detect(spark.createDataFrame(list(rows), docs.schema)).collect():
+        out, at = [], 0
+        for start, end, kind in sorted((s.start, -s.end, s.kind) for s in r.spans):
+            if start >= at:
+                out += [r.text[at:start], f"<{kind.upper()}>"]
+            at = max(at, -end)
+        text = "".join(out) + r.text[at:]
+        clear.append((r.doc_id, text, r.lang, r.source, len(text)))
+    tok = Tokenizer.from_file(bpe.default_path())
+    want = []
+    for r in mixing.mix(spark.createDataFrame(clear, docs.schema)).collect():
+        if int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:8], 16) / 2**32 < r.prob:
+            ids = tok.encode(r.text, add_special_tokens=False).ids
+            want.append((r.doc_id, r.source, r.lang, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    return sorted(want, key=str)
+
+
+def test_run_is_the_plain_version(spark, sf_dir):
+    import os
+
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) if os.path.isdir(spark.conf.get("spark.checkpoint.dir")) else set()
     out = corpus_pipeline.run(spark, sf_dir)
-    assert out.count() > 0 and {"doc_id", "n_tokens", "ids_sha256"} <= set(out.columns)
+    got = [(r.doc_id, r.source, r.lang, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out.collect()]
+    assert sorted(got, key=str) == plain_run(spark, sf_dir) and len(got) > 20
+    new = [x for x in set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - before if x.startswith("pipeline-")]
+    assert [os.listdir(f"{spark.conf.get('spark.checkpoint.dir')}/{x}") for x in new] == [["bpe"]]
+
+
+def test_run_with_nulls_repeats_and_without_rows(spark, tmp_path):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(80)) + "."
+    rows = [(1, text(1), "en", "s", 1, "x"), (1, text(1), "en", "s", 1, "x"), (None, text(2), None, None, None, None), (3, None, "en", "s", 0, None), (4, "", "en", "s", 0, None), (5, text(5) + " mail a@b.cd", "de", None, 1, "y")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string"
+    for name, some in (("some", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (None, None, None)] if some else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()} <= {1, None, 5}
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    sizes = []
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, f"{tmp_path}/some").persist()
+        sizes.append(docs.count())
+    assert sizes == [4, 3, 3] and sorted(r.text[-12:] for r in docs.collect() if r.doc_id == 5) == ["mail <EMAIL>"]
 
 
 def test_repeated_ids_keep_one_row_a_text(spark, sf_dir):

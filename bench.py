@@ -1,4 +1,4 @@
-"""Wall-clock of headline queries, one JSON line. Each query is run once to warm up on the smallest step, then timed to a full result."""
+"""Wall-clock of headline queries, one JSON line. One count of documents warms the session up; each query is then timed once, to a full result."""
 
 from __future__ import annotations
 

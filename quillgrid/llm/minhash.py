@@ -40,7 +40,7 @@ BANDS, ROWS = 36, 4
 AGREE = 84
 #: Members of one block in the comparison by signature.
 BLOCK = 4096
-#: Ids are broadcast up to this count (some 32 bytes each) and shuffled beyond it.
+#: Representatives are broadcast up to this count (some 100 bytes each) and shuffled beyond it.
 BROADCAST_IDS = 400_000
 
 
@@ -79,6 +79,7 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "doc_id": batch["doc_id"],
+                "text_hash": batch["text_hash"],
                 "n_shingles": np.array([len(s) for s in sets], np.int64),
                 "cls": [set_digest(s).hex() if len(s) else None for s in sets],
                 "bands": [band_keys(signature(s)) if len(s) else None for s in sets],
@@ -192,17 +193,20 @@ ROW = ["block", "band", "cls", "comp", "minor", "few"]
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
-    docs = bounded_batches(docs).select("doc_id", "text")
-    signed = stored(docs.mapInPandas(_signed, "doc_id long, n_shingles long, cls string, bands array<long>"), "signed")
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    docs = bounded_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    signed = stored(docs.mapInPandas(_signed, "doc_id long, text_hash long, n_shingles long, cls string, bands array<long>"), "signed")
+    classes = signed.where("cls is not null").groupBy("cls").agg(F.first("bands").alias("bands"))
     buckets = classes.select("cls", F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("center")).where("n > 1")
     members = cut(buckets.join(shared, "key"))
 
     reps = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    wanted = cut(members.select("cls").distinct().join(reps, "cls"), SHARE)
+    # A representative is a row by id and hash of its text: ids may be null in very many rows, whose texts then tell them apart.
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("row")
+    rows = signed.where("cls is not null").groupBy("cls").agg(row).select("cls", F.col("row.doc_id").alias("rep"), F.col("row.text_hash").alias("rep_hash"))
+    wanted = cut(members.select("cls").distinct().join(rows, "cls"), SHARE)
     near = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    found = docs.join(near, docs["doc_id"].eqNullSafe(near["rep"])).select("cls", "text")
+    found = docs.join(near, docs["doc_id"].eqNullSafe(near["rep"]) & (docs["text_hash"] == near["rep_hash"])).select("cls", "text")
     texts = stored(found.mapInPandas(_with_text, "cls string, text string, coordinates binary").dropDuplicates(["cls"]), "texts")
 
     # Each member with the smallest member of its buckets.

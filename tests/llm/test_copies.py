@@ -53,6 +53,17 @@ def test_groups_are_exact(spark):
     assert all(x.kept == (x.component_id is None or x.doc_id == x.component_id) for x in got)
 
 
+def test_null_ids_are_told_apart_by_their_texts(spark, monkeypatch):
+    """Near copies among rows without ids, by the shuffled join too."""
+    base = [f"n{i}" for i in range(80)]
+    near = [" ".join([*base[:79], f"end{k}"]) for k in range(6)]
+    rows = [(None, t) for t in near] + [(None, " ".join(f"lone{k}x{i}" for i in range(30))) for k in range(20)] + [(7, near[0]), (None, None)]
+    for most in (minhash.BROADCAST_IDS, 0):
+        monkeypatch.setattr(minhash, "BROADCAST_IDS", most)
+        got = minhash.groups(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert Counter(x.component_id for x in got) == {7: 7, None: 21}
+
+
 def test_groups_of_an_empty_table(spark):
     assert minhash.groups(spark.createDataFrame([], SCHEMA)).count() == 0
 

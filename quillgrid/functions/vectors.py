@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,34 +25,6 @@ def bucket(c: Column, dims: int) -> Column:
     return F.pmod(F.least(h, F.lit(WORD32) - h), F.lit(dims))
 
 
-def dense_features(c: Column) -> Column:
-    """(feature, weight) of a text but for its words: runs of two and three words, character n-grams, and the whole."""
-    tokens = tx.tokenize(c)
-    weight = lambda prefix, items, w: F.transform(items, lambda t: F.struct(F.concat(F.lit(prefix), t).alias("feature"), F.lit(w).alias("weight")))
-    whole = F.array(F.struct(F.concat(F.lit("full:"), tx.normalize_text(c)).alias("feature"), F.lit(1.45).alias("weight")))
-    full = F.when(tx.normalize_text(c) != "", whole).otherwise(F.array().cast("array<struct<feature:string,weight:double>>"))
-    return F.concat(weight("phrase:", tx.adjacent_ngrams(tokens), 1.3), weight("char:", tx.char_ngrams(c), 0.28), full)
-
-
-def word_weight(count: Column) -> Column:
-    """The weight of a word feature (tok:) by its count."""
-    return 1 + F.log(1.0 + count)
-
-
-def projections(dims: int) -> int:
-    """How many buckets a feature goes to."""
-    return min(6, max(3, math.ceil(dims / 128)))
-
-
-def projected(feature: Column, weight: Column, dims: int) -> Column:
-    """(bucket, value) pairs of one feature: signed, the later ones scaled down."""
-    pairs = []
-    for i in range(projections(dims)):
-        sign = F.when(F.pmod(fnv1a(F.concat(F.lit("sign:"), feature, F.lit(f":{i}"))), F.lit(2)) == 0, -1.0).otherwise(1.0)
-        pairs.append(F.struct(bucket(F.concat(feature, F.lit(f":{i}")), dims).alias("bucket"), (sign * weight / (1.0 if i == 0 else i + 0.5)).alias("value")))
-    return F.array(*pairs)
-
-
 def sparse_features(c: Column) -> Column:
     """(term, weight): words 1, pairs 1.75, triples 2.2, and character n-grams 0.2 if the compact text has four characters."""
     tokens = tx.tokenize(c)

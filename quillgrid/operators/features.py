@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.functions import projection
 from quillgrid.functions import text as tx
 from quillgrid.functions import vectors as vx
 
@@ -71,25 +74,17 @@ def sparse_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def dense_projection(docs: DataFrame, dims: int, id: str = "id", text: str = "text") -> DataFrame:
-    """id, bucket, value of each text's hashed projection at length 1, zeros left out."""
-    words = term_table(docs, id, text).select("id", F.concat(F.lit("tok:"), "term").alias("feature"), vx.word_weight(F.col("tf")).alias("weight"))
-    others = docs.select(F.col(id).alias("id"), F.inline(vx.dense_features(F.col(text))))
-    weights = others.unionByName(words).groupBy("id", "feature").agg(F.sum("weight").alias("weight"))
-    parts = weights.select("id", F.inline(vx.projected(F.col("feature"), F.col("weight"), dims)))
-    language = tx.detect_language(F.col(text))
-    count = lambda pattern: F.regexp_count(F.col(text), F.lit(pattern))
-    extra = docs.select(
-        F.col(id).alias("id"),
-        F.inline(
-            F.array(
-                F.struct(F.lit(0).cast("long").alias("bucket"), F.when(language.isin("ko", "mixed"), 0.05 * count(tx.HANGUL)).otherwise(0.0).alias("value")),
-                F.struct(F.lit(1).cast("long").alias("bucket"), F.when(language.isin("en", "mixed"), 0.03 * count(tx.LATIN)).otherwise(0.0).alias("value")),
-            )
-        ),
-    )
-    sums = parts.unionByName(extra).groupBy("id", "bucket").agg(F.sum("value").alias("value"))
-    size = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("size"))
-    return sums.join(size, "id").where("size > 0").select("id", "bucket", F.round(F.col("value") / F.col("size"), 6).alias("value")).where("value <> 0")
+    """id, bucket, value of each text's hashed projection at length 1, zeros left out. One pass, no shuffle."""
+
+    @F.pandas_udf("array<struct<bucket:long,value:double>>")
+    def buckets(normal: pd.Series) -> pd.Series:
+        def one(t: str) -> list[dict]:
+            v = projection.dense_vector(t, dims)
+            return [{"bucket": int(i), "value": float(v[i])} for i in np.flatnonzero(v)]
+
+        return normal.map(one)
+
+    return docs.select(F.col(id).alias("id"), F.inline(buckets(tx.normalize_text(F.col(text)))))
 
 
 def expand_terms(terms: DataFrame, lexicon: DataFrame, term: str = "term") -> DataFrame:

@@ -166,7 +166,7 @@ def recommend_feed(spark, d):
 
 
 def similarity_report(spark, d):
-    inputs = table(spark, d, "benchmark").select(F.col("item_id").alias("input_id"), "text")
+    inputs = table(spark, d, "benchmark").select(F.col("item_id").alias("input_id"), "text", F.substring_index("text", " ", 2).alias("title"))
     return similarity.report(inputs, documents_view(spark, d))
 
 
@@ -280,6 +280,7 @@ def _profile_sql() -> str:
 
 _V = DOCUMENTS_VIEW_SQL
 _PAPERS = "ids as (select id from docs where id in (select doc_id from labels where quality = 1 and toxic = 1)), papers as (select docs.* from docs join ids using (id))"
+_TITLE = "split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)"  # of an input: its first two words
 _WORDS = lambda e: f"list_distinct({sql.tokens(e)})"
 _PAIRS = f"""dw as (select *, {_WORDS('title')} as words from docs), pr as (select p.id as p_id, d.id, p.keywords as pk, d.keywords as dk, p.words as pw, d.words as dw, p.region as p_region, d.region, p.source as p_source, d.source, p.authors as pa, d.authors as da,
  p.organization as po, d.organization as dorg, p.methods as pm, d.methods as dm, d.citations, d.year, d.title from dw p join ids using (id) join dw d on p.id <> d.id)"""
@@ -325,10 +326,16 @@ r as (select *, cast(row_number() over (partition by p_id order by score desc, i
     "recommend_feed": f"""with {_V}, {_PAPERS}, {_PAIRS}, {_HEURISTIC.format(pref='0')}, s as (select id, sum(score) as base, count(*) as items from hr where rank <= 5 and id not in (select id from ids) group by id)
 select id, items, round(base + case when contains(lower(concat_ws(' ', title, array_to_string(keywords, ' '))), 'thinor') then 9 else 0 end + case when source = 'src3' then 6 else 0 end + case when region = 'domestic' then 4 else 0 end + 0.8 * greatest(0, year - 2020), 2) as score
 from s join docs using (id) order by score desc, id limit 25""",
-    "similarity_report": f"""with {_V}, i as (select item_id as input_id, {sql.tokens('text')} as t, {sql.norm('text')} as body from benchmark), x as (select input_id, unnest(t) as term from i), xc as (select input_id, term, count(*) as x from x group by all), xs as (select input_id, sum(x) as tx, count(*) as n from xc group by all having count(*) >= 8),
-y as (select id, unnest({sql.tokens("concat_ws(' ', title, abstract)")}) as term from docs), yc as (select id, term, count(*) as y from y group by all), ys as (select id, sum(y) as ty from yc group by all), l as (select input_id, id, sum(least(x, y)) as l from xc join yc using (term) group by all),
-f as (select input_id, id, cast(len(list_intersect(t, keywords)) as int) as shared, l / (tx + ty - l) as sp, len(list_intersect(t, methods)) as m, {sql.norm('title')} <> '' and contains(body, {sql.norm('title')}) as held, year from l join xs using (input_id) join ys using (id) join i using (input_id) join docs using (id)),
-g as (select input_id, id, shared, round(sp, 6) as sparse, cast(least(98, floor(24 * sp + 2.8 * shared + 3 * m + case when held then 8 else 0 end + case when year >= 2024 then 4 else 0 end + 0.5)) as int) as score from f),
+    "similarity_report": f"""with {_V}, i as (select item_id as id, {sql.norm('text')} as n, {sql.norm(_TITLE)} as title, {_WORDS('text')} as words from benchmark where len({_WORDS('text')}) >= 8),
+bu as (select id, {sql.norm("concat_ws(' ', title, title, abstract, abstract, organization, array_to_string(list_concat(keywords, keywords, methods), ' '))")} as n, {_WORDS("concat_ws(' ', title, abstract, array_to_string(list_concat(keywords, methods), ' '))")} as words,
+ {_WORDS("array_to_string(methods, ' ')")} as methods, {sql.norm('title')} as title, year from docs),
+{sql.dense('q', 'i', 1024)}, {sql.dense('b', 'bu', 1024)}, {sql.sparse20('q', 'i')}, {sql.sparse20('b', 'bu')},
+nn as (select id, sqrt(sum(value * value)) as z from qv group by id), nb as (select id, sqrt(sum(value * value)) as z from bv group by id),
+cs as (select qv.id as x, bv.id as y, sum(qv.value * bv.value) as dot from qv join bv using (bucket) group by all), ls as (select a.id as x, b.id as y, sum(least(a.w, b.w)) as l from qs a join bs b using (term) group by all),
+ti as (select id, sum(w) as t from qs group by id), tb as (select id, sum(w) as t from bs group by id),
+f as (select i.id as input_id, bu.id as id, cast(len(list_intersect(i.words, bu.words)) as int) as shared, len(list_intersect(i.words, bu.methods)) as m, contains(bu.title, i.title) as held, bu.year, coalesce(dot / (nn.z * nb.z), 0.0) as cosine, coalesce(l, 0) / (ti.t + coalesce(tb.t, 0) - coalesce(l, 0)) as sp
+ from i cross join bu left join nn on nn.id = i.id left join nb on nb.id = bu.id left join cs on cs.x = i.id and cs.y = bu.id left join ls on ls.x = i.id and ls.y = bu.id left join ti on ti.id = i.id left join tb on tb.id = bu.id),
+g as (select input_id, id, shared, round(sp, 6) as sparse, round(cosine, 6) as cosine, cast(least(98, floor(54 * cosine + 24 * sp + 2.8 * shared + 3 * m + case when held then 8 else 0 end + case when year >= 2024 then 4 else 0 end + 0.5)) as int) as score from f),
 r as (select *, cast(row_number() over (partition by input_id order by score desc, sparse desc, id) as int) as rank from g)
 select *, case when score >= 84 then 'same_topic' when score >= 62 then 'related' else 'uncertain' end as label, case when score >= 84 then 'high' when score >= 62 then 'moderate' else 'low' end as risk from r where rank <= 6""",
     "input_confidence": f"""with b as (select item_id, cast(floor(84 * 0.34 + least(100, floor(least(length(text), 2400) / 2400.0 * 100 + 0.5)) * 0.18 + least(100, floor(least(len({sql.tokens('text')}), 160) / 160.0 * 100 + 0.5)) * 0.16 + least(100, floor(14 * 1.2 + 0.5)) * 0.18 + 0.5) as int) as score from benchmark)

@@ -230,6 +230,7 @@ select item_id, cast(len(v) as int) as n, md5(coalesce(array_to_string(v, '|'),
     "fnv_bucket": """with w as (select distinct unnest(string_split(p_name, ' ')) as word from part),
 h as (select word, cast(list_reduce(list_prepend(2166136261::ubigint, list_transform(string_split(word, ''), lambda c: cast(unicode(c) as ubigint))), lambda h, c: (xor(h, c) * 16777619::ubigint) % 4294967296::ubigint) as bigint) as hash from w)
 select word, hash, least(hash, 4294967296 - hash) % 384 as bucket from h""",
+    "dense_projection": f"with b as (select item_id as id, {sql.norm('text')} as n from benchmark), {sql.dense('d', 'b', 64)} select id, bucket, value from dv",
     "sparse_terms": f"""with b as (select item_id, {sql.tokens('text')} as t, replace({sql.norm('text')}, ' ', '') as c from benchmark), s as (select *, string_split(c, '') as ch from b),
 f as (select item_id, unnest(t) as term, 1.0 as w from b union all select item_id, unnest({sql.runs('t', 2)}), 1.75 from b union all select item_id, unnest({sql.runs('t', 3)}), 2.2 from b
  union all select item_id, 'char:' || unnest(list_concat({sql.runs('ch', 3, '')}, {sql.runs('ch', 4, '')}, {sql.runs('ch', 5, '')})), 0.2 from s where length(c) >= 4)

@@ -7,11 +7,15 @@ import ctypes
 import gc
 import os
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The characters between words: space, and the control characters 9 to 13. bytes.split() splits at exactly these.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -58,6 +62,57 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Folder:
+    """Tables of one computation in a folder of their own under the shared one, and their removal once a later table rests on none of them."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.made = spark, os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}"), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """df, written and read back."""
+        self.made += 1
+        at = f"{self.path}/{self.made}"
+        df.write.option("compression", "zstd").parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def remove(self) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def in_order(df: DataFrame, keys: list[str], folder: Folder, sums: tuple[str, ...] = ()) -> DataFrame:
+    """df with at, the number of a row (from 0) in the order of keys, and, in place of each of sums, its running total up to and with that row.
+
+    Rows are dealt by ranges of keys and sorted within; each task numbers its own, and what lies before a task comes from
+    one row a task, which alone is broadcast. No task sees more than its range, so the keys should tell rows apart.
+    """
+    taken = [f for f in df.schema.fields if f.name not in sums]
+    schema = T.StructType([*taken, *(T.StructField(n, T.LongType()) for n in ("_task", "at", *sums))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen, totals = TaskContext.get().partitionId(), 0, dict.fromkeys(sums, 0)
+        for b in batches:
+            n = b.num_rows
+            columns = [b.column(b.schema.get_field_index(f.name)) for f in taken]
+            columns += [pa.array(np.full(n, task, np.int64)), pa.array(np.arange(seen, seen + n))]
+            for s in sums:
+                got = totals[s] + np.cumsum(b.column(b.schema.get_field_index(s)).to_numpy(zero_copy_only=False).astype(np.int64))
+                totals[s] = int(got[-1]) if n else totals[s]
+                columns.append(pa.array(got))
+            seen += n
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
+
+    made = folder.put(df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema))
+    tasks = made.groupBy("_task").agg(F.max("at").alias("at"), *(F.max(s).alias(s) for s in sums)).orderBy("_task").collect()
+    before, rows = dict.fromkeys(("at", *sums), 0), []
+    for t in tasks:
+        rows.append((t._task, *before.values()))
+        before = {"at": before["at"] + t["at"] + 1, **{s: before[s] + t[s] for s in sums}}
+    offsets = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField(n, T.LongType()) for n in ("_task", *(f"_{n}" for n in before))]))
+    joined = made.join(F.broadcast(offsets), "_task")
+    return joined.select(*[f"`{f.name}`" for f in taken], *((F.col(n) + F.col(f"_{n}")).alias(n) for n in before))
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of all texts: one aggregate that sends a single number to the driver. It sizes partitions, never cuts data."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()[0])

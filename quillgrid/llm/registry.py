@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quillgrid.llm import bpe, dualtree, minhash, mixing, pii, prefix_trie, quality, substring, token_counts, toxicity, wrappers
+from quillgrid.llm import bpe, divergence, dualtree, minhash, mixing, pii, prefix_trie, quality, substring, token_counts, toxicity, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality.query,
         "op9_toxicity": toxicity.query,
         "op10_mixing": mixing.query,
+        "op11_divergence": divergence.query,
         "op13_prefix_trie": prefix_trie.query,
         "pipeline": corpus_pipeline.run,
     }
@@ -34,5 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring": substring.ORACLE,
         "op4_pii": pii.oracle(),
         "op10_mixing": mixing.oracle(),
+        "op11_divergence": divergence.ORACLE,
         "op13_prefix_trie": prefix_trie.ORACLE,
     }

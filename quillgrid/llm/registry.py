@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quillgrid.llm import bpe, divergence, dualtree, minhash, mixing, pii, prefix_trie, quality, substring, token_counts, toxicity, wrappers
+from quillgrid.llm import bpe, divergence, dualtree, minhash, mixing, neighbours, pii, prefix_trie, quality, substring, token_counts, toxicity, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": toxicity.query,
         "op10_mixing": mixing.query,
         "op11_divergence": divergence.query,
+        "op12_neighbours": neighbours.query,
         "op13_prefix_trie": prefix_trie.query,
         "pipeline": corpus_pipeline.run,
     }

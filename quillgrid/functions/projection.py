@@ -67,62 +67,92 @@ def _grams(normal: str) -> tuple[str, tuple[int, ...]]:
     return compact, (2, 3, 4) if HANGUL.search(compact) else (3, 4, 5)
 
 
-def dense_vector(normal: str, dims: int) -> np.ndarray:
-    """The hashed projection of a normalised text at length 1, to six decimals; all zeros for an empty text.
+def dense_vectors(normals: list[str], dims: int) -> np.ndarray:
+    """The hashed projections of normalised texts, a row each, at length 1, to six decimals; all zeros for an empty text.
 
     Features are words by count, runs of two and three words, words and whole text once each
-    (what a lexicon adds to them is left to the caller), n-grams, and the compact text.
+    (what a lexicon adds to them is left to the caller), n-grams, and the compact text. The
+    windows of one kind are hashed for all texts together.
     """
-    out = np.zeros(dims)
-    if not normal:
-        return out
-
     states: dict[str, list[np.ndarray]] = {"": [], "sign:": []}
     weights: list[np.ndarray] = []
+    owners: list[np.ndarray] = []
 
-    def spread(prefix: str, codes: np.ndarray, start: np.ndarray, length: np.ndarray, weight: np.ndarray | float, before: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    def spread(prefix: str, codes: np.ndarray, start: np.ndarray, length: np.ndarray, weight: np.ndarray | float, owner: np.ndarray, before: list[np.ndarray] | None = None) -> list[np.ndarray]:
         """Notes the windows' hashes after prefix, or after hashes that it returned for the same starts."""
         begin = before or [np.full(len(start), _hash(map(ord, k + prefix)), np.uint32) for k in states]
         got = [_windows(codes, start, length, h) for h in begin]
         for kept, h in zip(states.values(), got):
             kept.append(h)
         weights.append(np.broadcast_to(weight, len(start)))
+        owners.append(owner)
         return got
 
-    tokens = words(normal)
-    codes = units(" ".join(tokens))
-    size = np.array([len(t.encode("utf-16-le")) // 2 for t in tokens], np.int64)
-    start = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64) if tokens else size
-    first: dict[str, int] = {}
-    for i, t in enumerate(tokens):
-        first.setdefault(t, i)
-    counts, at = Counter(tokens), np.array(list(first.values()), np.int64)
-    if tokens:
-        spread("tok:", codes, start[at], size[at], np.array([1 + math.log1p(counts[t]) for t in first]))
-        spread("sem:", codes, start[at], size[at], WHOLE_WORD)
+    tokens = [words(n) for n in normals]
+    flat = [t for ts in tokens for t in ts]
+    owner = np.repeat(np.arange(len(normals)), [len(ts) for ts in tokens])
+    codes = units(" ".join(flat))
+    size = np.array([len(t) if t.isascii() else len(t.encode("utf-16-le")) // 2 for t in flat], np.int64)
+    start = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64) if flat else size
+    once, often, begun = [], [], 0
+    for ts in tokens:
+        first: dict[str, int] = {}
+        for i, t in enumerate(ts):
+            first.setdefault(t, begun + i)
+        counts = Counter(ts)
+        once += first.values()
+        often += [1 + math.log1p(counts[t]) for t in first]
+        begun += len(ts)
+    at = np.array(once, np.int64)
+    if flat:
+        spread("tok:", codes, start[at], size[at], np.array(often), owner[at])
+        spread("sem:", codes, start[at], size[at], WHOLE_WORD, owner[at])
     end = start + size
-    m = max(len(tokens) - 1, 0)
-    pairs = spread("phrase:", codes, start[:m], end[1:] - start[:m], PHRASE)
-    m = max(m - 1, 0)
-    spread("phrase:", codes, end[1:][:m], end[2:] - end[1:][:m], PHRASE, [h[:m] for h in pairs])
-    compact, lengths = _grams(normal)
-    short = units(compact)
-    for n in lengths:
-        m = max(len(short) - n + 1, 0)
-        spread("char:", short, np.arange(m), np.full(m, n), CHAR)
-    wholes = [("full:", short, FULL)] + ([] if normal in first else [("sem:", units(normal), WHOLE_PHRASE if " " in normal else WHOLE_WORD)])
-    for prefix, whole, weight in wholes:
-        spread(prefix, whole, np.zeros(1, np.int64), np.array([len(whole)]), weight)
+    two = np.flatnonzero(owner[1:] == owner[:-1])  # words with a next one in their text
+    pairs = spread("phrase:", codes, start[two], end[two + 1] - start[two], PHRASE, owner[two])
+    far = np.flatnonzero(np.isin(two + 1, two))
+    three = two[far]
+    spread("phrase:", codes, end[three + 1], end[three + 2] - end[three + 1], PHRASE, owner[three], [h[far] for h in pairs])
+    compact = [_grams(n) for n in normals]
+    short = [units(c) for c, _ in compact]
+    every = np.concatenate(short) if short else np.zeros(0, np.uint32)
+    sizes = np.array([len(x) for x in short], np.int64)
+    offset = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if short else sizes
+    for n in (2, 3, 4, 5):
+        many = np.array([max(k - n + 1, 0) if n in lengths else 0 for k, (_, lengths) in zip(sizes, compact)], np.int64)
+        total = int(many.sum())
+        if total:
+            mine = np.repeat(np.arange(len(normals)), many)
+            begin = np.arange(total) - np.repeat(np.cumsum(many) - many, many) + offset[mine]
+            spread("char:", every, begin, np.full(total, n), CHAR, mine)
+    full = np.flatnonzero([bool(n) for n in normals])
+    spread("full:", every, offset[full], sizes[full], FULL, full)
+    whole = [i for i in full if normals[i] not in tokens[i]]
+    if whole:
+        raw = [units(normals[i]) for i in whole]
+        long = np.array([len(r) for r in raw], np.int64)
+        spread("sem:", np.concatenate(raw), np.cumsum(long) - long, long, np.array([WHOLE_PHRASE if " " in normals[i] else WHOLE_WORD for i in whole]), np.array(whole))
     h, s = (np.concatenate(x) for x in states.values())
-    weight = np.concatenate(weights)
+    weight, base = np.concatenate(weights), np.concatenate(owners).astype(np.int64) * dims
+    out = np.zeros(len(normals) * dims)
     for i in range(projections(dims)):
         signed = _step(_step(h, ord(":")), ord("0") + i).view(np.int32)
         odd = _step(_step(s, ord(":")), ord("0") + i) & np.uint32(1)
-        out += np.bincount(np.abs(signed.astype(np.int64)) % dims, weights=np.where(odd, weight, -weight) / (1.0 if i == 0 else i + 0.5), minlength=dims)
-    out[0] += PER_HANGUL * np.count_nonzero((short >= 0xAC00) & (short <= 0xD7A3))
-    out[1] += PER_LATIN * np.count_nonzero((short >= ord("a")) & (short <= ord("z")))
-    norm = math.sqrt(float(out @ out))
-    return np.round(out / norm, 6) if norm else out
+        out += np.bincount(base + np.abs(signed.astype(np.int64)) % dims, weights=np.where(odd, weight, -weight) / (1.0 if i == 0 else i + 0.5), minlength=len(out))
+    out = out.reshape(len(normals), dims)
+    which = np.repeat(np.arange(len(normals)), sizes)
+    out[:, 0] += PER_HANGUL * np.bincount(which[(every >= 0xAC00) & (every <= 0xD7A3)], minlength=len(normals))
+    out[:, 1] += PER_LATIN * np.bincount(which[(every >= ord("a")) & (every <= ord("z"))], minlength=len(normals))
+    for row in out:
+        norm = math.sqrt(float(row @ row))
+        if norm:
+            row[:] = np.round(row / norm, 6)
+    return out
+
+
+def dense_vector(normal: str, dims: int) -> np.ndarray:
+    """The hashed projection of one normalised text."""
+    return dense_vectors([normal], dims)[0]
 
 
 def sparse_terms(normal: str) -> Counter[str]:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+from pyspark import StorageLevel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions import text as tx
 from quillgrid.functions import vectors as vx
-from quillgrid.operators import dedupe, features, recommend, rerank, scoring, similarity, vector_search
+from quillgrid.operators import dedupe, features, recommend, rerank, scoring, search, similarity, vector_search
+from quillgrid.operators.document_index import LAYOUT, DocumentIndex, query_parts, shared_path
 from quillgrid.operators.query import STOPWORDS, Query, normalize, token_weight, windows
 from quillgrid.plans import sql
 from quillgrid.schema import DOCUMENTS_VIEW_SQL, documents_view, table
@@ -21,9 +26,45 @@ def _terms(spark, d):
     return features.term_table(table(spark, d, "documents"), "doc_id")
 
 
+def indexed(spark, d) -> DocumentIndex:
+    """The stored index of the documents view, brought up to date. Queries over the same tables share it."""
+    path = shared_path(spark, f"document-index-{LAYOUT}-{hashlib.md5(d.encode()).hexdigest()}")
+    index = DocumentIndex(spark, path)
+    index.refresh(documents_view(spark, d))
+    return index
+
+
+def _moment(vector: str):
+    """The sum of a vector's components in millionths, each times its place: a whole number that every component counts in."""
+    return F.aggregate(F.transform(vector, lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def document_index(spark, d):
+    """Every document's row of the stored index: terms, weights and vectors of the whole text and of the passages together."""
+    rows = indexed(spark, d).documents()
+    sizes = [F.size(c).alias(n) for c, n in (("keys", "n_terms"), ("body_keys", "n_body_terms"), ("words", "n_words"), ("methods", "n_methods"))]
+    return rows.select("id", "total", "body_total", *sizes, _moment("vector").alias("moment"), _moment("body_vector").alias("body_moment"), F.md5("title").alias("title_md5"), "year")
+
+
+def passage_index(spark, d):
+    """Every passage's row of the stored index."""
+    return indexed(spark, d).passages().select("id", "ord", "label", F.md5("passage").alias("passage_md5"), F.size("keys").alias("n_terms"), "total", _moment("vector").alias("moment"))
+
+
+def index_refresh(spark, d):
+    """What refreshes of an index of its own find: all documents new, then nothing, then toxic documents gone and bad ones cited and dated anew, then nothing."""
+    index = DocumentIndex(spark, shared_path(spark, f"index-refresh-{uuid.uuid4().hex}"), dims=64)
+    docs = documents_view(spark, d).select("id", "title", "abstract", "year")
+    marks = table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    later = docs.join(marks, "id", "left").where("toxic is null or toxic = 0").withColumn("year", F.when(F.col("quality") == 0, F.col("year") + 1).otherwise(F.col("year")))
+    done = [index.refresh(x) for x in (docs, docs, later, later)]
+    index.remove()
+    return spark.createDataFrame([(k + 1, x.added, x.changed, x.removed, x.same) for k, x in enumerate(done)], "step int, added long, changed long, removed long, same long")
+
+
 def bm25_topk(spark, d):
-    out = features.bm25(_terms(spark, d), TERMS).select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("score"))
-    return features.top_k(out, TOP, F.desc("score"), F.asc("doc_id"))
+    found = query_parts(indexed(spark, d).documents(), SEARCH.text, TERMS).where("bm25 > 0")
+    return features.top_k(found.select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("score")), TOP, F.desc("score"), F.asc("doc_id"))
 
 
 def sparse_overlap(spark, d):
@@ -77,10 +118,12 @@ def leader_clusters(spark, d):
     return dedupe.leaders(documents_view(spark, d))
 
 
+def _parts(spark, d, index):
+    return scoring.with_fields(documents_view(spark, d)).join(query_parts(index.documents(), SEARCH.text, SEARCH.terms), "id", "left")
+
+
 def _scored(spark, d):
-    bm25 = features.bm25(_terms(spark, d), TERMS)
-    docs = scoring.with_fields(documents_view(spark, d)).join(bm25, "id", "left")
-    return scoring.hybrid_score(docs, SEARCH)
+    return scoring.hybrid_score(_parts(spark, d, indexed(spark, d)), SEARCH)
 
 
 def hybrid_score(spark, d):
@@ -88,8 +131,13 @@ def hybrid_score(spark, d):
 
 
 def _search(spark, d, sort):
-    found = scoring.best(_scored(spark, d), scoring.has_evidence(SEARCH) & ~scoring.is_collision(SEARCH), TOP, sort)
-    return found.select("id", "match", F.round("total", 4).alias("total"), "year", "citations")
+    """Strict search: vector hits, gates, the best passages of the head, the order."""
+    index = indexed(spark, d)
+    docs = _parts(spark, d, index)
+    scored = scoring.vector_boost(scoring.hybrid_score(docs, SEARCH), scoring.vector_hits(docs, search.HITS))
+    kept = scored.where(scoring.has_evidence(SEARCH) & ~scoring.is_collision(SEARCH)).persist(StorageLevel.DISK_ONLY)
+    found = scoring.best(search.with_passages(search.Index(docs, None, index), kept, SEARCH), F.lit(True), TOP, sort)
+    return found.select("id", "match", F.round("total", 4).alias("total"), F.round("passage", 4).alias("passage"), "year", "citations")
 
 
 def search_relevance(spark, d):
@@ -167,7 +215,7 @@ def recommend_feed(spark, d):
 
 def similarity_report(spark, d):
     inputs = table(spark, d, "benchmark").select(F.col("item_id").alias("input_id"), "text", F.substring_index("text", " ", 2).alias("title"))
-    return similarity.report(inputs, documents_view(spark, d))
+    return similarity.report(inputs, indexed(spark, d).documents())
 
 
 def section_compare(spark, d):
@@ -176,7 +224,7 @@ def section_compare(spark, d):
 
     inputs = table(spark, d, "benchmark").select(F.col("item_id").alias("input_id"), "text")
     docs = documents_view(spark, d)
-    best = similarity.report(inputs, docs, 1).select("input_id", "id").join(docs.select("id", "abstract"), "id").select("input_id", "abstract")
+    best = similarity.report(inputs, indexed(spark, d).documents(), 1).select("input_id", "id").join(docs.select("id", "abstract"), "id").select("input_id", "abstract")
     mine = passages.sections(inputs.withColumnRenamed("input_id", "id"), text="text").withColumnRenamed("id", "input_id")
     theirs = passages.sections(best.withColumnRenamed("input_id", "id")).select(F.col("id").alias("input_id"), F.col("ord").alias("m_ord"), F.col("key").alias("m_key"), F.col("label").alias("m_label"), F.col("content").alias("m_content"))
     return similarity.compare_sections(mine, theirs)
@@ -192,16 +240,31 @@ def input_confidence(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, sparse_overlap, cosine_topk, knn_edges, min_distance_per_doc, vector_fit, vector_mean, similar_titles, canonical_merge, leader_clusters, hybrid_score, search_relevance, search_latest, search_citation,
+        document_index, passage_index, index_refresh, bm25_topk, sparse_overlap, cosine_topk, knn_edges, min_distance_per_doc, vector_fit, vector_mean, similar_titles, canonical_merge, leader_clusters, hybrid_score, search_relevance, search_latest, search_citation,
         evidence_flags, filter_and_prefer, profile_boost, rerank_heuristic, rerank_service, supplemented_results, recommend_heuristic, recommend_full, recommend_feed, similarity_report, section_compare, input_confidence,
     )
 }
 
 _T = f"t as (select doc_id, unnest({sql.tokens('text')}) as term from documents), tf as (select doc_id, term, count(*) as n from t group by all)"
-_L = f"ln as (select doc_id, sum(n) as len from tf group by all), st as (select count(*) as docs, avg(len) as av from ln)"
-_BM = f"""{_T}, {_L}, h as (select * from tf where term in ('the', 'tion', 'and')), dfs as (select term, count(*) as df from h group by all),
-bm as (select h.doc_id as id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len / av))) as bm25 from h join dfs using (term) join ln using (doc_id), st group by all)"""
 _N = lambda e: sql.norm(e)
+_BUNDLE = f"""bu as (select id, {sql.norm("concat_ws(' ', title, title, abstract, abstract, organization, array_to_string(list_concat(keywords, keywords, methods), ' '))")} as n from docs)"""
+#: bm25 from sparse weights: bs has them.
+_BM_SPARSE = """len0 as (select docs.id, coalesce(sum(w), 0) / 20.0 as len from docs left join bs using (id) group by docs.id), stat0 as (select count(*) as docs, greatest(1.0, avg(len)) as av from len0),
+hit0 as (select id, term, w / 20.0 as tf from bs where term in ('the', 'tion', 'and')), df0 as (select term, count(*) as df from hit0 group by all),
+bm as (select id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av))) as bm25 from hit0 join df0 using (term) join len0 using (id), stat0 group by id)"""
+#: What a query's vector and sparse terms score with each document.
+_N = lambda e: sql.norm(e)
+_BUNDLE = f"""bu as (select id, {sql.norm("concat_ws(' ', title, title, abstract, abstract, organization, array_to_string(list_concat(keywords, keywords, methods), ' '))")} as n from docs)"""
+#: bm25 from sparse weights: bs has them.
+_BM_SPARSE = """len0 as (select docs.id, coalesce(sum(w), 0) / 20.0 as len from docs left join bs using (id) group by docs.id), stat0 as (select count(*) as docs, greatest(1.0, avg(len)) as av from len0),
+hit0 as (select id, term, w / 20.0 as tf from bs where term in ('the', 'tion', 'and')), df0 as (select term, count(*) as df from hit0 group by all),
+bm as (select id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av))) as bm25 from hit0 join df0 using (term) join len0 using (id), stat0 group by id)"""
+#: What a query's vector and sparse terms score with each document.
+_PARTS = f"""{_BUNDLE}, q0 as (select 0 as id, '{normalize(SEARCH.text)}' as n), {sql.dense('q', 'q0', 1024)}, {sql.dense('b', 'bu', 1024)}, {sql.sparse20('q', 'q0')}, {sql.sparse20('b', 'bu')}, {_BM_SPARSE},
+zq as (select sqrt(sum(value * value)) as z from qv), zb as (select id, sqrt(sum(value * value)) as z from bv group by id),
+cs as (select bv.id, sum(qv.value * bv.value) as dot from qv join bv using (bucket) group by bv.id), ls as (select bs.id, sum(least(qs.w, bs.w)) as l from qs join bs using (term) group by bs.id), tq as (select sum(w) as t from qs),
+parts as (select docs.id, coalesce(dot / (zq.z * zb.z), 0.0) as dense, coalesce(l, 0) / (tq.t + len0.len * 20 - coalesce(l, 0)) as sparse, coalesce(bm25, 0.0) as bm25
+ from docs join len0 using (id) left join zb on zb.id = docs.id left join cs on cs.id = docs.id left join ls on ls.id = docs.id left join bm on bm.id = docs.id, zq, tq)"""
 
 
 def _fields() -> str:
@@ -222,11 +285,11 @@ def _scored_sql(query: Query, bm25: bool) -> str:
         "title_coverage": sql.cover(query.terms, "f_title"), "abstract_coverage": sql.cover(query.terms, "f_abstract"), "keyword_coverage": sql.cover(query.terms, "f_keywords"),
         "semantic_title_coverage": sql.cover(important, "f_title"), "semantic_keyword_coverage": sql.cover(important, "f_keywords"), "phrase_coverage": sql.cover(windows(query.terms), "body"),
     }
-    return f"""{DOCUMENTS_VIEW_SQL}, {_fields()}, sa as (select fa.*, {'coalesce(bm25, 0)' if bm25 else '0.0'} as bm25, 0.0 as dense, 0.0 as sparse, {', '.join(f'{e} as {n}' for n, e in covers.items())},
+    return f"""{DOCUMENTS_VIEW_SQL}, {_fields()}{', ' + _PARTS if bm25 else ''}, sa as (select fa.*, {'bm25, dense, sparse' if bm25 else '0.0 as bm25, 0.0 as dense, 0.0 as sparse'}, {', '.join(f'{e} as {n}' for n, e in covers.items())},
  case when contains(f_title, '{whole}') then 22.0 else 0.0 end as exact_title, case when {len(whole.replace(' ', '')) >= 5} and contains(replace(f_title, ' ', ''), '{whole.replace(' ', '')}') then 14.0 else 0.0 end as compact_title,
- {' + '.join(lexical)} as lex0 from fa {'left join bm using (id)' if bm25 else ''}),
+ {' + '.join(lexical)} as lex0 from fa {'join parts using (id)' if bm25 else ''}),
 sb as (select *, lex0 + {' + '.join(f'{n} * {p}' for n, p in scoring.COVERAGE_POINTS.items())} + exact_title + compact_title as lexical from sa),
-sc as (select *, lexical * 0.5 + bm25 * 18 + least(citations / 500.0, 0.12) * 100 + greatest(0, (year - 2018) * 0.01) * 100 as total from sb)"""
+sc as (select *, lexical * 0.5 + dense * 9 + sparse * 10 + bm25 * 18 + least(citations / 500.0, 0.12) * 100 + greatest(0, (year - 2018) * 0.01) * 100 as total from sb)"""
 
 
 def _in_body(items) -> str:
@@ -237,20 +300,34 @@ def _gates(q: Query) -> str:
     normal, own = normalize(q.text), q.informative
     short = normal.replace(" ", "")
     evidence = f"""case when contains(f_title, '{normal}') then true when contains(replace(body, ' ', ''), '{short}') then true when {_in_body(q.terms)} >= {min(2, len(q.terms))} then true
- when {len(q.text.split()) >= 2} then false when {_in_body(q.tokens)} > 0 then true else lexical >= 8 or bm25 >= 0.4 end"""
+ when {len(q.text.split()) >= 2} then false when {_in_body(q.tokens)} > 0 then true else lexical >= 8 or sparse >= 0.14 or bm25 >= 0.4 end"""
     # No document of the driver's tables is Korean, so the cross-lingual rules can't apply.
     collision = f"""case when exact_title + compact_title > 0 or phrase_coverage > 0 or keyword_coverage >= 0.5 or semantic_keyword_coverage >= 0.5 or ({len(own) >= 2} and {_in_body(own)} >= 2) then false when {len(own) >= 2} then true
- else title_coverage < 0.5 and (semantic_title_coverage < 0.5 or {_in_body(own)} < 2) and abstract_coverage < 0.75 end"""
+ else title_coverage < 0.5 and (semantic_title_coverage < 0.5 or {_in_body(own)} < 2) and abstract_coverage < 0.75 and sparse < 0.18 end"""
     return f"({evidence}) as evidence, ({collision}) as collision"
 
 
-_MATCH = """round(least(lexical, 120) + least(bm25, 5) * 18 + title_coverage * 45 + keyword_coverage * 35 + semantic_title_coverage * 34 + semantic_keyword_coverage * 28 + phrase_coverage * 38
+_MATCH = """round(least(lexical, 120) + least(bm25, 5) * 18 + least(sparse, 0.45) * 120 + least(dense, 0.8) * 45 + title_coverage * 45 + keyword_coverage * 35 + semantic_title_coverage * 34 + semantic_keyword_coverage * 28 + phrase_coverage * 38
  + case when exact_title > 0 then 40 else 0 end + case when compact_title > 0 then 24 else 0 end, 4)"""
 
 
+def _texts(name: str, source: str) -> str:
+    """Common table (id, n, label, raw) of the fields that passages come from."""
+    fields = {"title": "title", "abstract": "abstract", "methods": "array_to_string(methods, ' · ')", "keywords": "array_to_string(keywords, ' · ')"}
+    return f"{name} as ({' union all '.join(f'select id, {n} as n, $${label}$$ as label, {e} as raw from {source}' for n, (label, e) in enumerate(fields.items()))})"
+
+
 def _search_sql(order: str) -> str:
-    return f"""with {_BM}, {_scored_sql(SEARCH, True)}, g as (select *, {_gates(SEARCH)}, {_MATCH} as match from sc)
-select id, match, round(total, 4) as total, year, citations from g where evidence and not collision order by {order}, id limit {TOP}"""
+    match = _MATCH.replace(", 4)", " + least(passage, 0.8) * 20, 4)")
+    return f"""with {_scored_sql(SEARCH, True)}, vh as (select id, dense as hit from parts order by round(dense, 9) desc, id limit 32),
+g as (select sc.* exclude (total), total + coalesce(hit, 0) * 2.5 as total, {_gates(SEARCH)} from sc left join vh using (id)), h as (select * from g where evidence and not collision order by round(total, 6) desc, id limit 32),
+{_texts('px', 'h')}, {sql.passages('ps', 'px', 360)},
+wx as (select ps.id || '-' || ord as id, {sql.norm("title || chr(10) || passage")} as n from ps join h using (id)), {sql.dense('w', 'wx', 1024)},
+wz as (select id, sqrt(sum(value * value)) as z from wv group by id), wd as (select wv.id, sum(qv.value * wv.value) as dot from qv join wv using (bucket) group by wv.id),
+wc as (select ps.id, label, ord, coalesce(dot / (zq.z * wz.z), 0.0) as c from ps left join wz on wz.id = ps.id || '-' || ord left join wd on wd.id = ps.id || '-' || ord, zq),
+best0 as (select id, greatest(max(c), 0) as c, first(label order by round(c, 9) desc, ord) as label from wc group by id),
+gp as (select g.* exclude (total), round(coalesce(c, 0), 4) as passage, total + case when c is null then 0 else 16 * (c + case when c > 0 and label = 'title' then 0.16 when c > 0 and label = 'abstract' then 0.1 else 0.03 end) end as total from g left join best0 using (id) where evidence and not collision),
+gm as (select *, {match} as match from gp) select id, match, round(total, 4) as total, passage, year, citations from gm order by {order}, id limit {TOP}"""
 
 
 def _rerank_sql(service: bool) -> str:
@@ -263,10 +340,10 @@ def _rerank_sql(service: bool) -> str:
         score = f"case when {exact} then 0.2 else 0 end + {sql.cover(q.terms, 'f_title')} * 0.24 + {sql.cover(q.terms, summary)} * 0.18 + {sql.cover(['un', 'de'], both)} * 0.2 + least(citations / 250.0, 0.12)"
     else:
         score = f"""case when {exact} then 0.28 else 0 end + {sql.cover(q.terms, 'f_title')} * 0.2 + {sql.cover(q.terms, summary)} * 0.14 + {sql.cover(pairs, 'f_title')} * 0.12 + {sql.cover(pairs, summary)} * 0.08
- + {sql.cover(semantic, both)} * 0.14 + {sql.cover(semantic, 'f_title')} * 0.16 + {sql.cover(q.terms, 'f_keywords')} * 0.08 + {sql.cover(semantic, 'f_keywords')} * 0.08 + least(1.0, lexical / 24) * 0.06
+ + {sql.cover(semantic, both)} * 0.14 + {sql.cover(semantic, 'f_title')} * 0.16 + {sql.cover(q.terms, 'f_keywords')} * 0.08 + {sql.cover(semantic, 'f_keywords')} * 0.08 + dense * 0.16 + sparse * 0.1 + least(1.0, lexical / 24) * 0.06
  + least(citations / 300.0, 0.12) + greatest(0, (year - 2021) * 0.01)"""
-    return f"""with {_BM}, {_scored_sql(q, True)}, r as (select *, cast(row_number() over (order by round(total, 6) desc, id) as int) as rank from sc)
-select id, rank, case when rank <= 12 then round({score}, 5) end as rerank from r where rank <= {TOP}"""
+    return f"""with {_scored_sql(q, True)}, r as (select *, cast(row_number() over (order by round(total, 6) desc, id) as int) as rank from sc)
+select id, rank, case when rank <= 12 then round(round({score}, 6), 5) end as rerank from r where rank <= {TOP}"""
 
 
 def _profile_sql() -> str:
@@ -291,8 +368,27 @@ _AFFINITY = f"""aw as (select p.id as x, q.id as y, 0.55 * case when p.organizat
 ae as (select x, y from (select *, row_number() over (partition by x order by round(raw + 1e-9, 4) desc, y) as r from aw where raw > 0.2 + 1e-9) where r <= 4)"""
 _NAMES = lambda a, o: f"list_transform({a}, lambda z: z || '::' || {o})"
 
+_MOMENT = lambda v: f"select id, cast(sum(cast(round(value * 1000000) as bigint) * (bucket + 1)) as bigint) as m from {v} group by id"
+#: Vectors (bv) and texts (bt0) of documents by their passages (sp) of 320 characters; bu has the whole texts.
+_BODY = f"""{_BUNDLE}, {_texts('sx', 'docs')}, {sql.passages('sp', 'sx', 320)},
+ su as (select id, 0 as ord, 'title' as label, n from bu where id not in (select id from sp)), sn as (select id, ord, label, {sql.norm('passage')} as n from sp union all select * from su),
+ st as (select id || '-' || ord as id, n from sn), {sql.dense('p', 'st', 1024)},
+ sw as (select id, id || '-' || ord as k, case label when 'title' then 2.8 when 'abstract' then 1.9 when 'keywords' then 1.35 else 1.1 end as w from sn),
+ sm as (select sw.id, bucket, sum(value * w) as x from sw join pv on pv.id = sw.k group by all), bv as (select id, bucket, round(x / size, 6) as value from sm join (select id, sqrt(sum(x * x)) as size from sm group by id) using (id) where size > 0),
+ bt0 as (select id, {sql.norm("string_agg(passage, ' ' order by ord)")} as n from sp group by id union all select id, n from su)"""
+_SAID = f"""bw as (select id, {_WORDS("concat_ws(' ', title, abstract, array_to_string(list_concat(keywords, methods), ' '))")} as words, {_WORDS("array_to_string(methods, ' ')")} as methods, {sql.norm('title')} as title, year from docs)"""
+
 ORACLES = {
-    "bm25_topk": f"with {_BM} select id as doc_id, round(bm25, 6) as score from bm order by score desc, doc_id limit {TOP}",
+    "document_index": f"""with {_V}, {_BODY}, {_SAID}, {sql.dense('w', 'bu', 1024)}, {sql.sparse20('w', 'bu')}, {sql.sparse20('b', 'bt0')}, t1 as (select id, sum(w) as t, count(*) as n from ws group by id), t2 as (select id, sum(w) as t, count(*) as n from bs group by id),
+m1 as ({_MOMENT('wv')}), m2 as ({_MOMENT('bv')})
+select bw.id, coalesce(t1.t, 0)::bigint as total, coalesce(t2.t, 0)::bigint as body_total, coalesce(t1.n, 0)::int as n_terms, coalesce(t2.n, 0)::int as n_body_terms, len(words)::int as n_words, len(methods)::int as n_methods, coalesce(m1.m, 0) as moment, coalesce(m2.m, 0) as body_moment, md5(title) as title_md5, year
+from bw left join t1 using (id) left join t2 using (id) left join m1 using (id) left join m2 using (id)""",
+    "passage_index": f"""with {_V}, {_texts('sx', 'docs')}, {sql.passages('sp', 'sx', 360)}, wx as (select sp.id || '-' || ord as id, {sql.norm("title || chr(10) || passage")} as n from sp join docs using (id)), ux as (select id || '-' || ord as id, {sql.norm('passage')} as n from sp),
+{sql.dense('w', 'wx', 1024)}, {sql.sparse20('u', 'ux')}, t1 as (select id, sum(w) as t, count(*) as n from us group by id), m1 as ({_MOMENT('wv')})
+select sp.id, ord, label, md5(passage) as passage_md5, coalesce(t1.n, 0)::int as n_terms, coalesce(t1.t, 0)::bigint as total, coalesce(m1.m, 0) as moment from sp left join t1 on t1.id = sp.id || '-' || ord left join m1 on m1.id = sp.id || '-' || ord""",
+    "index_refresh": """with m as (select d.doc_id, max(toxic) as toxic, min(quality) as quality from documents d left join labels l using (doc_id) group by all), n as (select count(*) as n, count(*) filter (where toxic = 1) as gone, count(*) filter (where quality = 0 and toxic = 0) as new from m)
+select * from (select 1 as step, n as added, 0 as changed, 0 as removed, 0 as same from n union all select 2, 0, 0, 0, n from n union all select 3, 0, new, gone, n - gone - new from n union all select 4, 0, 0, 0, n - gone from n)""",
+    "bm25_topk": f"with {DOCUMENTS_VIEW_SQL}, {_BUNDLE}, {sql.sparse20('b', 'bu')}, {_BM_SPARSE} select id as doc_id, round(bm25, 6) as score from bm order by score desc, doc_id limit {TOP}",
     "sparse_overlap": f"""with {_T}, b as (select item_id, unnest({sql.tokens('text')}) as term from benchmark), bf as (select item_id, term, count(*) as x from b group by all), bt as (select item_id, sum(x) as tx from bf group by all), dt as (select doc_id, sum(n) as ty from tf group by all),
 l as (select item_id, doc_id, sum(least(x, n)) as l from bf join tf using (term) group by all) select item_id, doc_id, round(l / (tx + ty - l), 6) as overlap from l join bt using (item_id) join dt using (doc_id)""",
     "cosine_topk": """with q as (select embedding as e from embeddings order by vec_id limit 1) select vec_id as id, round(list_cosine_similarity(cast(embedding as double[]), cast(e as double[])), 6) as score from embeddings, q order by score desc, id limit 12""",
@@ -307,16 +403,16 @@ select a, b, round(c / (na + nb - c), 6) as jaccard from s where c / (na + nb -
     "canonical_merge": f"""with {_V}, k as (select *, regexp_replace(regexp_replace({sql.norm('title')}, '{tx.VENUE_WORDS}', ' ', 'g'), '\\s+', '', 'g') as title_key from docs),
 m as (select title_key, min(id) as id, count(*) as records, arg_min(source, id) as source, array_to_string(list_sort(list(distinct source)), '|') as sources, max(citations) as citations, md5(first(abstract order by length(abstract) desc, id)) as abstract_md5, flatten(list(keywords order by id)) as ks, flatten(list(methods order by id)) as ms from k group by title_key)
 select title_key, id, records, source, sources, citations, abstract_md5, coalesce(array_to_string({sql.unique('ks')}[1:12], '|'), '') as keywords, coalesce(array_to_string({sql.unique('ms')}[1:10], '|'), '') as methods from m""",
-    "hybrid_score": f"with {_BM}, {_scored_sql(SEARCH, True)} select id, {', '.join(f'round({p}, 4) as {p}' for p in scoring.PARTS)} from sc",
+    "hybrid_score": f"with {_scored_sql(SEARCH, True)} select id, {', '.join(f'round({p}, 4) as {p}' for p in scoring.PARTS)} from sc",
     "search_relevance": _search_sql("round(match, 2) desc, round(total, 6) desc, year desc"),
     "search_latest": _search_sql("year desc, round(total, 6) desc"),
     "search_citation": _search_sql("citations desc, round(total, 6) desc"),
-    "evidence_flags": f"with {_BM}, {_scored_sql(SEARCH, True)} select id, {_gates(SEARCH)}, cast(len(list_filter(['tion', 'thes', 'onthe'], lambda x: contains(body, x) or contains(replace(body, ' ', ''), x))) as int) as relaxed from sc",
-    "filter_and_prefer": f"with {_BM}, {_scored_sql(SEARCH, True)} select id, case when source in ('src1', 'src2') then 18.0 else -6.0 end as source_boost, round(total + case when source in ('src1', 'src2') then 18.0 else -6.0 end, 4) as total from sc where region = 'domestic' and type = 'paper'",
+    "evidence_flags": f"with {_scored_sql(SEARCH, True)} select id, {_gates(SEARCH)}, cast(len(list_filter(['tion', 'thes', 'onthe'], lambda x: contains(body, x) or contains(replace(body, ' ', ''), x))) as int) as relaxed from sc",
+    "filter_and_prefer": f"with {_scored_sql(SEARCH, True)} select id, case when source in ('src1', 'src2') then 18.0 else -6.0 end as source_boost, round(total + case when source in ('src1', 'src2') then 18.0 else -6.0 end, 4) as total from sc where region = 'domestic' and type = 'paper'",
     "profile_boost": _profile_sql(),
     "rerank_heuristic": _rerank_sql(False),
     "rerank_service": _rerank_sql(True),
-    "supplemented_results": f"""with {_BM}, {_scored_sql(SEARCH, True)}, m as (select *, {_MATCH} as match from sc), p as (select id, total from m where phrase_coverage > 0.9 order by round(match, 2) desc, round(total, 6) desc, year desc, id limit 5),
+    "supplemented_results": f"""with {_scored_sql(SEARCH, True)}, m as (select *, {_MATCH} as match from sc), p as (select id, total from m where phrase_coverage > 0.9 order by round(match, 2) desc, round(total, 6) desc, year desc, id limit 5),
 u as (select id, false as supplemental, total from p union all select id, true, greatest(0, total - 10) from sc where title_coverage > 0 and id not in (select id from p)) select id, supplemental, round(total, 4) as total from u order by supplemental, u.total desc, id limit 50""",
     "recommend_heuristic": f"with {_V}, {_PAPERS}, {_PAIRS}, {_HEURISTIC.format(pref='case when source = $$src3$$ then 6 else 0 end')} select p_id, id, score, rank from hr where rank <= 5",
     "recommend_full": f"""with {_V}, {_PAPERS}, {_PAIRS}, {_AFFINITY}, f as (select pr.p_id, pr.id, round(100 * (len(list_intersect(pk, dk)) * 0.05 + len(list_intersect(pa, da)) * 0.04 + case when po = dorg then len(list_intersect(pa, da)) else 0 end * 0.05 + len(list_intersect(pm, dm)) * 0.07
@@ -327,14 +423,12 @@ r as (select *, cast(row_number() over (partition by p_id order by score desc, i
 select id, items, round(base + case when contains(lower(concat_ws(' ', title, array_to_string(keywords, ' '))), 'thinor') then 9 else 0 end + case when source = 'src3' then 6 else 0 end + case when region = 'domestic' then 4 else 0 end + 0.8 * greatest(0, year - 2020), 2) as score
 from s join docs using (id) order by score desc, id limit 25""",
     "similarity_report": f"""with {_V}, i as (select item_id as id, {sql.norm('text')} as n, {sql.norm(_TITLE)} as title, {_WORDS('text')} as words from benchmark where len({_WORDS('text')}) >= 8),
-bu as (select id, {sql.norm("concat_ws(' ', title, title, abstract, abstract, organization, array_to_string(list_concat(keywords, keywords, methods), ' '))")} as n, {_WORDS("concat_ws(' ', title, abstract, array_to_string(list_concat(keywords, methods), ' '))")} as words,
- {_WORDS("array_to_string(methods, ' ')")} as methods, {sql.norm('title')} as title, year from docs),
-{sql.dense('q', 'i', 1024)}, {sql.dense('b', 'bu', 1024)}, {sql.sparse20('q', 'i')}, {sql.sparse20('b', 'bu')},
+{_BODY}, {_SAID}, {sql.dense('q', 'i', 1024)}, {sql.sparse20('q', 'i')}, {sql.sparse20('b', 'bt0')},
 nn as (select id, sqrt(sum(value * value)) as z from qv group by id), nb as (select id, sqrt(sum(value * value)) as z from bv group by id),
 cs as (select qv.id as x, bv.id as y, sum(qv.value * bv.value) as dot from qv join bv using (bucket) group by all), ls as (select a.id as x, b.id as y, sum(least(a.w, b.w)) as l from qs a join bs b using (term) group by all),
 ti as (select id, sum(w) as t from qs group by id), tb as (select id, sum(w) as t from bs group by id),
-f as (select i.id as input_id, bu.id as id, cast(len(list_intersect(i.words, bu.words)) as int) as shared, len(list_intersect(i.words, bu.methods)) as m, contains(bu.title, i.title) as held, bu.year, coalesce(dot / (nn.z * nb.z), 0.0) as cosine, coalesce(l, 0) / (ti.t + coalesce(tb.t, 0) - coalesce(l, 0)) as sp
- from i cross join bu left join nn on nn.id = i.id left join nb on nb.id = bu.id left join cs on cs.x = i.id and cs.y = bu.id left join ls on ls.x = i.id and ls.y = bu.id left join ti on ti.id = i.id left join tb on tb.id = bu.id),
+f as (select i.id as input_id, bw.id as id, cast(len(list_intersect(i.words, bw.words)) as int) as shared, len(list_intersect(i.words, bw.methods)) as m, contains(bw.title, i.title) as held, bw.year, coalesce(dot / (nn.z * nb.z), 0.0) as cosine, coalesce(l, 0) / (ti.t + coalesce(tb.t, 0) - coalesce(l, 0)) as sp
+ from i cross join bw left join nn on nn.id = i.id left join nb on nb.id = bw.id left join cs on cs.x = i.id and cs.y = bw.id left join ls on ls.x = i.id and ls.y = bw.id left join ti on ti.id = i.id left join tb on tb.id = bw.id),
 g as (select input_id, id, shared, round(sp, 6) as sparse, round(cosine, 6) as cosine, cast(least(98, floor(54 * cosine + 24 * sp + 2.8 * shared + 3 * m + case when held then 8 else 0 end + case when year >= 2024 then 4 else 0 end + 0.5)) as int) as score from f),
 r as (select *, cast(row_number() over (partition by input_id order by score desc, sparse desc, id) as int) as rank from g)
 select *, case when score >= 84 then 'same_topic' when score >= 62 then 'related' else 'uncertain' end as label, case when score >= 84 then 'high' when score >= 62 then 'moderate' else 'low' end as risk from r where rank <= 6""",

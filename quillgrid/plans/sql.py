@@ -72,3 +72,15 @@ def sparse20(p: str, source: str) -> str:
     return f"""{p}st as (select id, list_filter(string_split(n, ' '), lambda t: length(t) >= 2) as t, string_split(replace(n, ' ', ''), '') as ch from {source}),
 {p}s as (select id, term, cast(sum(w) as bigint) as w from (select id, unnest(t) as term, 20 as w from {p}st union all select id, unnest({runs('t', 2)}), 35 from {p}st union all select id, unnest({runs('t', 3)}), 44 from {p}st
  union all select id, 'char:' || unnest({grams('ch')}), 4 from {p}st where len(ch) >= 4) group by all)"""
+
+
+def passages(p: str, source: str, most: int) -> str:
+    """Common tables up to {p} (id, ord, label, passage): a table's (id, n, label, raw) texts, n ordering the labels, as sentences packed into passages of at most so many characters."""
+    whole = f"a.c <> '' and length(a.c) + 1 + length(b.c) <= {most}"
+    fold = f"""list_reduce(list_transform(string_split(regexp_replace(sq, '([.!?다요])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {{'c': s, 'o': cast([] as varchar[])}}),
+ lambda a, b: case when {whole} then {{'c': a.c || ' ' || b.c, 'o': a.o}} when length(b.c) <= {most} then {{'c': b.c, 'o': list_append(a.o, a.c)}}
+ else {{'c': '', 'o': list_concat(a.o, [a.c], list_transform(range(0, length(b.c), {most}), lambda i: trim(b.c[i + 1:i + {most}])))}} end, {{'c': '', 'o': cast([] as varchar[])}})"""
+    return f"""{p}0 as (select id, n, label, trim(regexp_replace(coalesce(raw, ''), '\\s+', ' ', 'g')) as sq from {source}),
+{p}1 as (select id, n, label, case when length(sq) <= {most} then {{'c': sq, 'o': cast([] as varchar[])}} else {fold} end as f from {p}0),
+{p}2 as (select id, n, label, unnest(list_append(f.o, f.c)) as passage, generate_subscripts(list_append(f.o, f.c), 1) as k from {p}1),
+{p} as (select id, label, passage, cast(row_number() over (partition by id order by min(n), min(k)) as int) as ord from {p}2 where passage <> '' group by id, label, passage)"""

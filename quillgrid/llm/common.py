@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,37 +81,50 @@ class Folder:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def in_order(df: DataFrame, keys: list[str], folder: Folder, sums: tuple[str, ...] = ()) -> DataFrame:
-    """df with at, the number of a row (from 0) in the order of keys, and, in place of each of sums, its running total up to and with that row.
+def in_order(df: DataFrame, keys: list[str], folder: Folder, sums: tuple[str, ...] = (), named: tuple[str, ...] = ()) -> DataFrame:
+    """df with at, the number of a row (from 0) in the order of keys; name, the dense rank (from 1) of its first keys, those in named; and, in place of each of sums, its running total up to and with that row.
 
     Rows are dealt by ranges of keys and sorted within; each task numbers its own, and what lies before a task comes from
-    one row a task, which alone is broadcast. No task sees more than its range, so the keys should tell rows apart.
+    one row a task, which alone reaches the driver and is broadcast. No task sees more than its range, and rows of equal
+    named keys may lie in several: the keys together should tell rows apart.
     """
     taken = [f for f in df.schema.fields if f.name not in sums]
-    schema = T.StructType([*taken, *(T.StructField(n, T.LongType()) for n in ("_task", "at", *sums))])
+    schema = T.StructType([*taken, *(T.StructField(n, T.LongType()) for n in ("_task", "at", "_rank", *sums))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen, totals = TaskContext.get().partitionId(), 0, dict.fromkeys(sums, 0)
+        task, seen, rank, last, totals = TaskContext.get().partitionId(), 0, 0, None, dict.fromkeys(sums, 0)
         for b in batches:
             n = b.num_rows
-            columns = [b.column(b.schema.get_field_index(f.name)) for f in taken]
-            columns += [pa.array(np.full(n, task, np.int64)), pa.array(np.arange(seen, seen + n))]
+            if not n:
+                continue
+            of = lambda name: b.column(b.schema.get_field_index(name))  # noqa: B023, E731
+            columns = [of(f.name) for f in taken]
+            new = np.zeros(n, np.int64)
+            for k in named:
+                new[1:] |= pc.not_equal(of(k)[1:], of(k)[:-1]).to_numpy(zero_copy_only=False)
+            new[0] = [of(k)[0] for k in named] != last
+            ranks, last = rank + np.cumsum(new), [of(k)[n - 1] for k in named]
+            rank = int(ranks[-1])
+            columns += [pa.array(np.full(n, task, np.int64)), pa.array(np.arange(seen, seen + n)), pa.array(ranks)]
             for s in sums:
-                got = totals[s] + np.cumsum(b.column(b.schema.get_field_index(s)).to_numpy(zero_copy_only=False).astype(np.int64))
-                totals[s] = int(got[-1]) if n else totals[s]
+                got = totals[s] + np.cumsum(of(s).to_numpy(zero_copy_only=False).astype(np.int64))
+                totals[s] = int(got[-1])
                 columns.append(pa.array(got))
             seen += n
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
     made = folder.put(df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema))
-    tasks = made.groupBy("_task").agg(F.max("at").alias("at"), *(F.max(s).alias(s) for s in sums)).orderBy("_task").collect()
-    before, rows = dict.fromkeys(("at", *sums), 0), []
+    ends = F.struct(*named) if named else F.lit(0)
+    tasks = made.groupBy("_task").agg(F.max("at").alias("at"), F.max("_rank").alias("_rank"), F.min_by(ends, "at").alias("first"), F.max_by(ends, "at").alias("last"), *(F.max(s).alias(s) for s in sums)).orderBy("_task").collect()
+    before, last, rows = dict.fromkeys(("at", "_rank", *sums), 0), None, []
     for t in tasks:
+        before["_rank"] -= t["first"] == last  # a key that goes on from the task before
         rows.append((t._task, *before.values()))
-        before = {"at": before["at"] + t["at"] + 1, **{s: before[s] + t[s] for s in sums}}
+        before = {"at": before["at"] + t["at"] + 1, **{s: before[s] + t[s] for s in ("_rank", *sums)}}
+        last = t["last"]
     offsets = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField(n, T.LongType()) for n in ("_task", *(f"_{n}" for n in before))]))
     joined = made.join(F.broadcast(offsets), "_task")
-    return joined.select(*[f"`{f.name}`" for f in taken], *((F.col(n) + F.col(f"_{n}")).alias(n) for n in before))
+    return joined.select(*[f"`{f.name}`" for f in taken], *((F.col(n) + F.col(f"_{n}")).alias("name" if n == "_rank" else n) for n in before if named or n != "_rank"))
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:

@@ -2,7 +2,7 @@
 
 Prefix doubling names turns, and then blocks of 2, 4, 8, ... turns at aligned places, by
 dense numbers: a block's name is the rank of the pair of its halves' names among all such
-pairs, 0 standing for turns beyond the end. A join round a power of two names them all.
+pairs, 0 standing for turns beyond the end. A round for each power of two names them all.
 The first d turns are the blocks of d's binary digits, largest first, so their name is
 made from a shorter prefix's and one block's, in a round for each further digit. Rows of
 one depth and name are a node.
@@ -71,22 +71,21 @@ def rebuild(turns: DataFrame, conversations: DataFrame) -> tuple[DataFrame, Data
     return kept.unionByName(given.select("conv_id", "pos", "turn_key", "chars")), sizes
 
 
-def named(rows: DataFrame, keys: list[str], folder: Folder) -> DataFrame:
-    """rows with name in place of keys: the rank of their keys among all distinct ones, from 1."""
-    ranks = in_order(rows.select(*keys).distinct(), keys, folder).withColumn("at", F.col("at") + 1).withColumnRenamed("at", "name")
-    return folder.put(rows.join(ranks, keys).drop(*[k for k in keys if k != "depth"]))
+def named(rows: DataFrame, keys: tuple[str, ...], ties: tuple[str, ...], folder: Folder) -> DataFrame:
+    """rows with name in place of keys: the rank of their keys among all distinct ones, from 1. Rows are sorted by keys, then ties, and counted off, so a key of very many rows spreads over tasks."""
+    return in_order(rows, [*keys, *ties], folder, named=keys).drop("at", *[k for k in keys if k != "depth"])
 
 
 def block_names(turns: DataFrame, longest: int, folder: Folder) -> list[DataFrame]:
     """For each level k conv_id, block, name and chars (of the last turn in it) of the blocks of 2**k turns, up to a level that covers the longest conversation."""
-    levels = [named(turns.withColumnRenamed("pos", "block"), ["turn_key"], folder)]
+    levels = [named(turns.withColumnRenamed("pos", "block"), ("turn_key",), ("conv_id", "block"), folder)]
     even = F.col("block") % 2 == 0
     for _ in range(max(0, longest - 1).bit_length()):
         of = lambda c, side: F.max(F.when(even if side == 0 else ~even, F.col(c)))
         halves = levels[-1].groupBy("conv_id", F.shiftright("block", 1).alias("pair")).agg(
             of("name", 0).alias("left"), F.coalesce(of("name", 1), F.lit(0)).alias("right"), F.coalesce(of("chars", 1), of("chars", 0)).alias("chars")
         )
-        levels.append(named(halves.withColumnRenamed("pair", "block"), ["left", "right"], folder))
+        levels.append(named(halves.withColumnRenamed("pair", "block"), ("left", "right"), ("conv_id", "block"), folder))
     return levels
 
 
@@ -101,7 +100,7 @@ def prefix_names(levels: list[DataFrame], sizes: DataFrame, longest: int, folder
     made = [ends.where(digits == 1).select("conv_id", "depth", F.col("block").alias("name"), "chars")]
     for d in range(2, longest.bit_length() + 1):
         shorter = made[-1].select("conv_id", F.col("depth").alias("rest"), F.col("name").alias("prefix"))
-        made.append(named(ends.where(digits == d).join(shorter, ["conv_id", "rest"]).select("conv_id", "depth", "prefix", "block", "chars"), ["depth", "prefix", "block"], folder))
+        made.append(named(ends.where(digits == d).join(shorter, ["conv_id", "rest"]).select("conv_id", "depth", "prefix", "block", "chars"), ("depth", "prefix", "block"), ("conv_id",), folder))
     out = made[0]
     for m in made[1:]:
         out = out.unionByName(m.select(*out.columns))

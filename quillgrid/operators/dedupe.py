@@ -122,9 +122,18 @@ def leaders(docs: DataFrame) -> DataFrame:
 
 
 def canonical_merge(docs: DataFrame, key: str) -> DataFrame:
-    """One record for each key: sources united, lists united and cut to MOST, most citations, the longest abstract (the first of equals), all else from the first record by id."""
+    """One record for each key: sources united; lists united and cut to MOST, in order of first occurrence; maps (links, sourceIds) united, the last record by id winning an entry;
+    most citations; open access if any is; the longest abstract and summary (the first of equals); the first organization and English title that aren't empty; all else from the first record by id.
+
+    Items and entries are aggregated one by one, so the records of a key are never together in a list, and only what
+    is kept of it is gathered: at most MOST items, and the distinct entries of a map. Null lists and maps are empty;
+    records without a key are one record. Raw records stay rows of their own (store.replace_by_key).
+    """
+    have = docs.columns
     first = lambda c: F.min_by(c, "id")
-    united = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", F.col(c).alias("v")))), lambda x: x["v"])))
+    filled = lambda c: F.min_by(F.col(c), F.when(F.length(c) > 0, F.col("id")))
+    longest = lambda c: F.max_by(c, F.struct(F.length(c), -F.col("id")))
+    some = {"openAccess": F.max, "organization": filled, "englishTitle": filled, "summary": longest}
     out = docs.groupBy(key).agg(
         F.min("id").alias("id"),
         F.count("*").alias("records"),
@@ -132,7 +141,26 @@ def canonical_merge(docs: DataFrame, key: str) -> DataFrame:
         first("source").alias("source"),
         F.array_sort(F.collect_set("source")).alias("sources"),
         F.max("citations").alias("citations"),
-        F.max_by("abstract", F.struct(F.length("abstract"), -F.col("id"))).alias("abstract"),
-        *[united(c).alias(c) for c in MOST if c in docs.columns],
+        longest("abstract").alias("abstract"),
+        *[f(c).alias(c) for c, f in some.items() if c in have],
     )
-    return out.withColumns({c: F.slice(c, 1, n) for c, n in MOST.items() if c in docs.columns})
+    lists, maps = [c for c in MOST if c in have], [c for c in ("links", "sourceIds") if c in have]
+    base = F.col(key).alias("_key")
+    parts = []
+    for c in lists:
+        each = docs.select(base, "id", F.posexplode(c).alias("pos", "item")).groupBy("_key", "item").agg(F.min(F.struct("id", "pos")).alias("at"))
+        place = F.row_number().over(Window.partitionBy("_key").orderBy("at"))
+        parts.append(each.withColumn("place", place).where(F.col("place") <= MOST[c]).select("_key", F.lit(c).alias("of"), F.col("place").cast("string").alias("k"), F.col("item").alias("v"), "place"))
+    for c in maps:
+        each = docs.select(base, "id", F.explode(c).alias("k", "v")).groupBy("_key", "k").agg(F.max_by("v", "id").alias("v"))
+        parts.append(each.select("_key", F.lit(c).alias("of"), "k", "v", F.lit(0).alias("place")))
+    if not parts:
+        return out
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    row = lambda c: F.collect_list(F.when(F.col("of") == c, F.struct("place", "k", "v")))
+    gathered = every.groupBy("_key").agg(*[F.transform(F.array_sort(row(c)), lambda x: x["v"]).alias(c) for c in lists], *[F.map_from_entries(F.transform(F.array_sort(row(c)), lambda x: F.struct(x["k"], x["v"]))).alias(c) for c in maps])
+    none = {**{c: F.array().cast("array<string>") for c in lists}, **{c: F.create_map().cast("map<string,string>") for c in maps}}
+    joined = out.join(gathered, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    return joined.withColumns({c: F.coalesce(c, empty) for c, empty in none.items()})

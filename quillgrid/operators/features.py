@@ -87,15 +87,34 @@ def dense_projection(docs: DataFrame, dims: int, id: str = "id", text: str = "te
     return docs.select(F.col(id).alias("id"), F.inline(buckets(tx.normalize_text(F.col(text)))))
 
 
+def _expandable(term: str, least: int) -> Column:
+    """Whether a term may stand for what holds it, or what it is held by: a phrase, Hangul of two characters, or a long word."""
+    return F.contains(term, F.lit(" ")) | (F.col(term).rlike(tx.HANGUL) & (F.length(term) >= 2)) | (F.length(term) >= least)
+
+
+def _pieces(c: str) -> Column:
+    """All substrings of two to four characters, each once."""
+    of = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(F.col(c), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(of(2), of(3), of(4)))
+
+
 def expand_terms(terms: DataFrame, lexicon: DataFrame, term: str = "term") -> DataFrame:
     """term and expansion: itself, and the groups of lexicon keys that it is, holds or is held by.
 
-    lexicon: key, phrase (has a space), blocked, words (its group). It is small, so the
-    containment join broadcasts it; callers size it.
+    lexicon: key, words (its group) and blocked (neither a blocked key nor a term that is one holds or is held).
+    Containment is an equi join: whatever holds a text has its first characters, four at most, among its own
+    substrings of that length, and only such pairs are compared. So either side may be large. Null and empty terms are left out;
+    repeated terms and keys count once, a key's groups together.
     """
-    left = terms.select(F.col(term).alias("term")).distinct()
-    long_key = (F.length("key") >= 4) | F.col("key").rlike(tx.HANGUL + "{2}") | F.col("phrase")
-    long_term = (F.length("term") >= 10) | F.col("term").rlike(tx.HANGUL + "{2}") | F.contains("term", F.lit(" "))
-    fits = (F.col("key") == F.col("term")) | (F.contains("term", "key") & long_key & ~F.col("blocked")) | (F.contains("key", "term") & long_term & ~F.col("blocked"))
-    found = left.join(F.broadcast(lexicon), fits).select("term", F.explode("words").alias("expansion"))
+    left = terms.select(F.col(term).alias("term")).where(F.length("term") > 0).distinct()
+    keys = lexicon.where(F.length("key") > 0).groupBy("key").agg(F.max("blocked").alias("blocked"))
+    held = left.join(keys.where("blocked").select(F.col("key").alias("term")), "term", "left_anti").where(_expandable("term", 10))
+    holding = keys.where("not blocked").where(_expandable("key", 4)).select("key")
+    head = lambda c: F.substring(F.col(c), F.lit(1), F.least(F.length(c), F.lit(4)))
+    long = lambda df, c: df.where(F.length(c) >= 2)
+    wide = left.select("term", F.explode(_pieces("term")).alias("piece")).join(long(holding, "key").select("key", head("key").alias("piece")), "piece").where(F.contains("term", F.col("key")))
+    narrow = long(held, "term").select("term", head("term").alias("piece")).join(keys.select("key", F.explode(_pieces("key")).alias("piece")), "piece").where(F.contains("key", F.col("term")))
+    same = left.join(keys.select(F.col("key").alias("term"), "key"), "term")
+    pairs = wide.select("term", "key").unionByName(narrow.select("term", "key")).unionByName(same.select("term", "key")).distinct()
+    found = pairs.join(lexicon.select("key", F.explode("words").alias("expansion")), "key").select("term", "expansion")
     return found.unionByName(left.select("term", F.col("term").alias("expansion"))).distinct()

@@ -200,3 +200,36 @@ def result_edges(results: DataFrame) -> DataFrame:
     top = results.where("rank = 1").select(F.col("id").cast("string").alias("source_id"))
     rest = results.where("rank > 1").select(F.col("id").cast("string").alias("target_id"), F.col("score").alias("weight"))
     return rest.join(F.broadcast(top), F.lit(True)).select("source_id", "target_id", F.lit("similar").alias("edge_type"), "weight")
+
+
+#: Documents of either side of a heuristic neighbourhood, and the weights of their edges.
+NEIGHBOURS, SIDES = 8, {"references": 0.62, "citations": 0.58}
+
+
+def heuristic_neighbourhood(papers: DataFrame, docs: DataFrame, most: int = NEIGHBOURS) -> DataFrame:
+    """p_id, side, rank, id, weight: for each paper the most cited documents that share a word of title or keywords with it, of years up to its own (references) and from its own (citations).
+
+    Papers and documents never meet. Of each word and year the most + 1 most cited documents are kept, lists of them run
+    up and down the years of a word, and a paper reads the lists of its words at its own year: its best are among
+    their best, one more being kept as the paper may be among them. A paper without a year has references of all
+    years and citations of all; a document without one is of year 0; ties go to the smaller id; papers without words have none.
+    """
+    def worded(df: DataFrame, id: str) -> DataFrame:
+        words = tx.unique_tokens(F.concat_ws(" ", "title", F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " ")))
+        return df.select(F.col("id").alias(id), "year", "citations", words.alias("words")).select(id, "year", "citations", F.explode("words").alias("word"))
+
+    year, cited = F.coalesce("year", F.lit(0)), F.coalesce("citations", F.lit(0))
+    listed = worded(docs, "id").select("word", year.alias("y"), (-cited).alias("less"), "id")
+    place = F.row_number().over(Window.partitionBy("word", "y").orderBy("less", "id"))
+    best = listed.withColumn("place", place).where(F.col("place") <= most + 1).groupBy("word", "y").agg(F.collect_list(F.struct("less", "id")).alias("best"))
+    out = None
+    for side, none, order in (("references", 2**31 - 1, F.asc("y")), ("citations", 0, F.desc("y"))):
+        asked = worded(papers, "p_id").select("p_id", "word", F.coalesce("year", F.lit(none)).alias("y")).distinct()
+        rows = best.unionByName(asked.select("word", "y").distinct().join(best.select("word", "y"), ["word", "y"], "left_anti").withColumn("best", F.array().cast(best.schema["best"].dataType)))
+        along = Window.partitionBy("word").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        run = rows.select("word", "y", F.slice(F.array_sort(F.flatten(F.collect_list("best").over(along))), 1, most + 1).alias("run"))
+        found = asked.join(run, ["word", "y"]).select("p_id", F.inline("run")).where("p_id <> id").distinct()
+        rank = F.row_number().over(Window.partitionBy("p_id").orderBy("less", "id"))
+        found = found.withColumn("rank", rank).where(F.col("rank") <= most).select("p_id", F.lit(side).alias("side"), "rank", "id", F.lit(SIDES[side]).alias("weight"))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -57,6 +57,11 @@ def distinct_edges(spark, d):
     return graph.distinct_edges(o.select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("source_id"), F.col("o_orderpriority").alias("target_id"), F.col("o_orderstatus").alias("edge_type"), F.col("o_totalprice").alias("weight")))
 
 
+def citation_neighbourhood(spark, d):
+    docs = documents_view(spark, d)
+    return graph.heuristic_neighbourhood(docs, docs)
+
+
 def result_edges(spark, d):
     from quillgrid.plans.retrieval import bm25_topk
 
@@ -66,7 +71,7 @@ def result_edges(spark, d):
     return graph.result_edges(top.select("rank", F.col("doc_id").alias("id"), "score"))
 
 
-QUERIES = {f.__name__: f for f in (star_edges, author_edges, reference_edges, affinity_edges, topic_edges, edge_scan, neighbourhood, two_hop_paths, traversal, distinct_edges, result_edges)}
+QUERIES = {f.__name__: f for f in (star_edges, author_edges, reference_edges, affinity_edges, topic_edges, edge_scan, neighbourhood, two_hop_paths, traversal, distinct_edges, citation_neighbourhood, result_edges)}
 
 _STAR = """e as (select 'c:' || c_custkey as source_id, 'n:' || c_nationkey as target_id, 'similar' as edge_type, (c_custkey % 10 + 1) / 10.0 as weight from customer
  union all select 's:' || s_suppkey, 'n:' || s_nationkey, 'references', (s_suppkey % 10 + 1) / 10.0 from supplier union all select 'n:' || n_nationkey, 'r:' || n_regionkey, 'topic_bridge', (n_nationkey % 10 + 1) / 10.0 from nation)"""
@@ -92,6 +97,9 @@ _TOP = _best("topic_bridge", f"0.42 * {_overlap('a.keywords', 'b.keywords')} + 0
 _V = DOCUMENTS_VIEW_SQL
 
 ORACLES = {
+    "citation_neighbourhood": f"""with {_V}, dw as (select *, list_distinct({sql.tokens("concat_ws(' ', title, array_to_string(keywords, ' '))")}) as words from docs), m as (select a.id as p_id, b.id, a.year as p_year, b.year, b.citations from dw a join dw b on a.id <> b.id and list_has_any(a.words, b.words)),
+s as (select p_id, 'references' as side, id, citations, 0.62 as weight from m where year <= p_year union all select p_id, 'citations', id, citations, 0.58 from m where year >= p_year),
+r as (select *, cast(row_number() over (partition by p_id, side order by citations desc, id) as int) as rank from s) select p_id, side, rank, id, cast(weight as double) as weight from r where rank <= 8""",
     "star_edges": f"with {_STAR} select * from e",
     "author_edges": f"""with {_V}, a as (select id, organization, unnest(authors) as author from docs), t as (select cast(id as varchar) as d, 'author:' || {sql.norm('author')} || '::' || array_to_string(list_filter(string_split({sql.norm('organization')}, ' '), lambda t: length(t) >= 2)[1:3], ':') as a from a)
 select d as source_id, a as target_id, 'authored_by' as edge_type, 1.0 as weight from t union all select a, d, 'author_document', 1.0 from t""",

@@ -109,9 +109,27 @@ def similar_titles(spark, d):
 
 
 def canonical_merge(spark, d):
-    v = documents_view(spark, d).withColumn("title_key", tx.title_key(F.col("title")))
+    """Records of one title key. Links and ids of sources, and open access, follow from other columns by fixed rules."""
+    v = documents_view(spark, d).withColumns({
+        "title_key": tx.title_key(F.col("title")), "openAccess": F.col("citations") > 250, "links": F.create_map(F.col("region"), F.col("id").cast("string"), F.lit("detail"), F.col("source")),
+        "sourceIds": F.create_map(F.col("source"), F.col("id").cast("string")),
+    })
     out = dedupe.canonical_merge(v, "title_key")
-    return out.select("title_key", "id", "records", "source", F.array_join("sources", "|").alias("sources"), "citations", F.md5("abstract").alias("abstract_md5"), F.array_join("keywords", "|").alias("keywords"), F.array_join("methods", "|").alias("methods"))
+    entries = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"])), "|")
+    return out.select(
+        "title_key", "id", "records", "source", F.array_join("sources", "|").alias("sources"), "citations", F.md5("abstract").alias("abstract_md5"), F.array_join("keywords", "|").alias("keywords"), F.array_join("methods", "|").alias("methods"),
+        F.col("openAccess").alias("open_access"), "organization", entries("links").alias("links"), entries("sourceIds").alias("source_ids"),
+    )
+
+
+def lexicon_expansion(spark, d):
+    """Expansions of every word of documents and benchmark by a lexicon of the documents' keywords, grouped by their first six letters; groups of over 12 are too general to be held or to hold."""
+    words = documents_view(spark, d).select(F.explode("keywords").alias("key")).distinct()
+    groups = words.groupBy(F.substring("key", 1, 6).alias("of")).agg(F.sort_array(F.collect_list("key")).alias("words"))
+    lexicon = groups.select(F.explode("words").alias("key"), "words", (F.size("words") > 12).alias("blocked"))
+    texts = table(spark, d, "documents").select("text").unionByName(table(spark, d, "benchmark").select("text"))
+    out = features.expand_terms(texts.select(F.explode(tx.unique_tokens(F.col("text"))).alias("term")), lexicon)
+    return out.groupBy("term").agg(F.count("*").alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("expansion")), "|")).alias("expansions_md5"))
 
 
 def leader_clusters(spark, d):
@@ -240,7 +258,7 @@ def input_confidence(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        document_index, passage_index, index_refresh, bm25_topk, sparse_overlap, cosine_topk, knn_edges, min_distance_per_doc, vector_fit, vector_mean, similar_titles, canonical_merge, leader_clusters, hybrid_score, search_relevance, search_latest, search_citation,
+        document_index, passage_index, index_refresh, lexicon_expansion, bm25_topk, sparse_overlap, cosine_topk, knn_edges, min_distance_per_doc, vector_fit, vector_mean, similar_titles, canonical_merge, leader_clusters, hybrid_score, search_relevance, search_latest, search_citation,
         evidence_flags, filter_and_prefer, profile_boost, rerank_heuristic, rerank_service, supplemented_results, recommend_heuristic, recommend_full, recommend_feed, similarity_report, section_compare, input_confidence,
     )
 }
@@ -401,8 +419,16 @@ m as (select id, cast(floor(p * 16 / k) as int) as position, avg(x / s) as x fro
     "similar_titles": f"""with {_V}, w as (select id, list_distinct({sql.tokens('title')}) as w from docs), x as (select id, len(w) as n, unnest(w) as term from w), s as (select a.id as a, b.id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from x a join x b on a.term = b.term and a.id < b.id group by a.id, b.id)
 select a, b, round(c / (na + nb - c), 6) as jaccard from s where c / (na + nb - c) >= {dedupe.JACCARD}""",
     "canonical_merge": f"""with {_V}, k as (select *, regexp_replace(regexp_replace({sql.norm('title')}, '{tx.VENUE_WORDS}', ' ', 'g'), '\\s+', '', 'g') as title_key from docs),
-m as (select title_key, min(id) as id, count(*) as records, arg_min(source, id) as source, array_to_string(list_sort(list(distinct source)), '|') as sources, max(citations) as citations, md5(first(abstract order by length(abstract) desc, id)) as abstract_md5, flatten(list(keywords order by id)) as ks, flatten(list(methods order by id)) as ms from k group by title_key)
-select title_key, id, records, source, sources, citations, abstract_md5, coalesce(array_to_string({sql.unique('ks')}[1:12], '|'), '') as keywords, coalesce(array_to_string({sql.unique('ms')}[1:10], '|'), '') as methods from m""",
+l as (select title_key, k, arg_max(v, id) as v from (select title_key, id, region as k, id::varchar as v from k union all select title_key, id, 'detail', source from k) group by all), lm as (select title_key, string_agg(k || '=' || v, '|' order by k) as links from l group by all),
+i as (select title_key, source as k, max(id)::varchar as v from k group by all), im as (select title_key, string_agg(k || '=' || v, '|' order by k) as source_ids from i group by all),
+m as (select title_key, min(id) as id, count(*) as records, arg_min(source, id) as source, array_to_string(list_sort(list(distinct source)), '|') as sources, max(citations) as citations, md5(first(abstract order by length(abstract) desc, id)) as abstract_md5, flatten(list(keywords order by id)) as ks, flatten(list(methods order by id)) as ms,
+ bool_or(citations > 250) as open_access, arg_min(organization, id) as organization from k group by title_key)
+select title_key, id, records, source, sources, citations, abstract_md5, coalesce(array_to_string({sql.unique('ks')}[1:12], '|'), '') as keywords, coalesce(array_to_string({sql.unique('ms')}[1:10], '|'), '') as methods, open_access, organization, links, source_ids from m join lm using (title_key) join im using (title_key)""",
+    "lexicon_expansion": f"""with {_V}, kw as (select distinct unnest(keywords) as key from docs), gr as (select key[1:6] as of, list(key order by key) as words from kw group by 1), lx as (select unnest(words) as key, words, len(words) > 12 as blocked from gr),
+te as (select distinct unnest({sql.tokens('text')}) as term from (select text from documents union all select text from benchmark)), tb as (select term, lx.key is not null and lx.blocked as blocked from te left join lx on lx.key = term),
+pa as (select term, words from tb join lx on key = term or (contains(term, key) and not lx.blocked and (contains(key, ' ') or (regexp_matches(key, '[가-힣]') and length(key) >= 2) or length(key) >= 4))
+ or (contains(key, term) and not tb.blocked and (contains(term, ' ') or (regexp_matches(term, '[가-힣]') and length(term) >= 2) or length(term) >= 10))),
+ex as (select term, unnest(words) as expansion from pa union select term, term from te) select term, count(*) as n, md5(string_agg(expansion, '|' order by expansion)) as expansions_md5 from ex group by term""",
     "hybrid_score": f"with {_scored_sql(SEARCH, True)} select id, {', '.join(f'round({p}, 4) as {p}' for p in scoring.PARTS)} from sc",
     "search_relevance": _search_sql("round(match, 2) desc, round(total, 6) desc, year desc"),
     "search_latest": _search_sql("year desc, round(total, 6) desc"),

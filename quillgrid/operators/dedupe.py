@@ -121,21 +121,22 @@ def leaders(docs: DataFrame) -> DataFrame:
     return single.unionByName(marked.where("not alone").groupBy("cluster").applyInPandas(scan, "id long, leader long"))
 
 
-def canonical_merge(docs: DataFrame, key: str) -> DataFrame:
-    """One record for each key: sources united; lists united and cut to MOST, in order of first occurrence; maps (links, sourceIds) united, the last record by id winning an entry;
-    most citations; open access if any is; the longest abstract and summary (the first of equals); the first organization and English title that aren't empty; all else from the first record by id.
+def canonical_merge(docs: DataFrame, key: str, order: tuple[str, ...] = ("id",)) -> DataFrame:
+    """One record for each key: sources united; lists united and cut to MOST, in order of first occurrence; maps (links, sourceIds) united, the last record winning an entry;
+    most citations; open access if any is; the longest abstract and summary (the first of equals); the first organization and English title that aren't empty; all else from the first record. order says which is first: id, or (ord, id) of stored.ordered_union().
 
     Items and entries are aggregated one by one, so the records of a key are never together in a list, and only what
     is kept of it is gathered: at most MOST items, and the distinct entries of a map. Null lists and maps are empty;
     records without a key are one record. Raw records stay rows of their own (store.replace_by_key).
     """
     have = docs.columns
-    first = lambda c: F.min_by(c, "id")
-    filled = lambda c: F.min_by(F.col(c), F.when(F.length(c) > 0, F.col("id")))
-    longest = lambda c: F.max_by(c, F.struct(F.length(c), -F.col("id")))
+    at = F.struct(*order)
+    first = lambda c: F.min_by(c, at)
+    filled = lambda c: F.min_by(F.col(c), F.when(F.length(c) > 0, at))
+    longest = lambda c: F.min_by(c, F.struct((-F.coalesce(F.length(c), F.lit(-1))).alias("short"), *order))
     some = {"openAccess": F.max, "organization": filled, "englishTitle": filled, "summary": longest}
     out = docs.groupBy(key).agg(
-        F.min("id").alias("id"),
+        first("id").alias("id"),
         F.count("*").alias("records"),
         first("title").alias("title"),
         first("source").alias("source"),
@@ -148,11 +149,11 @@ def canonical_merge(docs: DataFrame, key: str) -> DataFrame:
     base = F.col(key).alias("_key")
     parts = []
     for c in lists:
-        each = docs.select(base, "id", F.posexplode(c).alias("pos", "item")).groupBy("_key", "item").agg(F.min(F.struct("id", "pos")).alias("at"))
+        each = docs.select(base, *order, F.posexplode(c).alias("pos", "item")).groupBy("_key", "item").agg(F.min(F.struct(*order, "pos")).alias("at"))
         place = F.row_number().over(Window.partitionBy("_key").orderBy("at"))
         parts.append(each.withColumn("place", place).where(F.col("place") <= MOST[c]).select("_key", F.lit(c).alias("of"), F.col("place").cast("string").alias("k"), F.col("item").alias("v"), "place"))
     for c in maps:
-        each = docs.select(base, "id", F.explode(c).alias("k", "v")).groupBy("_key", "k").agg(F.max_by("v", "id").alias("v"))
+        each = docs.select(base, *order, F.explode(c).alias("k", "v")).groupBy("_key", "k").agg(F.max_by("v", at).alias("v"))
         parts.append(each.select("_key", F.lit(c).alias("of"), "k", "v", F.lit(0).alias("place")))
     if not parts:
         return out

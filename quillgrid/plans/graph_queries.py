@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillgrid.operators import graph
+from quillgrid.functions import text as tx
+from quillgrid.operators import dedupe, detail, graph, stored
+from quillgrid.operators.document_index import shared_path
 from quillgrid.plans import sql
 from quillgrid.schema import DOCUMENTS_VIEW_SQL, documents_view, table
 
@@ -62,16 +67,61 @@ def citation_neighbourhood(spark, d):
     return graph.heuristic_neighbourhood(docs, docs)
 
 
+def detail_pages(spark, d):
+    """Pages of all documents. Stored references lead from each labelled document to the next of its quality; documents without such get heuristic ones."""
+    docs = documents_view(spark, d)
+    marks = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    later = F.lead("doc_id").over(Window.partitionBy("quality").orderBy("doc_id"))
+    stored = marks.select(F.col("doc_id").alias("source_id"), later.alias("target_id"), F.lit("references").alias("edge_type"), F.lit(0.9).alias("weight")).where("target_id is not null")
+    out = detail.pages(docs, detail.lists_of(stored, graph.heuristic_neighbourhood(docs, docs)))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return out.select("id", text("references"), text("citations"), "references_stored", "citations_stored", text("related"), "impact", "fresh")
+
+
+def stored_facts(spark, d):
+    """The star's edges, appended as they are and those of suppliers once more, less the light ones of similar kind and all of topics; then the kinds of events by day, less those of errors."""
+    edges = star_edges(spark, d)
+    facts = stored.Facts(spark, shared_path(spark, f"edges-{uuid.uuid4().hex}"), edges.schema, "edge_type")
+    facts.append(edges)
+    facts.append(edges.where("edge_type = 'references'"))
+    facts.delete((F.col("edge_type") == "similar") & (F.col("weight") < 0.3))
+    facts.delete(F.col("edge_type") == "topic_bridge")
+    day = table(spark, d, "events").select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    logs = stored.Facts(spark, shared_path(spark, f"logs-{uuid.uuid4().hex}"), day.schema, "day")
+    logs.append(day)
+    logs.delete(F.col("event_type") == "error")
+    both = facts.rows().select(F.lit("edge").alias("fact"), "source_id", "target_id", F.col("edge_type").alias("kind"), "weight")
+    return both.unionByName(logs.rows().select(F.lit("log").alias("fact"), F.col("event_id").cast("string").alias("source_id"), "day", F.col("event_type").alias("kind")).select("fact", "source_id", F.col("day").alias("target_id"), "kind", F.lit(None).cast("double").alias("weight")))
+
+
+def stored_documents(spark, d):
+    """The documents as stored JSON rows: all of them scanned, those that labels call toxic looked up."""
+    view = documents_view(spark, d)
+    rows = stored.JsonRows(spark, shared_path(spark, f"rows-{uuid.uuid4().hex}"), view.schema)
+    rows.replace(view)
+    marked = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    cut = lambda df, how: df.select(F.lit(how).alias("how"), "id", F.md5("title").alias("title_md5"), F.md5("abstract").alias("abstract_md5"), F.array_join("keywords", "|").alias("keywords"), "year", "citations")
+    return cut(rows.scan(), "scan").unionByName(cut(rows.lookups(marked), "lookup"))
+
+
+def ordered_merge(spark, d):
+    """Good labelled documents as a catalogue, all documents as the stored ones, benchmark texts as live ones, merged by title in that order."""
+    view = documents_view(spark, d)
+    good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    live = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("id"), F.lit("live").alias("source"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("abstract"), F.lit(1_000).alias("citations"))
+    every = stored.ordered_union([view.join(good, "id", "left_semi"), view, live]).withColumn("title_key", tx.title_key(F.col("title")))
+    out = dedupe.canonical_merge(every.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("keywords", "methods")}), "title_key", ("ord", "id"))
+    return out.select("title_key", "id", "records", "source", F.array_join("sources", "|").alias("sources"), "citations", F.md5("abstract").alias("abstract_md5"), F.array_join("keywords", "|").alias("keywords"), "organization")
+
+
 def result_edges(spark, d):
     from quillgrid.plans.retrieval import bm25_topk
 
-    from pyspark.sql import Window
-
     top = bm25_topk(spark, d).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
     return graph.result_edges(top.select("rank", F.col("doc_id").alias("id"), "score"))
 
 
-QUERIES = {f.__name__: f for f in (star_edges, author_edges, reference_edges, affinity_edges, topic_edges, edge_scan, neighbourhood, two_hop_paths, traversal, distinct_edges, citation_neighbourhood, result_edges)}
+QUERIES = {f.__name__: f for f in (star_edges, author_edges, reference_edges, affinity_edges, topic_edges, edge_scan, neighbourhood, two_hop_paths, traversal, distinct_edges, citation_neighbourhood, detail_pages, stored_facts, stored_documents, ordered_merge, result_edges)}
 
 _STAR = """e as (select 'c:' || c_custkey as source_id, 'n:' || c_nationkey as target_id, 'similar' as edge_type, (c_custkey % 10 + 1) / 10.0 as weight from customer
  union all select 's:' || s_suppkey, 'n:' || s_nationkey, 'references', (s_suppkey % 10 + 1) / 10.0 from supplier union all select 'n:' || n_nationkey, 'r:' || n_regionkey, 'topic_bridge', (n_nationkey % 10 + 1) / 10.0 from nation)"""
@@ -95,11 +145,28 @@ _REF = _best("references", f"0.55 * {_overlap('a.keywords', 'b.keywords')} + lea
 _AFF = _best("author_affinity", f"0.55 * case when a.organization = b.organization then len(list_intersect(a.authors, b.authors)) else 0 end + case when a.organization = b.organization then 0.18 else 0 end + 0.17 * {_overlap('a.keywords', 'b.keywords')}")
 _TOP = _best("topic_bridge", f"0.42 * {_overlap('a.keywords', 'b.keywords')} + 0.3 * {_overlap('a.words', 'b.words')} + case when a.region = b.region then 0.06 else 0 end").replace("join docs ", "join dw ")
 _V = DOCUMENTS_VIEW_SQL
+_NEAR = f"""dw as (select *, list_distinct({sql.tokens("concat_ws(' ', title, array_to_string(keywords, ' '))")}) as words from docs), m as (select a.id as p_id, b.id, a.year as p_year, b.year, b.citations from dw a join dw b on a.id <> b.id and list_has_any(a.words, b.words)),
+s as (select p_id, 'references' as side, id, citations, 0.62 as weight from m where year <= p_year union all select p_id, 'citations', id, citations, 0.58 from m where year >= p_year),
+r as (select *, cast(row_number() over (partition by p_id, side order by citations desc, id) as int) as rank from s)"""
 
 ORACLES = {
-    "citation_neighbourhood": f"""with {_V}, dw as (select *, list_distinct({sql.tokens("concat_ws(' ', title, array_to_string(keywords, ' '))")}) as words from docs), m as (select a.id as p_id, b.id, a.year as p_year, b.year, b.citations from dw a join dw b on a.id <> b.id and list_has_any(a.words, b.words)),
-s as (select p_id, 'references' as side, id, citations, 0.62 as weight from m where year <= p_year union all select p_id, 'citations', id, citations, 0.58 from m where year >= p_year),
-r as (select *, cast(row_number() over (partition by p_id, side order by citations desc, id) as int) as rank from s) select p_id, side, rank, id, cast(weight as double) as weight from r where rank <= 8""",
+    "citation_neighbourhood": f"with {_V}, {_NEAR} select p_id, side, rank, id, cast(weight as double) as weight from r where rank <= 8",
+    "detail_pages": f"""with {_V}, {_NEAR}, lm as (select doc_id, max(quality) as quality from labels group by doc_id), le as (select doc_id as p_id, lead(doc_id) over (partition by quality order by doc_id) as id from lm),
+ls as (select p_id, 'references' as side, 1 as rank, id, true as kept from le where id is not null union all select p_id, side, rank, id, false from r where rank <= 8 and not (side = 'references' and p_id in (select p_id from le where id is not null))),
+pg as (select p_id as id, coalesce(list(id order by rank) filter (where side = 'references'), []) as refs, coalesce(list(id order by rank) filter (where side = 'citations'), []) as cits, coalesce(bool_or(kept) filter (where side = 'references'), false) as rs from ls group by p_id),
+al as (select docs.id, citations, year, coalesce(refs, []) as refs, coalesce(cits, []) as cits, coalesce(rs, false) as rs from docs left join pg using (id)), rl as (select *, list_concat(cits, refs) as b from al)
+select id, array_to_string(refs, ',') as references, array_to_string(cits, ',') as citations, rs as references_stored, false as citations_stored, array_to_string(({sql.unique('b')})[1:4], ',') as related,
+ cast(least(99, floor(citations * 0.35 + (len(refs) + len(cits)) * 4 + case when year >= 2024 then 10 else 0 end + 0.5)) as int) as impact, year >= 2024 as fresh from rl""",
+    "stored_facts": f"""with {_STAR}, f as (select * from e union all select * from e where edge_type = 'references')
+select 'edge' as fact, source_id, target_id, edge_type as kind, cast(weight as double) as weight from f where edge_type <> 'topic_bridge' and not (edge_type = 'similar' and weight < 0.3)
+union all select 'log', cast(event_id as varchar), strftime(ts, '%Y-%m-%d'), event_type, null from events where event_type <> 'error'""",
+    "stored_documents": f"""with {_V}, s as (select id, md5(title) as title_md5, md5(abstract) as abstract_md5, array_to_string(keywords, '|') as keywords, year, citations from docs)
+select 'scan' as how, * from s union all select 'lookup', * from s where id in (select doc_id from labels where toxic = 1)""",
+    "ordered_merge": f"""with {_V}, u as (select 0 as ord, id, source, title, abstract, citations, keywords, organization from docs where id in (select doc_id from labels where quality = 1) union all select 1, id, source, title, abstract, citations, keywords, organization from docs
+ union all select 2, item_id, 'live', split_part(text, chr(10), 1), text, 1000, [], null from benchmark), k as (select *, regexp_replace(regexp_replace({sql.norm('title')}, '{tx.VENUE_WORDS}', ' ', 'g'), '\\s+', '', 'g') as title_key from u),
+m as (select title_key, first(id order by ord, id) as id, count(*) as records, first(source order by ord, id) as source, array_to_string(list_sort(list(distinct source)), '|') as sources, max(citations) as citations, md5(first(abstract order by length(abstract) desc, ord, id)) as abstract_md5,
+ flatten(list(keywords order by ord, id)) as ks, first(organization order by ord, id) filter (where organization <> '') as organization from k group by title_key)
+select title_key, id, records, source, sources, citations, abstract_md5, coalesce(array_to_string({sql.unique('ks')}[1:12], '|'), '') as keywords, organization from m""",
     "star_edges": f"with {_STAR} select * from e",
     "author_edges": f"""with {_V}, a as (select id, organization, unnest(authors) as author from docs), t as (select cast(id as varchar) as d, 'author:' || {sql.norm('author')} || '::' || array_to_string(list_filter(string_split({sql.norm('organization')}, ' '), lambda t: length(t) >= 2)[1:3], ':') as a from a)
 select d as source_id, a as target_id, 'authored_by' as edge_type, 1.0 as weight from t union all select a, d, 'author_document', 1.0 from t""",

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import text as tx
 from quillgrid.functions import vectors as vx
+from quillgrid.operators import vector_search
 
 #: Thresholds and most edges a document, by kind.
 LEAST = {"references": 0.18, "author_affinity": 0.2, "similar": 0.33, "topic_bridge": 0.22}
 #: Kinds whose weight must exceed the threshold; others may equal it.
 ABOVE = ("references", "author_affinity")
+#: Shares of the cosine and of shared keywords in a similar edge's weight.
+SIMILAR = (0.72, 0.28)
 MOST = {"references": 8, "author_affinity": 4, "similar": 4, "topic_bridge": 4}
 
 
@@ -149,6 +152,11 @@ def similar_edges(neighbours: DataFrame) -> DataFrame:
     return best.select(F.col("source_id").cast("string").alias("source_id"), F.col("target_id").cast("string").alias("target_id"), F.lit("similar").alias("edge_type"), F.round("score", 4).alias("weight"))
 
 
+def similar(docs: DataFrame) -> DataFrame:
+    """Edges to the documents (id, vector, keywords) closest by vector and shared keywords, of all. A document without a vector has none."""
+    return similar_edges(vector_search.nearest(docs, docs, MOST["similar"], LEAST["similar"], keys="keywords", weights=SIMILAR))
+
+
 def distinct_edges(edges: DataFrame) -> DataFrame:
     """One edge for each source, target and type: the heaviest."""
     return edges.groupBy("source_id", "target_id", "edge_type").agg(F.max("weight").alias("weight"))

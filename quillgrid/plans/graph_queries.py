@@ -11,6 +11,7 @@ from quillgrid.functions import text as tx
 from quillgrid.operators import dedupe, detail, graph, stored
 from quillgrid.operators.document_index import shared_path
 from quillgrid.plans import sql
+from quillgrid.plans.retrieval import _BM_SPARSE, _BUNDLE
 from quillgrid.schema import DOCUMENTS_VIEW_SQL, documents_view, table
 
 
@@ -24,6 +25,14 @@ def star_edges(spark, d):
     return out.unionByName(edge(n, "n:", "r:", F.col("n_nationkey"), F.col("n_regionkey"), "topic_bridge", part(F.col("n_nationkey"))))
 
 
+def similar_edges(spark, d):
+    """Edges by the stored vectors of all documents and their keywords."""
+    from quillgrid.plans.retrieval import indexed
+
+    vectors = indexed(spark, d).documents().select("id", "vector")
+    return graph.similar(documents_view(spark, d).select("id", "keywords").join(vectors, "id"))
+
+
 def author_edges(spark, d):
     return graph.author_edges(documents_view(spark, d))
 
@@ -121,7 +130,7 @@ def result_edges(spark, d):
     return graph.result_edges(top.select("rank", F.col("doc_id").alias("id"), "score"))
 
 
-QUERIES = {f.__name__: f for f in (star_edges, author_edges, reference_edges, affinity_edges, topic_edges, edge_scan, neighbourhood, two_hop_paths, traversal, distinct_edges, citation_neighbourhood, detail_pages, stored_facts, stored_documents, ordered_merge, result_edges)}
+QUERIES = {f.__name__: f for f in (star_edges, similar_edges, author_edges, reference_edges, affinity_edges, topic_edges, edge_scan, neighbourhood, two_hop_paths, traversal, distinct_edges, citation_neighbourhood, detail_pages, stored_facts, stored_documents, ordered_merge, result_edges)}
 
 _STAR = """e as (select 'c:' || c_custkey as source_id, 'n:' || c_nationkey as target_id, 'similar' as edge_type, (c_custkey % 10 + 1) / 10.0 as weight from customer
  union all select 's:' || s_suppkey, 'n:' || s_nationkey, 'references', (s_suppkey % 10 + 1) / 10.0 from supplier union all select 'n:' || n_nationkey, 'r:' || n_regionkey, 'topic_bridge', (n_nationkey % 10 + 1) / 10.0 from nation)"""
@@ -149,6 +158,16 @@ _NEAR = f"""dw as (select *, list_distinct({sql.tokens("concat_ws(' ', title, ar
 s as (select p_id, 'references' as side, id, citations, 0.62 as weight from m where year <= p_year union all select p_id, 'citations', id, citations, 0.58 from m where year >= p_year),
 r as (select *, cast(row_number() over (partition by p_id, side order by citations desc, id) as int) as rank from s)"""
 
+
+
+def _traversal(most: int) -> str:
+    """Common tables up to tv: paths from n:7 over the star's edges."""
+    return f"""v as (select * from e union all select target_id, source_id, edge_type, weight from e), f0 as (select target_id, max(weight) as weight from v where source_id = 'n:7' and target_id <> 'n:7' group by all),
+f as (select *, row_number() over (order by weight desc, target_id) as r from f0), s as (select p.target_id as via, p.weight as w1, v.target_id, v.weight, row_number() over (partition by p.target_id, v.edge_type order by v.weight desc, v.target_id) as r from v join f p on p.r <= {min(most, 4)} and v.source_id = p.target_id where v.target_id not in ('n:7', p.target_id)),
+u as (select '' as via, target_id as target, round(weight, 4) as weight, 1 as hops from f where r <= {most} union all select via, target_id, round(max(0.55 * w1 + 0.45 * weight), 4), 2 from s where r <= 4 group by all),
+tv as (select * from u order by weight desc, hops, via, target limit {most})"""
+
+
 ORACLES = {
     "citation_neighbourhood": f"with {_V}, {_NEAR} select p_id, side, rank, id, cast(weight as double) as weight from r where rank <= 8",
     "detail_pages": f"""with {_V}, {_NEAR}, lm as (select doc_id, max(quality) as quality from labels group by doc_id), le as (select doc_id as p_id, lead(doc_id) over (partition by quality order by doc_id) as id from lm),
@@ -178,17 +197,22 @@ select d as source_id, a as target_id, 'authored_by' as edge_type, 1.0 as weight
 r as (select *, row_number() over (partition by direction, edge_type order by weight desc, neighbour) as r from b) select direction, neighbour, edge_type, weight from r where r <= 4""",
     "two_hop_paths": f"""with {_STAR} select a.source_id as start, a.target_id as via, b.target_id as target, a.edge_type as first, b.edge_type as second, round(max(a.weight * b.weight), 4) as weight
 from e a join e b on a.target_id = b.source_id where b.target_id <> a.source_id group by all""",
-    "traversal": f"""with {_STAR}, v as (select * from e union all select target_id, source_id, edge_type, weight from e), f0 as (select target_id, max(weight) as weight from v where source_id = 'n:7' and target_id <> 'n:7' group by all),
-f as (select *, row_number() over (order by weight desc, target_id) as r from f0), s as (select p.target_id as via, p.weight as w1, v.target_id, v.weight, row_number() over (partition by p.target_id, v.edge_type order by v.weight desc, v.target_id) as r from v join f p on p.r <= 4 and v.source_id = p.target_id where v.target_id not in ('n:7', p.target_id)),
-u as (select '' as via, target_id as target, round(weight, 4) as weight, 1 as hops from f where r <= 12 union all select via, target_id, round(max(0.55 * w1 + 0.45 * weight), 4), 2 from s where r <= 4 group by all)
-select via, target, weight, cast(hops as int) as hops from u order by weight desc, hops, via, target limit 12""",
+    "traversal": f"with {_STAR}, {_traversal(12)} select via, target, weight, cast(hops as int) as hops from tv",
+    "similar_edges": f"""with {_V}, {_BUNDLE}, {sql.dense('b', 'bu', 1024)}, bl as (select id, list(value order by bucket) as x, list(bucket order by bucket) as places, sqrt(sum(value * value)) as z from bv group by id),
+dv as (select id, list_transform(range(1024), lambda i: coalesce(x[nullif(list_position(places, i), 0)], 0.0)) as v, z from bl), kd as (select docs.id, keywords, v, z from docs left join dv using (id)),
+w as (select a.id as x, b.id as y, round(0.72 * coalesce(list_inner_product(a.v, b.v) / (a.z * b.z), 0.0) + 0.28 * {_overlap('a.keywords', 'b.keywords')}, 6) as s from kd a join kd b on a.id <> b.id),
+r as (select *, row_number() over (partition by x order by s desc, y) as r from w where s >= 0.33) select cast(x as varchar) as source_id, cast(y as varchar) as target_id, 'similar' as edge_type, round(s, 4) as weight from r where r <= 4""",
+    "result_edges": f"""with {_V}, {_BUNDLE}, {sql.sparse20('b', 'bu')}, {_BM_SPARSE}, tp as (select id, round(bm25, 6) as score, row_number() over (order by round(bm25, 6) desc, id) as r from bm)
+select (select cast(id as varchar) from tp where r = 1) as source_id, cast(id as varchar) as target_id, 'similar' as edge_type, score as weight from tp where r between 2 and 20""",
+    "section_health": f"""with {_STAR}, {_traversal(8)}, b as (select edge_type as section, least(count(*), 8) as entries from e where source_id = 'n:7' group by all union all select 'paths', count(*) from tv where hops = 2),
+sc as (select * from (values ('references', 4), ('cited_by', 4), ('similar', 3), ('author_affinity', 2), ('topic_bridge', 2), ('paths', 4)) t(section, total)),
+g as (select section, coalesce(entries, 0) as entries, total, round(least(1.0, coalesce(entries, 0) / total), 4) as ratio, case when least(1.0, coalesce(entries, 0) / total) >= 0.75 then 'healthy' when coalesce(entries, 0) > 0 then 'degraded' else 'unavailable' end as status from sc left join b using (section))
+select section, entries::bigint as entries, total::int as total, ratio, status from g union all select 'all', sum(entries)::bigint, sum(total)::int, round(avg(ratio), 4), case when bool_and(status = 'healthy') then 'healthy' else 'degraded' end from g""",
     "distinct_edges": "select 'c:' || o_custkey as source_id, o_orderpriority as target_id, o_orderstatus as edge_type, max(o_totalprice) as weight from orders group by all",
 }
 
 
 def section_health(spark, d):
-    from quillgrid.operators import detail
-
     return detail.section_health(star_edges(spark, d), "n:7")
 
 

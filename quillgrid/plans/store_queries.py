@@ -207,6 +207,7 @@ _LOOK = "l as (select lower(trim(' Query ' || cast(trunc(user_id / 10) as int)))
 _JUDGED = "q as (select labels.doc_id, lang, source, case when quality = 0 then 'no_result' when toxic = 1 then 'suspect' else 'relevant' end as verdict from labels join documents using (doc_id))"
 _SUMS = "count(*) as cases, count(*) filter (where verdict = 'relevant') as relevant, count(*) filter (where verdict = 'suspect') as suspect, count(*) filter (where verdict = 'no_result') as no_result"
 ORACLES = {
+    "index_fingerprint": "select count(*) as n, sum(('0x' || substr(md5(o_orderkey || ':' || cast(o_orderdate as varchar)), 1, 15))::bigint::hugeint)::decimal(38, 0) as digest from orders",
     "upsert_latest": "select o_custkey, o_orderkey, o_orderstatus, o_totalprice, v as version from (select *, cast(epoch(o_orderdate) as bigint) * 100000000 + o_orderkey as v from orders) qualify row_number() over (partition by o_custkey order by v desc) = 1",
     "replace_by_key": "with r as (select l_orderkey, l_linenumber, l_returnflag from lineitem where l_returnflag = 'R') select l_orderkey, l_linenumber, l_returnflag from lineitem where l_returnflag = 'N' and l_orderkey not in (select l_orderkey from r) union all select * from r",
     "coalesce_upsert": """with s as (select o_custkey as k, count(*) as n, round(sum(o_totalprice), 2) as t from orders group by all), n as (select k, case when n > 10 then 'LARGE' end as seg, case when n > 8 then t end as bal from s)

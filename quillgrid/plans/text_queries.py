@@ -194,6 +194,7 @@ def _title_key(e: str) -> str:
 
 _V = f"with {DOCUMENTS_VIEW_SQL}"
 ORACLES = {
+    "passage_split": f"with {DOCUMENTS_VIEW_SQL}, px as (select id, 0 as n, '' as label, abstract as raw from docs), {sql.passages('ps', 'px', 360)} select id, ord, passage from ps",
     "normalize_text": f"select doc_id, md5({sql.norm('text')}) as norm_md5, cast(length({sql.norm('text')}) as int) as norm_length from documents",
     "tokenize_counts": f"select doc_id, cast(len(t) as int) as n_tokens, cast(len(list_distinct(t)) as int) as n_unique from (select doc_id, {sql.tokens('text')} as t from documents)",
     "document_frequency": f"with {_TERMS} select term, count(*) as df, cast(sum(n) as bigint) as cf from tf group by term",

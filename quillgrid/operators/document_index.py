@@ -79,6 +79,18 @@ def micro(v: np.ndarray) -> np.ndarray:
     return np.rint(v * MICRO).astype(np.int32)
 
 
+#: Sources of student research, those of them whose titles may announce guidance only, how such titles begin, and keywords of a document of theirs.
+STUDENTS, GUIDED, GUIDANCE, BAG = ("science_fair", "student_invention_fair", "hanwha_science_challenge", "rne_report"), ("science_fair", "student_invention_fair"), r"^\(지도논문\)", 8
+
+
+def sanitized(docs: DataFrame) -> DataFrame:
+    """docs as they go into an index: without guidance of student fairs, and with the keywords of student research made from title, summary, organization and highlights."""
+    have = docs.columns
+    kept = docs.where(~(F.coalesce("source", F.lit("")).isin(*GUIDED) & F.coalesce(tx.strip_tags(F.col("title")).rlike(GUIDANCE), F.lit(False))))
+    said = [F.array_join("highlights", " ") if n == "highlights" else F.nullif(F.col(n), F.lit("")) for n in ("title", "summary", "organization", "highlights") if n in have]
+    return kept.withColumn("keywords", F.when(F.coalesce("source", F.lit("")).isin(*STUDENTS), tx.keyword_bag(F.concat_ws(" ", *said), BAG)).otherwise(F.col("keywords")))
+
+
 def _fields(docs: DataFrame) -> dict[str, str]:
     """Names of the text fields that docs has, and whether each is a list."""
     return {n: kind for n, kind in docs.dtypes if n in {*BUNDLE, *PASSAGES}}

@@ -43,3 +43,33 @@ def round_robin(pool: DataFrame, by: str, id: str) -> DataFrame:
     """pool with turn: the first of each group, then the second, and so on."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(id))
     return pool.withColumn("place", place)
+
+
+def case_plan(fixed: DataFrame, topics: DataFrame, runs: int) -> DataFrame:
+    """case_id, query, kind: the fixed cases (case_id, query) and as many of the distinct topics (query) as make up runs, those of the smallest MD5: the same on every run."""
+    left = runs - fixed.count()
+    own = fixed.select("case_id", "query", F.lit("fixed").alias("kind"))
+    if left <= 0:
+        return own
+    drawn = topics.select(F.trim("query").alias("query")).where(F.length("query") > 0).distinct().orderBy(F.md5("query"), "query").limit(left)
+    number = F.row_number().over(Window.orderBy(F.md5("query"), "query"))  # of at most runs rows
+    return own.unionByName(drawn.select(F.concat(F.lit("random-"), number.cast("string")).alias("case_id"), "query", F.lit("random").alias("kind")))
+
+
+def scenarios(cases: DataFrame, results: DataFrame, most: int) -> DataFrame:
+    """case_id, total, matched_rank, reason of cases (case_id, id, source, type, fragments; null: any) over results (case_id, rank, id, source, type, title): the first of the best most results that has the
+    id, source and type asked for and any of the fragments in its title."""
+    mine = cases.select("case_id", *[F.col(c).alias(f"c_{c}") for c in ("id", "source", "type")], F.filter("fragments", lambda f: F.length(f) > 0).alias("fragments"))
+    title = tx.normalize_text(F.col("title"))
+    same = lambda c: F.col(f"c_{c}").isNull() | F.coalesce(F.col(c) == F.col(f"c_{c}"), F.lit(False))
+    some = F.coalesce(F.size("fragments") <= 0, F.lit(True)) | F.exists("fragments", lambda f: F.contains(title, tx.normalize_text(f)))
+    meets = same("id") & same("source") & same("type") & F.coalesce(some, F.lit(False)) & (F.col("rank") <= most)
+    sums = mine.join(results, "case_id", "left").groupBy("case_id").agg(F.count("rank").alias("total"), F.min(F.when(meets, F.col("rank"))).alias("matched_rank"))
+    reason = F.when(F.col("total") == 0, "no-result").when(F.col("matched_rank").isNotNull(), F.concat(F.lit("matched-top-"), F.col("matched_rank").cast("string"))).otherwise("not-in-top")
+    return sums.withColumn("reason", reason)
+
+
+def rises(results: DataFrame, by: str, rank: str, score: str) -> DataFrame:
+    """Rows whose score is above the one before them in their list: none, if each list falls. Rows of one rank are in order of score."""
+    before = F.lag(score).over(Window.partitionBy(by).orderBy(rank, score))
+    return results.withColumn("before", before).where(F.col(score) > F.col("before"))

@@ -57,6 +57,15 @@ def library_view(items: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("item_id", "canonical_id", F.coalesce("_a", "_b").alias("document_id"), *map(pick, fields))
 
 
+def library_with_seed(items: DataFrame, docs: DataFrame, seed: DataFrame) -> DataFrame:
+    """library_view() with every field that the stored document lacks (null) taken from the seed catalogue's document of that id, in either form. Ids of documents are told apart; items may repeat."""
+    fields = [c for c in docs.columns if c != "id"]
+    side = lambda p: seed.select(F.col("id").alias(f"_{p}"), *[F.col(c).alias(f"_{p}_{c}") for c in fields])
+    bare = F.regexp_replace("canonical_id", "^[^:]*:", "")
+    both = library_view(items, docs).join(side("s"), F.col("canonical_id") == F.col("_s"), "left").join(side("t"), (bare == F.col("_t")) & F.col("_s").isNull(), "left")
+    return both.select("item_id", "canonical_id", F.coalesce("document_id", "_s", "_t").alias("document_id"), *[F.coalesce(c, f"_s_{c}", f"_t_{c}").alias(c) for c in fields])
+
+
 def override_status(defaults: DataFrame, live: DataFrame, key: str) -> DataFrame:
     """All rows of either; live values where there are any."""
     a, b = defaults.alias("a"), live.alias("b")

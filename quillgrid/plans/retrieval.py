@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import text as tx
 from quillgrid.functions import vectors as vx
-from quillgrid.operators import dedupe, features, recommend, rerank, scoring, search, similarity, vector_search
-from quillgrid.operators.document_index import LAYOUT, DocumentIndex, query_parts, shared_path
+from quillgrid.operators import dedupe, features, recommend, rerank, scoring, search, similarity, vector_search, views
+from quillgrid.operators.document_index import LAYOUT, DocumentIndex, query_parts, sanitized, shared_path
 from quillgrid.operators.query import STOPWORDS, Query, normalize, token_weight, windows
 from quillgrid.plans import sql
 from quillgrid.schema import DOCUMENTS_VIEW_SQL, documents_view, table
@@ -158,6 +158,38 @@ def _search(spark, d, sort):
     return found.select("id", "match", F.round("total", 4).alias("total"), F.round("passage", 4).alias("passage"), "year", "citations")
 
 
+def search_rows(spark, d):
+    """The best TOP documents by total, as results."""
+    best = _scored(spark, d).orderBy(F.desc(F.round("total", 6)), "id").limit(TOP)
+    out = views.search_rows(best)
+    return out.withColumn("sources", F.array_join("sources", "|"))
+
+
+def search_cascade(spark, d):
+    """Whole searches over the stored index that end in each of the modes: strict with supplements, reformulated, exploratory, relaxed."""
+    index = search.Index(scoring.with_fields(documents_view(spark, d)), None, indexed(spark, d))
+    out = None
+    for asked in ("the tion and", "thewhblehe tionationand", "science fair report", "zzqx the-tion"):
+        found = search.search(index, asked).select(F.lit(asked).alias("asked"), "id", "match", "total", "mode")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def detail_rows(spark, d):
+    """All documents as pages show them, lists joined."""
+    out = views.detail_rows(documents_view(spark, d))
+    joined = [F.array_join(c, "|").alias(c) for c in ("authors", "keywords", "methods", "highlights", "sources")]
+    return out.select("id", "type", "source", "source_key", "title", "englishTitle", "organization", "language", "summary", F.md5("abstract").alias("abstract_md5"), "year", "citations", "open_access", "region", *joined, F.size("links").alias("n_links"))
+
+
+def index_sanitized(spark, d):
+    """Documents with some sources taken for those of student research and titles that labels call toxic for guidance, as they go into an index."""
+    toxic = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")).distinct().withColumn("guided", F.lit(True))
+    named = F.when(F.col("source").isin("src0", "src1"), "science_fair").when(F.col("source") == "src2", "rne_report").otherwise(F.col("source"))
+    v = documents_view(spark, d).join(toxic, "id", "left").withColumns({"source": named, "title": F.concat(F.when(F.col("guided"), "(지도논문) ").otherwise(""), "title")})
+    return sanitized(v).select("id", "source", F.array_join("keywords", "|").alias("keywords"))
+
+
 def search_relevance(spark, d):
     return _search(spark, d, "relevance")
 
@@ -258,7 +290,7 @@ def input_confidence(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        document_index, passage_index, index_refresh, lexicon_expansion, bm25_topk, sparse_overlap, cosine_topk, knn_edges, min_distance_per_doc, vector_fit, vector_mean, similar_titles, canonical_merge, leader_clusters, hybrid_score, search_relevance, search_latest, search_citation,
+        document_index, passage_index, index_refresh, lexicon_expansion, bm25_topk, sparse_overlap, cosine_topk, knn_edges, min_distance_per_doc, vector_fit, vector_mean, similar_titles, canonical_merge, leader_clusters, hybrid_score, search_rows, search_cascade, detail_rows, index_sanitized, search_relevance, search_latest, search_citation,
         evidence_flags, filter_and_prefer, profile_boost, rerank_heuristic, rerank_service, supplemented_results, recommend_heuristic, recommend_full, recommend_feed, similarity_report, section_compare, input_confidence,
     )
 }
@@ -431,6 +463,14 @@ pa as (select term, words from tb join lx on key = term or (contains(term, key)
 ex as (select term, unnest(words) as expansion from pa union select term, term from te) select term, count(*) as n, md5(string_agg(expansion, '|' order by expansion)) as expansions_md5 from ex group by term""",
     "hybrid_score": f"with {_scored_sql(SEARCH, True)} select id, {', '.join(f'round({p}, 4) as {p}' for p in scoring.PARTS)} from sc",
     "search_relevance": _search_sql("round(match, 2) desc, round(total, 6) desc, year desc"),
+    "search_rows": f"""with {_scored_sql(SEARCH, True)}, m as (select *, {_MATCH} as match from sc order by round(total, 6) desc, id limit {TOP})
+select cast(row_number() over (order by round(match, 2) desc, round(total, 6) desc, year desc, id) as int) as rank, id, round(total, 2) as score, {', '.join(f'round({n}, {k}) as {n}' for n, k in views.DECIMALS.items() if n != 'passage')}, 0.0 as passage, match, type, title, year, region, source, citations, organization,
+ language, upper(language) as language_label, case when region = 'domestic' then 'KR' else 'INTL' end as country, source as sources from m""",
+    "detail_rows": f"""with {_V} select id::varchar as id, type, source, source as source_key, title, '' as "englishTitle", organization, language, '' as summary, md5(abstract) as abstract_md5, year, citations, false as open_access, region,
+ array_to_string(authors, '|') as authors, array_to_string(keywords, '|') as keywords, array_to_string(methods, '|') as methods, '' as highlights, source as sources, 0 as n_links from docs""",
+    "index_sanitized": f"""with {_V}, g as (select *, case when source in ('src0', 'src1') then 'science_fair' when source = 'src2' then 'rne_report' else source end as s, id in (select doc_id from labels where toxic = 1) as guided from docs),
+k as (select id, s, keywords, {sql.tokens("case when guided then '지도논문 ' else '' end || title || ' ' || organization")} as bag from g where not (s = 'science_fair' and guided))
+select id, s as source, array_to_string(case when s in ('science_fair', 'rne_report') then ({sql.unique('bag')})[1:8] else keywords end, '|') as keywords from k""",
     "search_latest": _search_sql("year desc, round(total, 6) desc"),
     "search_citation": _search_sql("citations desc, round(total, 6) desc"),
     "evidence_flags": f"with {_scored_sql(SEARCH, True)} select id, {_gates(SEARCH)}, cast(len(list_filter(['tion', 'thes', 'onthe'], lambda x: contains(body, x) or contains(replace(body, ' ', ''), x))) as int) as relaxed from sc",

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgrid.operators import evaluate, jobs, ops, store
+from quillgrid.plans import sql
 from quillgrid.schema import DOCUMENTS_VIEW_SQL, documents_view, table
 from quillgrid.streaming import windows as streaming
 
@@ -46,6 +47,34 @@ def library_view(spark, d):
     return store.library_view(items, parts)
 
 
+def library_seeded(spark, d):
+    """The library's items with large parts as stored documents and all parts as the seed catalogue."""
+    li = table(spark, d, "lineitem")
+    items = li.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("item_id"), F.concat(F.when(F.col("l_linenumber") > 2, "paper:").otherwise(""), F.col("l_partkey").cast("string")).alias("canonical_id"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_name", "p_size")
+    return store.library_with_seed(items, parts.where("p_size > 10").withColumn("p_name", F.when(F.col("p_size") > 20, F.col("p_name"))), parts)
+
+
+def case_plan(spark, d):
+    """The benchmark's items as fixed cases, and words of the documents' titles as topics, in 500 runs."""
+    fixed = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("case_id"), F.substring_index("text", " ", 3).alias("query"))
+    return evaluate.case_plan(fixed, documents_view(spark, d).select(F.explode("keywords").alias("query")), 500)
+
+
+def scenario_matches(spark, d):
+    """For each source and language a case that asks for a type and two words; the results are its documents by citations."""
+    v = documents_view(spark, d)
+    key = F.concat_ws("/", "source", "language").alias("case_id")
+    ranked = v.select(key, F.row_number().over(Window.partitionBy("source", "language").orderBy(F.desc("citations"), "id")).alias("rank"), F.col("id").cast("string").alias("id"), "source", "type", "title")
+    cases = v.select(key, "source").distinct().select("case_id", F.lit(None).cast("string").alias("id"), "source", F.when(F.col("source") != "src0", "paper").alias("type"), F.array(F.lit("TION"), F.lit("en")).alias("fragments"))
+    return evaluate.scenarios(cases, ranked, 5)
+
+
+def score_rises(spark, d):
+    """Lines of orders whose price is above that of the line before."""
+    return evaluate.rises(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
 def session_users(spark, d):
     """Orders as sessions, customers as users, nations as preferences that some lack."""
     s = table(spark, d, "orders").where("o_orderstatus = 'O'").select("o_orderkey", "o_custkey")
@@ -196,7 +225,7 @@ def stream_event_windows(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        upsert_latest, replace_by_key, coalesce_upsert, last_writer, insert_statements, library_view, session_users, override_status, first_by_key, seen_and_unseen, source_records, suggestions, table_counts, index_fingerprint,
+        upsert_latest, replace_by_key, coalesce_upsert, last_writer, insert_statements, library_view, library_seeded, case_plan, scenario_matches, score_rises, session_users, override_status, first_by_key, seen_and_unseen, source_records, suggestions, table_counts, index_fingerprint,
         job_lease_order, job_lease, job_counts, job_states, hot_queries, cache_state, request_alerts, recent_requests, detail_health, event_props, quality_verdicts, quality_summary, quality_pivot, round_robin, stream_event_windows,
     )
 }
@@ -216,6 +245,14 @@ select coalesce(c_custkey, k) as c_custkey, coalesce(seg, c_mktsegment) as c_mkt
     "insert_statements": "select 'INSERT INTO nation (n_nationkey, n_name, n_regionkey) VALUES (' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''', ' || n_regionkey || ');' as statement from nation",
     "library_view": """with i as (select l_orderkey || '-' || l_linenumber as item_id, case when l_linenumber > 2 then 'paper:' else '' end || l_partkey as canonical_id, cast(l_partkey as varchar) as k from lineitem)
 select item_id, canonical_id, cast(p_partkey as varchar) as document_id, p_name, p_size from i left join (select * from part where p_size > 10) on cast(p_partkey as varchar) = k""",
+    "library_seeded": """with i as (select l_orderkey || '-' || l_linenumber as item_id, case when l_linenumber > 2 then 'paper:' else '' end || l_partkey as canonical_id, l_partkey as k from lineitem)
+select item_id, canonical_id, cast(p_partkey as varchar) as document_id, p_name, p_size from i left join part on p_partkey = k""",
+    "case_plan": f"""with {_V}, f as (select item_id::varchar as case_id, array_to_string(string_split(text, ' ')[1:3], ' ') as query, 'fixed' as kind from benchmark), t as (select distinct trim(q) as query from (select unnest(keywords) as q from docs) where trim(q) <> ''),
+r as (select query, row_number() over (order by md5(query), query) as r from t) select * from f union all select 'random-' || r, query, 'random' from r where r <= 500 - (select count(*) from f)""",
+    "scenario_matches": f"""with {_V}, r as (select source || '/' || language as case_id, row_number() over (partition by source, language order by citations desc, id) as rank, type, source, {sql.norm('title')} as t from docs)
+select case_id, count(*) as total, cast(m as int) as matched_rank, case when m is not null then 'matched-top-' || m else 'not-in-top' end as reason
+from (select *, min(case when rank <= 5 and (source = 'src0' or type = 'paper') and (contains(t, 'tion') or contains(t, 'en')) then rank end) over (partition by case_id) as m from r) group by all""",
+    "score_rises": "select * from (select l_orderkey, l_linenumber, l_extendedprice, lag(l_extendedprice) over (partition by l_orderkey order by l_linenumber, l_extendedprice) as before from lineitem) where l_extendedprice > before",
     "session_users": "select o_orderkey, c_name, n_name from orders join customer on o_custkey = c_custkey left join (select * from nation where n_regionkey <> 2) on c_nationkey = n_nationkey where o_orderstatus = 'O'",
     "override_status": "with l as (select s_nationkey as k, case when count(*) > 3 then 'online' end as st, count(*) as n from supplier group by all) select coalesce(n_nationkey, k) as key, coalesce(st, case when n_nationkey is not null then 'configured' end) as status, coalesce(n, 0) as latency from nation full join l on n_nationkey = k",
     "first_by_key": "select c_nationkey, c_mktsegment as segment from (select distinct c_nationkey, c_mktsegment, list_position(['BUILDING', 'MACHINERY', 'AUTOMOBILE'], c_mktsegment) as p from customer) where p > 0 qualify row_number() over (partition by c_nationkey order by p) = 1",

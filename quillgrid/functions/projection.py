@@ -9,16 +9,19 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable, Iterable
 from itertools import pairwise
 
 import numpy as np
 
 from quillgrid.functions.vectors import FNV_OFFSET, FNV_PRIME, WORD32
 
+#: What a lexicon makes of terms: themselves and those that mean the same.
+Expand = Callable[[Iterable[str]], list[str]]
 #: Weights of dense features.
 PHRASE, WHOLE_PHRASE, WHOLE_WORD, CHAR, FULL, PER_HANGUL, PER_LATIN = 1.3, 1.25, 1.05, 0.28, 1.45, 0.05, 0.03
 #: Weights of sparse terms, twenty times as large, so that sums are exact.
-WORD20, PAIR20, TRIPLE20, CHAR20 = 20, 35, 44, 4
+WORD20, PAIR20, TRIPLE20, CHAR20, ADDED20, ADDED_PHRASE20 = 20, 35, 44, 4, 17, 25
 HANGUL = re.compile("[가-힣]")
 #: Windows of fewer than so many are hashed one by one.
 FEW = 16
@@ -67,12 +70,12 @@ def _grams(normal: str) -> tuple[str, tuple[int, ...]]:
     return compact, (2, 3, 4) if HANGUL.search(compact) else (3, 4, 5)
 
 
-def dense_vectors(normals: list[str], dims: int) -> np.ndarray:
+def dense_vectors(normals: list[str], dims: int, expand: Expand | None = None) -> np.ndarray:
     """The hashed projections of normalised texts, a row each, at length 1, to six decimals; all zeros for an empty text.
 
     Features are words by count, runs of two and three words, words and whole text once each
-    (what a lexicon adds to them is left to the caller), n-grams, and the compact text. The
-    windows of one kind are hashed for all texts together.
+    with what a lexicon's expand makes of them, n-grams, and the compact text. The windows of
+    one kind are hashed for all texts together.
     """
     states: dict[str, list[np.ndarray]] = {"": [], "sign:": []}
     weights: list[np.ndarray] = []
@@ -132,6 +135,11 @@ def dense_vectors(normals: list[str], dims: int) -> np.ndarray:
         raw = [units(normals[i]) for i in whole]
         long = np.array([len(r) for r in raw], np.int64)
         spread("sem:", np.concatenate(raw), np.cumsum(long) - long, long, np.array([WHOLE_PHRASE if " " in normals[i] else WHOLE_WORD for i in whole]), np.array(whole))
+    more = [(i, t) for i in full for t in (expand([normals[i], *tokens[i]]) if expand else ()) if t != normals[i] and t not in tokens[i]]
+    if more:
+        raw = [units(t) for _, t in more]
+        long = np.array([len(r) for r in raw], np.int64)
+        spread("sem:", np.concatenate(raw), np.cumsum(long) - long, long, np.array([WHOLE_PHRASE if " " in t else WHOLE_WORD for _, t in more]), np.array([i for i, _ in more]))
     h, s = (np.concatenate(x) for x in states.values())
     weight, base = np.concatenate(weights), np.concatenate(owners).astype(np.int64) * dims
     out = np.zeros(len(normals) * dims)
@@ -150,17 +158,20 @@ def dense_vectors(normals: list[str], dims: int) -> np.ndarray:
     return out
 
 
-def dense_vector(normal: str, dims: int) -> np.ndarray:
+def dense_vector(normal: str, dims: int, expand: Expand | None = None) -> np.ndarray:
     """The hashed projection of one normalised text."""
-    return dense_vectors([normal], dims)[0]
+    return dense_vectors([normal], dims, expand)[0]
 
 
-def sparse_terms(normal: str) -> Counter[str]:
-    """Twenty times the sparse weight of each term: words, pairs, triples, and n-grams if the compact text has four characters."""
+def sparse_terms(normal: str, expand: Expand | None = None) -> Counter[str]:
+    """Twenty times the sparse weight of each term: words, pairs, triples, what a lexicon's expand adds, and n-grams if the compact text has four characters."""
     tokens, out = words(normal), Counter()
     for terms, weight in ((tokens, WORD20), (map(" ".join, pairwise(tokens)), PAIR20), (map(" ".join, zip(tokens, tokens[1:], tokens[2:])), TRIPLE20)):
         for t, n in Counter(terms).items():
             out[t] += n * weight
+    for t in expand(tokens) if expand else ():
+        if len(t) >= 2:
+            out[t] = max(out[t], ADDED_PHRASE20 if " " in t else ADDED20)
     compact, lengths = _grams(normal)
     if len(compact) >= 4:
         for n in lengths:

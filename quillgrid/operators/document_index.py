@@ -36,6 +36,7 @@ from quillgrid.functions import text as tx
 from quillgrid.operators.dedupe import checkpointed
 from quillgrid.operators.features import K1, B
 from quillgrid.operators.passages import split_passages
+from quillgrid.operators.query import LEXICON, Lexicon
 
 #: How often each field counts in the text that represents a document.
 BUNDLE = {"title": 2, "englishTitle": 2, "abstract": 2, "summary": 1, "novelty": 1, "organization": 1, "keywords": 2, "methods": 1, "highlights": 1, "alternateSources": 1}
@@ -45,7 +46,7 @@ MEAN_SIZE, SIZE = 320, 360
 #: Those whose words an input can share.
 SHARED = ("title", "englishTitle", "abstract", "summary", "keywords", "methods")
 #: Version of the layout, dimensions, partitions of a level, and texts and characters that are hashed together.
-LAYOUT, DIMS, PARTS, TEXTS, CHARS = 1, 1024, 16, 512, 400_000
+LAYOUT, DIMS, PARTS, TEXTS, CHARS = 2, 1024, 16, 512, 400_000
 MICRO = 1_000_000
 #: XXH64 with Spark's own seed, so that both sides name a term alike.
 SEED = 42
@@ -67,9 +68,9 @@ def key_of(term: str) -> int:
     return int(keys_of([term])[0])
 
 
-def term_arrays(normal: str) -> tuple[np.ndarray, np.ndarray]:
+def term_arrays(normal: str, expand: projection.Expand | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a normalised text's sparse terms in rising order, and their weights in twentieths."""
-    terms = projection.sparse_terms(normal)
+    terms = projection.sparse_terms(normal, expand)
     keys = keys_of(terms)
     order = np.argsort(keys)
     return keys[order], np.fromiter(terms.values(), np.int32, len(terms))[order]
@@ -96,7 +97,7 @@ def _fields(docs: DataFrame) -> dict[str, str]:
     return {n: kind for n, kind in docs.dtypes if n in {*BUNDLE, *PASSAGES}}
 
 
-def prepared(docs: DataFrame, parts: int) -> DataFrame:
+def prepared(docs: DataFrame, parts: int, mark: str = "") -> DataFrame:
     """id, part, fingerprint, and the texts to hash: bundle, said, done (normalised), title (normalised), year, and p_ columns of passages' fields."""
     have = _fields(docs)
     words = lambda n: F.array_join(n, " ") if have[n].startswith("array") else F.nullif(F.col(n), F.lit(""))
@@ -108,7 +109,7 @@ def prepared(docs: DataFrame, parts: int) -> DataFrame:
     dated = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("updatedAt", "year") if c in docs.columns]
     year = F.col("year").cast("int") if "year" in docs.columns else F.lit(None).cast("int")
     return docs.where(F.col("id").isNotNull()).select(
-        "id", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(parts)).cast("int").alias("part"), F.sha2(F.concat_ws("\x1f", F.lit(",".join(sorted(have))), *dated, *seen), 256).alias("fingerprint"),
+        "id", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(parts)).cast("int").alias("part"), F.sha2(F.concat_ws("\x1f", F.lit(",".join(sorted(have))), *([F.lit(mark)] if mark else []), *dated, *seen), 256).alias("fingerprint"),
         joined([n for n in BUNDLE for _ in range(BUNDLE[n])]).alias("bundle"), joined(SHARED).alias("said"), joined(["methods"]).alias("done"), joined(["title", "englishTitle"]).alias("title"),
         F.coalesce(F.col("title"), F.lit("")).alias("raw_title") if "title" in have else F.lit("").alias("raw_title"), year.alias("year"), *passages,
     )
@@ -131,11 +132,11 @@ def passages_of(row: dict, size: int) -> list[tuple[str, str]]:
 class _Hasher:
     """Rows of the index for prepared rows; the vectors of several documents' texts are made together."""
 
-    def __init__(self, dims: int, version: int, names: list[str]):
-        self.dims, self.version, self.names = dims, version, names
+    def __init__(self, dims: int, version: int, names: list[str], lexicon: Lexicon | None):
+        self.dims, self.version, self.names, self.expand = dims, version, names, lexicon.expand if lexicon else None
 
     def _vectors(self, texts: list[str]) -> np.ndarray:
-        out = [projection.dense_vectors(texts[k : k + TEXTS], self.dims) for k in range(0, len(texts), TEXTS)]
+        out = [projection.dense_vectors(texts[k : k + TEXTS], self.dims, self.expand) for k in range(0, len(texts), TEXTS)]
         return np.concatenate(out) if out else np.zeros((0, self.dims))
 
     def rows(self, docs: list[dict]) -> list[dict]:
@@ -151,13 +152,13 @@ class _Hasher:
             v = weights @ body[at : at + len(few)] / weights.sum() if len(few) else bundle
             v = v / (np.linalg.norm(v) or 1)
             at += len(few)
-            keys, w = term_arrays(d["bundle"])
-            own, ow = term_arrays(plain(" ".join(p for _, p in few)) if few else d["bundle"])
+            keys, w = term_arrays(d["bundle"], self.expand)
+            own, ow = term_arrays(plain(" ".join(p for _, p in few)) if few else d["bundle"], self.expand)
             said, done = (keys_of(sorted(set(projection.words(d[c])))) for c in ("said", "done"))
             year = d["year"]
             out.append(base | {"ord": 0, "fingerprint": d["fingerprint"], "title": d["title"], "year": None if year is None or year != year else int(year), "vector": micro(bundle), "keys": keys, "weights": w, "total": int(w.sum()), "body_vector": micro(v), "body_keys": own, "body_weights": ow, "body_total": int(ow.sum()), "words": np.sort(said), "methods": np.sort(done), "level": "document"})
             for k, (label, p) in enumerate(many):
-                keys, w = term_arrays(plain(p))
+                keys, w = term_arrays(plain(p), self.expand)
                 out.append(base | {"ord": k + 1, "label": label, "passage": p, "vector": micro(titled[far + k]), "keys": keys, "weights": w, "total": int(w.sum()), "level": "passage"})
             far += len(many)
         return out
@@ -198,10 +199,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 class DocumentIndex:
-    """An index at a path that all executors reach."""
+    """An index at a path that all executors reach. Vectors and terms hold what the lexicon adds; another lexicon changes every document."""
 
-    def __init__(self, spark: SparkSession, path: str, id_type: T.DataType | None = None, dims: int = DIMS, parts: int = PARTS):
-        self.spark, self.path, self.dims, self.parts, self.schema = spark, path, dims, parts, schema_of(id_type or T.LongType())
+    def __init__(self, spark: SparkSession, path: str, id_type: T.DataType | None = None, dims: int = DIMS, parts: int = PARTS, lexicon: Lexicon | None = LEXICON):
+        self.spark, self.path, self.dims, self.parts, self.lexicon, self.schema = spark, path, dims, parts, lexicon, schema_of(id_type or T.LongType())
 
     def _hadoop(self, path: str):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -212,6 +213,9 @@ class DocumentIndex:
         at, fs = self._hadoop(self.path)
         return self.spark.read.schema(self.schema).parquet(self.path) if fs.exists(at) else self.spark.createDataFrame([], self.schema)
 
+    def _mark(self) -> str:
+        return self.lexicon.digest if self.lexicon else ""
+
     def remove(self) -> None:
         at, fs = self._hadoop(self.path)
         fs.delete(at, True)
@@ -226,7 +230,7 @@ class DocumentIndex:
 
     def changes(self, docs: DataFrame) -> DataFrame:
         """id, part, fingerprint (null: removed), kind and copies of the documents that differ from the index, and of same ones (kind same)."""
-        marks = prepared(docs, self.parts).groupBy("id", "part").agg(F.min("fingerprint").alias("fingerprint"), F.count("*").alias("copies"))
+        marks = prepared(docs, self.parts, self._mark()).groupBy("id", "part").agg(F.min("fingerprint").alias("fingerprint"), F.count("*").alias("copies"))
         old = self.rows().where("level = 'document'").select("id", F.col("fingerprint").alias("was"))
         kind = F.when(F.col("was").isNull(), "added").when(F.col("fingerprint").isNull(), "removed").when(F.col("was") != F.col("fingerprint"), "changed").otherwise("same")
         part = F.coalesce("part", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(self.parts)).cast("int"))
@@ -245,11 +249,11 @@ class DocumentIndex:
         rows = self.rows()
         version = rows.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] + 1
         differ = found.where("kind <> 'same'")
-        fresh = prepared(docs, self.parts).join(differ.where("fingerprint is not null").select("id", "part", "fingerprint"), ["id", "part", "fingerprint"], "left_semi")
+        fresh = prepared(docs, self.parts, self._mark()).join(differ.where("fingerprint is not null").select("id", "part", "fingerprint"), ["id", "part", "fingerprint"], "left_semi")
         if any(c.copies > 1 for c in counts if c.kind in ("added", "changed")):
             fresh = fresh.dropDuplicates(["id"])
         names = self.schema.names
-        fresh = fresh.mapInPandas(_Hasher(self.dims, version, names).__call__, self.schema)
+        fresh = fresh.mapInPandas(_Hasher(self.dims, version, names, self.lexicon).__call__, self.schema)
         kept = rows.where(F.col("part").isin(touched)).join(differ.select("id"), "id", "left_anti").withColumn("version", F.lit(version)).select(*names)
         out = kept.unionByName(fresh).repartition("level", "part", F.pmod(F.xxhash64("id", "ord"), F.lit(8)))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("level", "part").parquet(self.path)
@@ -283,19 +287,19 @@ def _weight(keys: str, weights: str, term: str) -> Column:
     return F.coalesce(F.get(weights, (at - 1).cast("int")), F.lit(0))
 
 
-def query_parts(documents: DataFrame, text: str, terms: list[str], dims: int = DIMS) -> DataFrame:
+def query_parts(documents: DataFrame, text: str, terms: list[str], dims: int = DIMS, lexicon: Lexicon | None = LEXICON) -> DataFrame:
     """id, dense, sparse and bm25 of every document row of the index, for one query: no shuffle but for a row of statistics.
 
     dense is the cosine with the query's own vector, sparse the weighted Jaccard of sparse
     terms, bm25 that of the query's words with the sparse weights as frequencies. Terms are
     found inside each row.
     """
-    normal = plain(text)
-    wanted = projection.sparse_terms(normal)
+    normal, expand = plain(text), lexicon.expand if lexicon else None
+    wanted = projection.sparse_terms(normal, expand)
     least = sum((F.least(F.lit(int(w)), _weight("keys", "weights", t)) for t, w in wanted.items()), F.lit(0))
     union = F.lit(int(wanted.total())) + F.col("total") - F.col("least")
     words = list(dict.fromkeys(terms))
-    rows = documents.select("id", cosine_with(projection.dense_vector(normal, dims))("vector").alias("dense"), least.alias("least"), "total", *[_weight("keys", "weights", t).alias(f"t{k}") for k, t in enumerate(words)])
+    rows = documents.select("id", cosine_with(projection.dense_vector(normal, dims, expand))("vector").alias("dense"), least.alias("least"), "total", *[_weight("keys", "weights", t).alias(f"t{k}") for k, t in enumerate(words)])
     stats = documents.agg(F.count("*").alias("n"), F.avg(F.col("total") / 20).alias("avg"), *[F.count_if(F.array_contains("keys", F.lit(key_of(t)))).alias(f"df{k}") for k, t in enumerate(words)])
     score = F.lit(0.0)
     for k in range(len(words)):
@@ -306,11 +310,11 @@ def query_parts(documents: DataFrame, text: str, terms: list[str], dims: int = D
     return both.select("id", "dense", F.when(union > 0, F.col("least") / union).otherwise(0.0).alias("sparse"), score.alias("bm25"))
 
 
-def best_passages(passages: DataFrame, head: DataFrame, text: str, dims: int = DIMS) -> DataFrame:
+def best_passages(passages: DataFrame, head: DataFrame, text: str, dims: int = DIMS, lexicon: Lexicon | None = LEXICON) -> DataFrame:
     """id, passage (the largest cosine of the head documents' passages with a query, at least 0) and label (of the first such passage to nine decimals, '' if none is above 0).
 
     head holds a top-k's ids: few, so they are broadcast, and only their passages are compared.
     """
-    near = passages.join(F.broadcast(head.select("id")), "id", "left_semi").select("id", "ord", "label", cosine_with(projection.dense_vector(plain(text), dims))("vector").alias("c"))
+    near = passages.join(F.broadcast(head.select("id")), "id", "left_semi").select("id", "ord", "label", cosine_with(projection.dense_vector(plain(text), dims, lexicon.expand if lexicon else None))("vector").alias("c"))
     best = near.groupBy("id").agg(F.max("c").alias("c"), F.max_by("label", F.struct(F.round("c", 9), -F.col("ord"))).alias("label"))
     return best.select("id", F.greatest("c", F.lit(0.0)).alias("passage"), F.when(F.col("c") > 0, F.col("label")).otherwise("").alias("label"))

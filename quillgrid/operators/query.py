@@ -5,12 +5,16 @@ These are small lists that become literals of a plan; the text rules are those o
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
+import ahocorasick
+from pyspark.sql import DataFrame
+
 #: Words that say nothing of a topic, and words that name a source rather than a topic.
 IDENTITY = frozenset("전람회 과학전람회 전국과학전람회 학생과학전람회 학생부전람회 발명품경진대회 science fair sciencefair rne 알앤이 한화 한화사이언스챌린지 사이언스 챌린지 hanwha challenge sciencechallenge".split())
 STOPWORDS = IDENTITY | frozenset("연구 분석 시스템 모델 기반 설계 예측 요약 문서 검색 자료 평가 결과 analysis research system model based design prediction summary document search data evaluation results".split())
@@ -72,24 +76,63 @@ def hangul_chunks(text: str) -> list[str]:
 
 
 class Lexicon:
-    """Groups of terms that mean the same across languages. A term in two groups belongs to the later one."""
+    """Groups of terms that mean the same across languages. A term in two groups belongs to the later one.
+
+    Terms inside a text are found by an automaton over all of them, in one pass over the text. A lexicon goes to every task that uses it;
+    MOST bounds its terms (features.expand_terms joins larger ones).
+    """
+
+    MOST = 1_000_000
 
     def __init__(self, groups: Iterable[Iterable[str]], blocked: Iterable[str] = ()):
         self.groups = [[normalize(t) for t in g] for g in groups]
         self.blocked = frozenset(blocked)
-        self.group_of: dict[str, list[str]] = {t: g for g in self.groups for t in g}
+        self.group_of: dict[str, list[str]] = {t: g for g in self.groups for t in g if t}
+        self.place = {t: k for k, t in enumerate(self.group_of)}
+        self._found: ahocorasick.Automaton | None = None
+        if len(self.place) > self.MOST:
+            raise ValueError(f"{len(self.place)} terms are too many for a lexicon that is sent to tasks")
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_found": None}
+
+    @staticmethod
+    def of(table: DataFrame) -> Lexicon:
+        """From a table (group, term, and perhaps blocked), groups and their terms in order. At most MOST + 1 rows reach the driver."""
+        rows = table.orderBy("group", "term").limit(Lexicon.MOST + 1).collect()
+        groups: dict = {}
+        for r in rows:
+            groups.setdefault(r["group"], []).append(r["term"] or "")
+        return Lexicon(groups.values(), [normalize(r["term"]) for r in rows if "blocked" in table.columns and r["blocked"]])
+
+    @property
+    def digest(self) -> str:
+        """Equal for equal lexicons."""
+        return hashlib.md5(repr((self.groups, sorted(self.blocked))).encode()).hexdigest()
+
+    def _inside(self, value: str) -> set[str]:
+        """Terms that a text holds."""
+        if self._found is None:
+            self._found = ahocorasick.Automaton()
+            for t in self.place:
+                self._found.add_word(t, t)
+            self._found.make_automaton()
+        return {t for _, t in self._found.iter(value)} if self.place else set()
 
     def expand(self, values: Iterable[str]) -> list[str]:
+        """The normalised values, each followed by the groups of terms that it is, holds or is held by."""
         def expandable(term: str, least: int) -> bool:
-            return term not in self.blocked and (" " in term or len(re.findall("[가-힣]", term)) >= 2 or len(term) >= least)
+            return term not in self.blocked and (" " in term or (re.search("[가-힣]", term) is not None and len(term) >= 2) or len(term) >= least)
 
         out: list[str] = []
         for value in map(normalize, values):
             if value:
                 out.append(value)
-                for key, group in self.group_of.items():
-                    if key == value or (key in value and expandable(key, 4)) or (value in key and expandable(value, 10)):
-                        out += group
+                terms = {t for t in self._inside(value) if t == value or expandable(t, 4)}
+                if expandable(value, 10):
+                    terms |= {t for t in self.place if value in t}
+                for t in sorted(terms, key=self.place.__getitem__):
+                    out += self.group_of[t]
         return unique(out)
 
     def translations(self, query: str, script: str, most: int = 6) -> list[str]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillgrid.functions import projection
 from quillgrid.operators import document_index, search
 from quillgrid.operators.document_index import DocumentIndex, Refreshed, plain
+from quillgrid.operators.query import Lexicon, normalize
 
 SCHEMA = "id string, title string, abstract string, summary string, keywords array<string>, organization string, year int, updatedAt string, version string, part string"
 
@@ -112,3 +113,50 @@ def test_search_over_an_index(spark, index):
     without = search.search(search.Index.of(data), "title 7 of graphs", k=40).collect()
     assert with_index[0].id == without[0].id == "d7" and {r.id for r in with_index} == {r.id for r in without}
     assert with_index[0].match > without[0].match and with_index[0].total > without[0].total
+
+
+def nested(groups, blocked, values):
+    """Lexicon.expand by comparing every value with every term."""
+    group_of = {t: g for g in groups for t in g}
+    wide = lambda t, n: t not in blocked and (" " in t or (any("가" <= c <= "힣" for c in t) and len(t) >= 2) or len(t) >= n)
+    out = []
+    for v in filter(None, map(normalize, values)):
+        out.append(v)
+        for t, g in group_of.items():
+            if t == v or (t in v and wide(t, 4)) or (v in t and wide(v, 10)):
+                out += g
+    return list(dict.fromkeys(out))
+
+
+GROUPS = [["battery", "배터리", "secondary battery"], ["cell", "cells"], ["graph memory", "지식 그래프"], ["semiconductors", "반도체"], ["ab", "abcd"]]
+
+
+def test_expansion_by_automaton_is_the_nested_loop(spark):
+    values = ["battery", "batteryless cell", "배터리", "리튬배터리팩", "graph", "graph memory", "a graph memory of cells", "semiconductor", "semicond", "abcde", "ab", "", " ?!", "그래프", "지식 그래프 x", "secondary battery pack"]
+    for blocked in ((), ("cell", "cells", "abcd", "graph memory")):
+        lexicon = Lexicon(GROUPS, blocked)
+        for v in values:
+            assert lexicon.expand([v]) == nested(GROUPS, blocked, [v]), v
+        assert lexicon.expand(values) == nested(GROUPS, blocked, values)
+    table = spark.createDataFrame([(k, t, t == "cell") for k, g in enumerate(GROUPS) for t in g], "group int, term string, blocked boolean")
+    made = Lexicon.of(table)
+    assert made.blocked == {"cell"} and [sorted(g) for g in made.groups] == [sorted(g) for g in GROUPS] and made.digest != Lexicon(GROUPS).digest
+    assert Lexicon([]).expand(["any thing"]) == ["any thing"]
+
+
+def test_a_lexicon_adds_to_vectors_and_terms(spark, tmp_path):
+    lexicon = Lexicon(GROUPS)
+    text = "batteries and a battery cell"
+    added = projection.sparse_terms(text, lexicon.expand) - projection.sparse_terms(text)
+    assert added == {"배터리": 17, "secondary battery": 25, "cells": 17}
+    assert not np.array_equal(projection.dense_vector(text, 64), projection.dense_vector(text, 64, lexicon.expand))
+    assert np.array_equal(projection.dense_vector("nothing here", 64), projection.dense_vector("nothing here", 64, lexicon.expand))
+    data = docs(spark, [("ko", "배터리", "배터리 연구"), ("en", "battery", "battery study"), ("no", "other", "words only")])
+    index = DocumentIndex(spark, f"file://{tmp_path}/with", document_index.T.StringType(), dims=256, parts=2, lexicon=lexicon)
+    index.refresh(data)
+    got = {r.id: r for r in document_index.query_parts(index.documents(), "배터리", ["배터리"], 256, lexicon).collect()}
+    assert got["en"].sparse > 0 and got["en"].bm25 > 0 and got["en"].dense > got["no"].dense
+    other = DocumentIndex(spark, index.path, document_index.T.StringType(), dims=256, parts=2, lexicon=None)
+    assert other.refresh(data).changed == 3  # another lexicon changes every document
+    bare = {r.id: r for r in document_index.query_parts(other.documents(), "배터리", ["배터리"], 256, None).collect()}
+    assert bare["en"].bm25 == 0

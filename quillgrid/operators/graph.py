@@ -9,6 +9,7 @@ are the edges of their own kind.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,9 +153,41 @@ def similar_edges(neighbours: DataFrame) -> DataFrame:
     return best.select(F.col("source_id").cast("string").alias("source_id"), F.col("target_id").cast("string").alias("target_id"), F.lit("similar").alias("edge_type"), F.round("score", 4).alias("weight"))
 
 
+#: Rows of a block of documents that meet by vectors.
+ROWS = 1_024
+
+
+def _by_vectors(docs: DataFrame, kind: str, rate, sets: tuple[str, ...], values: tuple[str, ...] = ()) -> DataFrame:
+    best = vector_search.best_pairs(docs, docs, MOST[kind], rate, least=LEAST[kind], above=kind in ABOVE, decimals=4, nudge=1e-9, sets=sets, values=values, rows=ROWS)
+    return best.select(F.col("source_id").cast("string").alias("source_id"), F.col("target_id").cast("string").alias("target_id"), F.lit(kind).alias("edge_type"), F.col("score").alias("weight"))
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """Edges to the documents (id, vector, keywords) closest by vector and shared keywords, of all. A document without a vector has none."""
-    return similar_edges(vector_search.nearest(docs, docs, MOST["similar"], LEAST["similar"], keys="keywords", weights=SIMILAR))
+    near = vector_search.best_pairs(docs, docs, MOST["similar"], lambda a, b: SIMILAR[0] * a.cosine(b) + SIMILAR[1] * a.overlap(b, "keywords"), least=LEAST["similar"], sets=("keywords",), rows=ROWS)
+    return similar_edges(near)
+
+
+def semantic_edges(docs: DataFrame) -> DataFrame:
+    """References with their mirrors, affinity and topic edges of documents with a vector, rated with its cosine: what reference_edges(), affinity_edges() and topic_edges() give, where every pair
+    counts. Documents meet in blocks of ROWS, so memory is that of two blocks; work is that of all pairs."""
+    house = tx.organization_key(F.col("organization"))
+    named = docs.withColumns({
+        "people": F.transform("authors", lambda a: tx.author_identity(a, F.col("organization"))), "house": F.when(house != "", F.xxhash64(house)), "words": tx.unique_tokens(F.col("title")),
+        "place": F.xxhash64("region"), "cited": _cited(F.coalesce("citations", F.lit(0))),
+    })
+    none = -np.inf
+    references = lambda a, b: np.where(b.values["year"][None] <= a.values["year"][:, None], 0.55 * a.overlap(b, "keywords") + 0.45 * a.cosine(b) + b.values["cited"][None], none)
+    affinity = lambda a, b: 0.55 * a.shared(b, "people") + 0.18 * a.same(b, "house") + 0.17 * a.overlap(b, "keywords") + 0.1 * a.cosine(b)
+
+    def topic(a: vector_search.Block, b: vector_search.Block) -> np.ndarray:
+        keys, words, cosine = a.overlap(b, "keywords"), a.overlap(b, "words"), a.cosine(b)
+        return np.where((keys > 0) | (words > 0) | (cosine >= 0.46), 0.42 * keys + 0.3 * words + 0.22 * cosine + 0.06 * a.same(b, "place"), none)
+
+    own = _by_vectors(named, "references", references, ("keywords",), ("year", "cited"))
+    mirror = own.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), F.lit("cited_by").alias("edge_type"), "weight")
+    other = _by_vectors(named, "author_affinity", affinity, ("people", "keywords"), ("house",)).unionByName(_by_vectors(named, "topic_bridge", topic, ("keywords", "words"), ("place",)))
+    return own.unionByName(mirror).unionByName(other)
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:

@@ -33,6 +33,13 @@ def similar_edges(spark, d):
     return graph.similar(documents_view(spark, d).select("id", "keywords").join(vectors, "id"))
 
 
+def semantic_edges(spark, d):
+    """References, affinity and topic edges of all documents with the cosines of their stored vectors."""
+    from quillgrid.plans.retrieval import indexed
+
+    return graph.semantic_edges(documents_view(spark, d).join(indexed(spark, d).documents().select("id", "vector"), "id"))
+
+
 def author_edges(spark, d):
     return graph.author_edges(documents_view(spark, d))
 
@@ -130,7 +137,7 @@ def result_edges(spark, d):
     return graph.result_edges(top.select("rank", F.col("doc_id").alias("id"), "score"))
 
 
-QUERIES = {f.__name__: f for f in (star_edges, similar_edges, author_edges, reference_edges, affinity_edges, topic_edges, edge_scan, neighbourhood, two_hop_paths, traversal, distinct_edges, citation_neighbourhood, detail_pages, stored_facts, stored_documents, ordered_merge, result_edges)}
+QUERIES = {f.__name__: f for f in (star_edges, similar_edges, semantic_edges, author_edges, reference_edges, affinity_edges, topic_edges, edge_scan, neighbourhood, two_hop_paths, traversal, distinct_edges, citation_neighbourhood, detail_pages, stored_facts, stored_documents, ordered_merge, result_edges)}
 
 _STAR = """e as (select 'c:' || c_custkey as source_id, 'n:' || c_nationkey as target_id, 'similar' as edge_type, (c_custkey % 10 + 1) / 10.0 as weight from customer
  union all select 's:' || s_suppkey, 'n:' || s_nationkey, 'references', (s_suppkey % 10 + 1) / 10.0 from supplier union all select 'n:' || n_nationkey, 'r:' || n_regionkey, 'topic_bridge', (n_nationkey % 10 + 1) / 10.0 from nation)"""
@@ -159,6 +166,12 @@ s as (select p_id, 'references' as side, id, citations, 0.62 as weight from m wh
 r as (select *, cast(row_number() over (partition by p_id, side order by citations desc, id) as int) as rank from s)"""
 
 
+#: All pairs of documents (pr) with the cosines of their vectors and what else rates them.
+_VECTORS = f"""{_BUNDLE}, {sql.dense('b', 'bu', 1024)}, bl as (select id, list(value order by bucket) as x, list(bucket order by bucket) as places, sqrt(sum(value * value)) as z from bv group by id),
+dv as (select id, list_transform(range(1024), lambda i: coalesce(x[nullif(list_position(places, i), 0)], 0.0)) as v, z from bl), kd as (select docs.*, list_distinct({sql.tokens('title')}) as words, v, z from docs left join dv using (id)),
+pr as (select a.id as x, b.id as y, coalesce(list_inner_product(a.v, b.v) / (a.z * b.z), 0.0) as cos, {_overlap('a.keywords', 'b.keywords')} as keys, {_overlap('a.words', 'b.words')} as title, a.region = b.region as place, a.organization = b.organization as house,
+ case when a.organization = b.organization then len(list_intersect(a.authors, b.authors)) else 0 end as people, a.year as x_year, b.year, b.citations from kd a join kd b on a.id <> b.id)"""
+
 
 def _traversal(most: int) -> str:
     """Common tables up to tv: paths from n:7 over the star's edges."""
@@ -198,10 +211,15 @@ r as (select *, row_number() over (partition by direction, edge_type order by we
     "two_hop_paths": f"""with {_STAR} select a.source_id as start, a.target_id as via, b.target_id as target, a.edge_type as first, b.edge_type as second, round(max(a.weight * b.weight), 4) as weight
 from e a join e b on a.target_id = b.source_id where b.target_id <> a.source_id group by all""",
     "traversal": f"with {_STAR}, {_traversal(12)} select via, target, weight, cast(hops as int) as hops from tv",
-    "similar_edges": f"""with {_V}, {_BUNDLE}, {sql.dense('b', 'bu', 1024)}, bl as (select id, list(value order by bucket) as x, list(bucket order by bucket) as places, sqrt(sum(value * value)) as z from bv group by id),
-dv as (select id, list_transform(range(1024), lambda i: coalesce(x[nullif(list_position(places, i), 0)], 0.0)) as v, z from bl), kd as (select docs.id, keywords, v, z from docs left join dv using (id)),
-w as (select a.id as x, b.id as y, round(0.72 * coalesce(list_inner_product(a.v, b.v) / (a.z * b.z), 0.0) + 0.28 * {_overlap('a.keywords', 'b.keywords')}, 6) as s from kd a join kd b on a.id <> b.id),
-r as (select *, row_number() over (partition by x order by s desc, y) as r from w where s >= 0.33) select cast(x as varchar) as source_id, cast(y as varchar) as target_id, 'similar' as edge_type, round(s, 4) as weight from r where r <= 4""",
+    "similar_edges": f"""with {_V}, {_VECTORS},
+w as (select x, y, round(0.72 * cos + 0.28 * keys, 6) as s from pr), r as (select *, row_number() over (partition by x order by s desc, y) as r from w where s >= 0.33)
+select cast(x as varchar) as source_id, cast(y as varchar) as target_id, 'similar' as edge_type, round(s, 4) as weight from r where r <= 4""",
+    "semantic_edges": f"""with {_V}, {_VECTORS},
+w as (select 'references' as kind, 8 as most, x, y, 0.55 * keys + 0.45 * cos + least(citations / 300.0, 0.2) as raw from pr where year <= x_year
+ union all select 'author_affinity', 4, x, y, 0.55 * people + case when house then 0.18 else 0 end + 0.17 * keys + 0.1 * cos from pr
+ union all select 'topic_bridge', 4, x, y, 0.42 * keys + 0.3 * title + 0.22 * cos + case when place then 0.06 else 0 end from pr where keys > 0 or title > 0 or cos >= 0.46),
+k as (select *, round(raw + 1e-9, 4) as weight from w), r as (select *, row_number() over (partition by kind, x order by weight desc, y) as r from k where case kind when 'references' then raw > 0.18 + 1e-9 when 'author_affinity' then raw > 0.2 + 1e-9 else weight >= 0.22 end),
+o as (select cast(x as varchar) as source_id, cast(y as varchar) as target_id, kind as edge_type, weight from r where r <= most) select * from o union all select target_id, source_id, 'cited_by', weight from o where edge_type = 'references'""",
     "result_edges": f"""with {_V}, {_BUNDLE}, {sql.sparse20('b', 'bu')}, {_BM_SPARSE}, tp as (select id, round(bm25, 6) as score, row_number() over (order by round(bm25, 6) desc, id) as r from bm)
 select (select cast(id as varchar) from tp where r = 1) as source_id, cast(id as varchar) as target_id, 'similar' as edge_type, score as weight from tp where r between 2 and 20""",
     "section_health": f"""with {_STAR}, {_traversal(8)}, b as (select edge_type as section, least(count(*), 8) as entries from e where source_id = 'n:7' group by all union all select 'paths', count(*) from tv where hops = 2),

@@ -160,3 +160,33 @@ def test_a_lexicon_adds_to_vectors_and_terms(spark, tmp_path):
     assert other.refresh(data).changed == 3  # another lexicon changes every document
     bare = {r.id: r for r in document_index.query_parts(other.documents(), "배터리", ["배터리"], 256, None).collect()}
     assert bare["en"].bm25 == 0
+
+
+def test_best_pairs_over_blocks_are_those_of_all_pairs(spark):
+    import math
+
+    from quillgrid.operators import vector_search
+
+    r = np.random.default_rng(3)
+    rows = [(i, None if i % 17 == 0 else [0.0] * 5 if i % 13 == 0 else r.normal(size=5).round(1).tolist(), None if i % 7 == 0 else [["a", "B", "b", "c", "hot"][k] for k in r.integers(0, 5, 3)] + ["hot"], None if i % 11 == 0 else int(i % 4)) for i in range(80)]
+    rows += [(200, rows[1][1], rows[1][2], 1), (201, rows[1][1], rows[1][2], 1), (None, rows[1][1], ["a"], 2)]
+    data = spark.createDataFrame(rows, "id long, vector array<double>, tags array<string>, year int")
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / (math.hypot(*a) * math.hypot(*b) or 1)
+    want = set()
+    for i, v, tags, year in rows:
+        if i is None or v is None:
+            continue
+        found = []
+        for j, w, others, late in rows:
+            if j is None or w is None or i == j or year is None or late is None or late > year:
+                continue
+            a, b = {t.lower() for t in tags or []}, {t.lower() for t in others or []}
+            score = round(0.7 * cosine(v, w) + 0.3 * (len(a & b) / max(len(a), len(b)) if a and b else 0), 6)
+            if score >= 0.2:
+                found.append((-score, j))
+        want |= {(i, j, -s) for s, j in sorted(found)[:3]}
+    rate = lambda a, b: np.where(b.values["year"][None] <= a.values["year"][:, None], 0.7 * a.cosine(b) + 0.3 * a.overlap(b, "tags"), -np.inf)
+    for size in (7, 500):
+        got = vector_search.best_pairs(data, data, 3, rate, least=0.2, sets=("tags",), values=("year",), rows=size)
+        assert {(x.source_id, x.target_id, round(x.score, 6)) for x in got.collect()} == want
+    assert vector_search.best_pairs(data.limit(0), data.limit(0), 3, rate, sets=("tags",), values=("year",)).count() == 0

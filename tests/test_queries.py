@@ -45,7 +45,7 @@ def test_query_without_sql_runs(spark, sf_dir, name):
 
 
 def test_no_query_plans_a_cartesian_product(spark, sf_dir):
-    for name in ("similar_titles", "reference_edges", "topic_edges", "two_hop_paths", "library_view", "sparse_overlap", "knn_edges", "similar_edges", "citation_neighbourhood", "detail_pages", "lexicon_expansion", "canonical_merge", "ordered_merge", "stored_documents"):
+    for name in ("similar_titles", "reference_edges", "topic_edges", "two_hop_paths", "library_view", "sparse_overlap", "knn_edges", "similar_edges", "semantic_edges", "citation_neighbourhood", "detail_pages", "lexicon_expansion", "canonical_merge", "ordered_merge", "stored_documents"):
         plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 

@@ -243,7 +243,8 @@ def result_edges(results: DataFrame) -> DataFrame:
     return rest.join(F.broadcast(top), F.lit(True)).select("source_id", "target_id", F.lit("similar").alias("edge_type"), "weight")
 
 
-#: Documents of either side of a heuristic neighbourhood, and the weights of their edges.
+#: Documents of either side of a heuristic neighbourhood, the weights of their edges, and the cosine from which documents match without a common word.
+MATCH = 0.32
 NEIGHBOURS, SIDES = 8, {"references": 0.62, "citations": 0.58}
 
 
@@ -274,3 +275,21 @@ def heuristic_neighbourhood(papers: DataFrame, docs: DataFrame, most: int = NEIG
         found = found.withColumn("rank", rank).where(F.col("rank") <= most).select("p_id", F.lit(side).alias("side"), "rank", "id", F.lit(SIDES[side]).alias("weight"))
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def semantic_neighbourhood(docs: DataFrame, most: int = NEIGHBOURS) -> DataFrame:
+    """heuristic_neighbourhood() of all documents that have a vector, where a cosine of MATCH matches as a common word does: documents meet in blocks."""
+    words = tx.unique_tokens(F.concat_ws(" ", "title", F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " ")))
+    facts = docs.select("id", "vector", words.alias("words"), F.coalesce("citations", F.lit(0)).alias("cited"), F.coalesce("year", F.lit(0)).alias("y"), F.coalesce("year", F.lit(2**31 - 1)).alias("until"))
+    out = None
+    for side in SIDES:
+
+        def rate(a: vector_search.Block, b: vector_search.Block, side: str = side) -> np.ndarray:
+            late = b.values["y"][None] <= a.values["until"][:, None] if side == "references" else b.values["y"][None] >= a.values["y"][:, None]
+            return np.where(late & ((a.shared(b, "words") > 0) | (a.cosine(b) >= MATCH)), b.values["cited"][None], -np.inf)
+
+        near = vector_search.best_pairs(facts, facts, most, rate, sets=("words",), values=("cited", "y", "until"), rows=ROWS)
+        rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "target_id"))
+        one = near.select(F.col("source_id").alias("p_id"), F.lit(side).alias("side"), rank.alias("rank"), F.col("target_id").alias("id"), F.lit(SIDES[side]).alias("weight"))
+        out = one if out is None else out.unionByName(one)
+    return out

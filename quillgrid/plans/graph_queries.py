@@ -83,6 +83,12 @@ def citation_neighbourhood(spark, d):
     return graph.heuristic_neighbourhood(docs, docs)
 
 
+def semantic_neighbourhood(spark, d):
+    from quillgrid.plans.retrieval import indexed
+
+    return graph.semantic_neighbourhood(documents_view(spark, d).join(indexed(spark, d).documents().select("id", "vector"), "id"))
+
+
 def detail_pages(spark, d):
     """Pages of all documents. Stored references lead from each labelled document to the next of its quality; documents without such get heuristic ones."""
     docs = documents_view(spark, d)
@@ -137,7 +143,7 @@ def result_edges(spark, d):
     return graph.result_edges(top.select("rank", F.col("doc_id").alias("id"), "score"))
 
 
-QUERIES = {f.__name__: f for f in (star_edges, similar_edges, semantic_edges, author_edges, reference_edges, affinity_edges, topic_edges, edge_scan, neighbourhood, two_hop_paths, traversal, distinct_edges, citation_neighbourhood, detail_pages, stored_facts, stored_documents, ordered_merge, result_edges)}
+QUERIES = {f.__name__: f for f in (star_edges, similar_edges, semantic_edges, author_edges, reference_edges, affinity_edges, topic_edges, edge_scan, neighbourhood, two_hop_paths, traversal, distinct_edges, citation_neighbourhood, semantic_neighbourhood, detail_pages, stored_facts, stored_documents, ordered_merge, result_edges)}
 
 _STAR = """e as (select 'c:' || c_custkey as source_id, 'n:' || c_nationkey as target_id, 'similar' as edge_type, (c_custkey % 10 + 1) / 10.0 as weight from customer
  union all select 's:' || s_suppkey, 'n:' || s_nationkey, 'references', (s_suppkey % 10 + 1) / 10.0 from supplier union all select 'n:' || n_nationkey, 'r:' || n_regionkey, 'topic_bridge', (n_nationkey % 10 + 1) / 10.0 from nation)"""
@@ -183,6 +189,10 @@ tv as (select * from u order by weight desc, hops, via, target limit {most})"""
 
 ORACLES = {
     "citation_neighbourhood": f"with {_V}, {_NEAR} select p_id, side, rank, id, cast(weight as double) as weight from r where rank <= 8",
+    "semantic_neighbourhood": f"""with {_V}, {_VECTORS}, tw as (select id, list_distinct({sql.tokens("concat_ws(' ', title, array_to_string(keywords, ' '))")}) as ws from docs),
+m as (select x as p_id, y as id, x_year, year, citations from pr join tw a on a.id = x join tw b on b.id = y where list_has_any(a.ws, b.ws) or cos >= 0.32),
+s as (select p_id, 'references' as side, id, citations, 0.62 as weight from m where year <= x_year union all select p_id, 'citations', id, citations, 0.58 from m where year >= x_year),
+r as (select *, cast(row_number() over (partition by p_id, side order by citations desc, id) as int) as rank from s) select p_id, side, rank, id, cast(weight as double) as weight from r where rank <= 8""",
     "detail_pages": f"""with {_V}, {_NEAR}, lm as (select doc_id, max(quality) as quality from labels group by doc_id), le as (select doc_id as p_id, lead(doc_id) over (partition by quality order by doc_id) as id from lm),
 ls as (select p_id, 'references' as side, 1 as rank, id, true as kept from le where id is not null union all select p_id, side, rank, id, false from r where rank <= 8 and not (side = 'references' and p_id in (select p_id from le where id is not null))),
 pg as (select p_id as id, coalesce(list(id order by rank) filter (where side = 'references'), []) as refs, coalesce(list(id order by rank) filter (where side = 'citations'), []) as cits, coalesce(bool_or(kept) filter (where side = 'references'), false) as rs from ls group by p_id),

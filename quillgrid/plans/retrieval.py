@@ -258,6 +258,13 @@ def recommend_full(spark, d):
     return recommend.full(papers, docs, graph.affinity_edges(docs, papers), 5, ["thinor"], ["src3"], "domestic")
 
 
+def recommend_matching(spark, d):
+    """The heuristic recommender with documents that match by their stored vectors too."""
+    papers, docs = _papers(spark, d)
+    vectors = indexed(spark, d).documents().select("id", "vector")
+    return recommend.heuristic(papers.join(vectors, "id"), docs.join(vectors, "id"), 5, ["src3"])
+
+
 def recommend_semantic(spark, d):
     """All signals: the cosines of stored vectors and the 32 nearest of each paper too."""
     from quillgrid.operators import graph
@@ -302,7 +309,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_index, passage_index, index_refresh, lexicon_expansion, bm25_topk, sparse_overlap, cosine_topk, knn_edges, min_distance_per_doc, vector_fit, vector_mean, similar_titles, canonical_merge, leader_clusters, hybrid_score, search_rows, search_cascade, detail_rows, index_sanitized, search_relevance, search_latest, search_citation,
-        evidence_flags, filter_and_prefer, profile_boost, rerank_heuristic, rerank_service, supplemented_results, recommend_heuristic, recommend_full, recommend_semantic, recommend_feed, similarity_report, section_compare, input_confidence,
+        evidence_flags, filter_and_prefer, profile_boost, rerank_heuristic, rerank_service, supplemented_results, recommend_heuristic, recommend_full, recommend_matching, recommend_semantic, recommend_feed, similarity_report, section_compare, input_confidence,
     )
 }
 
@@ -496,6 +503,10 @@ u as (select id, false as supplemental, total from p union all select id, true,
  + case when contains(lower(concat_ws(' ', title, array_to_string(dk, ' '))), 'thinor') then 0.03 else 0 end + case when ae.x is not null then 0.09 else 0 end + least(len(list_intersect(pw, dw)), 3) * 0.012 + case when pr.source = 'src3' then 0.08 else 0 end
  + case when region = 'domestic' then 0.04 else 0 end + greatest(0, (year - 2021) * 0.01) - case when pr.source = p_source then 0.04 else 0 end), 2) as score from pr left join ae on ae.x = p_id and ae.y = pr.id),
 r as (select *, cast(row_number() over (partition by p_id order by score desc, id) as int) as rank from f) select p_id, id, score, rank from r where rank <= 5""",
+    "recommend_matching": f"""with {_V}, {_PAPERS}, {_PAIRS}, {_BUNDLE}, {sql.dense('b', 'bu', 1024)}, bl as (select id, list(value order by bucket) as x, list(bucket order by bucket) as places, sqrt(sum(value * value)) as z from bv group by id),
+dv as (select id, list_transform(range(1024), lambda i: coalesce(x[nullif(list_position(places, i), 0)], 0.0)) as v, z from bl),
+he as (select p_id, pr.id, round(len(list_intersect(pk, dk)) * 14 + least(citations, 120) * 0.18 + case when region = p_region then 4 else 0 end + case when source = 'src3' then 6 else 0 end + greatest(0, year - 2020), 2) as score from pr left join dv a on a.id = p_id left join dv b on b.id = pr.id
+ where len(list_intersect(pk, dk)) > 0 or len(list_intersect(pw, dw)) > 0 or coalesce(list_inner_product(a.v, b.v) / (a.z * b.z), 0.0) >= 0.32), hr as (select *, cast(row_number() over (partition by p_id order by score desc, id) as int) as rank from he) select p_id, id, score, rank from hr where rank <= 5""",
     "recommend_semantic": f"""with {_V}, {_PAPERS}, {_PAIRS}, {_AFFINITY}, {_BUNDLE}, {sql.dense('b', 'bu', 1024)}, bl as (select id, list(value order by bucket) as x, list(bucket order by bucket) as places, sqrt(sum(value * value)) as z from bv group by id),
 dv as (select id, list_transform(range(1024), lambda i: coalesce(x[nullif(list_position(places, i), 0)], 0.0)) as v, z from bl),
 cp as (select ids.id as p_id, docs.id, coalesce(list_inner_product(a.v, b.v) / (a.z * b.z), 0.0) as cos from ids join docs on ids.id <> docs.id left join dv a on a.id = ids.id left join dv b on b.id = docs.id),

@@ -11,7 +11,7 @@ from quillgrid.llm import quality
 
 def test_every_operator_is_registered():
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} <= {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} <= {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
 
 

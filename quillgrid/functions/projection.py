@@ -130,12 +130,15 @@ def dense_vectors(normals: list[str], dims: int, expand: Expand | None = None) -
             spread("char:", every, begin, np.full(total, n), CHAR, mine)
     full = np.flatnonzero([bool(n) for n in normals])
     spread("full:", every, offset[full], sizes[full], FULL, full)
-    whole = [i for i in full if normals[i] not in tokens[i]]
+    whole = [i for i in full if " " in normals[i] or normals[i] not in tokens[i]]
     if whole:
         raw = [units(normals[i]) for i in whole]
         long = np.array([len(r) for r in raw], np.int64)
         spread("sem:", np.concatenate(raw), np.cumsum(long) - long, long, np.array([WHOLE_PHRASE if " " in normals[i] else WHOLE_WORD for i in whole]), np.array(whole))
-    more = [(i, t) for i in full for t in (expand([normals[i], *tokens[i]]) if expand else ()) if t != normals[i] and t not in tokens[i]]
+    more = []
+    for i in full if expand else ():
+        own = {normals[i], *tokens[i]}
+        more += [(i, t) for t in expand([normals[i], *tokens[i]]) if t not in own]
     if more:
         raw = [units(t) for _, t in more]
         long = np.array([len(r) for r in raw], np.int64)

@@ -2,8 +2,8 @@
 
 A document row holds the vector and the sparse terms of the text that represents the
 document in searches, those of its passages together (their vectors' weighted mean),
-hashes of its words, and its title. A passage row holds the vector of title and passage,
-and the passage's terms. Vectors are whole millionths, so what is stored is what was
+hashes of its words, and its title. A passage row holds its text and the vector of title
+and passage. Vectors are whole millionths, so what is stored is what was
 rounded; a term is its 64-bit hash, and its weight counts twentieths.
 
 The table is plain Parquet, partitioned by level (document, passage) and part, a hash of
@@ -46,7 +46,7 @@ MEAN_SIZE, SIZE = 320, 360
 #: Those whose words an input can share.
 SHARED = ("title", "englishTitle", "abstract", "summary", "keywords", "methods")
 #: Version of the layout, dimensions, partitions of a level, and texts and characters that are hashed together.
-LAYOUT, DIMS, PARTS, TEXTS, CHARS = 2, 1024, 16, 512, 400_000
+LAYOUT, DIMS, PARTS, TEXTS, CHARS = 3, 1024, 16, 512, 400_000
 MICRO = 1_000_000
 #: XXH64 with Spark's own seed, so that both sides name a term alike.
 SEED = 42
@@ -133,7 +133,7 @@ class _Hasher:
     """Rows of the index for prepared rows; the vectors of several documents' texts are made together."""
 
     def __init__(self, dims: int, version: int, names: list[str], lexicon: Lexicon | None):
-        self.dims, self.version, self.names, self.expand = dims, version, names, lexicon.expand if lexicon else None
+        self.dims, self.version, self.names, self.expand = dims, version, names, lexicon.expand_normal if lexicon else None
 
     def _vectors(self, texts: list[str]) -> np.ndarray:
         out = [projection.dense_vectors(texts[k : k + TEXTS], self.dims, self.expand) for k in range(0, len(texts), TEXTS)]
@@ -158,8 +158,7 @@ class _Hasher:
             year = d["year"]
             out.append(base | {"ord": 0, "fingerprint": d["fingerprint"], "title": d["title"], "year": None if year is None or year != year else int(year), "vector": micro(bundle), "keys": keys, "weights": w, "total": int(w.sum()), "body_vector": micro(v), "body_keys": own, "body_weights": ow, "body_total": int(ow.sum()), "words": np.sort(said), "methods": np.sort(done), "level": "document"})
             for k, (label, p) in enumerate(many):
-                keys, w = term_arrays(plain(p), self.expand)
-                out.append(base | {"ord": k + 1, "label": label, "passage": p, "vector": micro(titled[far + k]), "keys": keys, "weights": w, "total": int(w.sum()), "level": "passage"})
+                out.append(base | {"ord": k + 1, "label": label, "passage": p, "vector": micro(titled[far + k]), "level": "passage"})
             far += len(many)
         return out
 
@@ -225,8 +224,8 @@ class DocumentIndex:
         return self.rows().where("level = 'document'").drop("level", "part", "ord", "label", "passage", "version")
 
     def passages(self) -> DataFrame:
-        """id, ord, label, passage, vector, keys, weights, total."""
-        return self.rows().where("level = 'passage'").select("id", "ord", "label", "passage", "vector", "keys", "weights", "total")
+        """id, ord, label, passage, vector."""
+        return self.rows().where("level = 'passage'").select("id", "ord", "label", "passage", "vector")
 
     def changes(self, docs: DataFrame) -> DataFrame:
         """id, part, fingerprint (null: removed), kind and copies of the documents that differ from the index, and of same ones (kind same)."""
@@ -294,7 +293,7 @@ def query_parts(documents: DataFrame, text: str, terms: list[str], dims: int = D
     terms, bm25 that of the query's words with the sparse weights as frequencies. Terms are
     found inside each row.
     """
-    normal, expand = plain(text), lexicon.expand if lexicon else None
+    normal, expand = plain(text), lexicon.expand_normal if lexicon else None
     wanted = projection.sparse_terms(normal, expand)
     least = sum((F.least(F.lit(int(w)), _weight("keys", "weights", t)) for t, w in wanted.items()), F.lit(0))
     union = F.lit(int(wanted.total())) + F.col("total") - F.col("least")
@@ -315,6 +314,6 @@ def best_passages(passages: DataFrame, head: DataFrame, text: str, dims: int = D
 
     head holds a top-k's ids: few, so they are broadcast, and only their passages are compared.
     """
-    near = passages.join(F.broadcast(head.select("id")), "id", "left_semi").select("id", "ord", "label", cosine_with(projection.dense_vector(plain(text), dims, lexicon.expand if lexicon else None))("vector").alias("c"))
+    near = passages.join(F.broadcast(head.select("id")), "id", "left_semi").select("id", "ord", "label", cosine_with(projection.dense_vector(plain(text), dims, lexicon.expand_normal if lexicon else None))("vector").alias("c"))
     best = near.groupBy("id").agg(F.max("c").alias("c"), F.max_by("label", F.struct(F.round("c", 9), -F.col("ord"))).alias("label"))
     return best.select("id", F.greatest("c", F.lit(0.0)).alias("passage"), F.when(F.col("c") > 0, F.col("label")).otherwise("").alias("label"))

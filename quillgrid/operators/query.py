@@ -89,6 +89,7 @@ class Lexicon:
         self.blocked = frozenset(blocked)
         self.group_of: dict[str, list[str]] = {t: g for g in self.groups for t in g if t}
         self.place = {t: k for k, t in enumerate(self.group_of)}
+        self.joined = "\n".join(self.place)
         self._found: ahocorasick.Automaton | None = None
         if len(self.place) > self.MOST:
             raise ValueError(f"{len(self.place)} terms are too many for a lexicon that is sent to tasks")
@@ -121,15 +122,25 @@ class Lexicon:
 
     def expand(self, values: Iterable[str]) -> list[str]:
         """The normalised values, each followed by the groups of terms that it is, holds or is held by."""
+        return self.expand_normal(map(normalize, values))
+
+    def expand_normal(self, values: Iterable[str]) -> list[str]:
+        """The same of values that are normalised already."""
         def expandable(term: str, least: int) -> bool:
             return term not in self.blocked and (" " in term or (re.search("[가-힣]", term) is not None and len(term) >= 2) or len(term) >= least)
 
+        values = [v for v in values if v]
+        text = "\n".join(values)
+        ko = re.search("[가-힣]", text) is not None
+        # Most texts touch no term at all.
+        if not self._inside(text) and not any(v in self.joined for v in values if ko or len(v) >= 10 or " " in v):
+            return unique(values)
         out: list[str] = []
-        for value in map(normalize, values):
+        for value in values:
             if value:
                 out.append(value)
                 terms = {t for t in self._inside(value) if t == value or expandable(t, 4)}
-                if expandable(value, 10):
+                if value in self.joined and expandable(value, 10):
                     terms |= {t for t in self.place if value in t}
                 for t in sorted(terms, key=self.place.__getitem__):
                     out += self.group_of[t]

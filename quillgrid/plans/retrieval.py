@@ -27,8 +27,8 @@ def _terms(spark, d):
 
 
 def indexed(spark, d) -> DocumentIndex:
-    """The stored index of the documents view, brought up to date. Queries over the same tables share it."""
-    path = shared_path(spark, f"document-index-{LAYOUT}-{hashlib.md5(d.encode()).hexdigest()}")
+    """The stored index of the documents view, brought up to date. Queries of one application over the same tables share it; an index has one writer."""
+    path = shared_path(spark, f"document-index-{LAYOUT}-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()}")
     index = DocumentIndex(spark, path)
     index.refresh(documents_view(spark, d))
     return index
@@ -48,7 +48,7 @@ def document_index(spark, d):
 
 def passage_index(spark, d):
     """Every passage's row of the stored index."""
-    return indexed(spark, d).passages().select("id", "ord", "label", F.md5("passage").alias("passage_md5"), F.size("keys").alias("n_terms"), "total", _moment("vector").alias("moment"))
+    return indexed(spark, d).passages().select("id", "ord", "label", F.md5("passage").alias("passage_md5"), _moment("vector").alias("moment"))
 
 
 def index_refresh(spark, d):
@@ -451,9 +451,8 @@ ORACLES = {
 m1 as ({_MOMENT('wv')}), m2 as ({_MOMENT('bv')})
 select bw.id, coalesce(t1.t, 0)::bigint as total, coalesce(t2.t, 0)::bigint as body_total, coalesce(t1.n, 0)::int as n_terms, coalesce(t2.n, 0)::int as n_body_terms, len(words)::int as n_words, len(methods)::int as n_methods, coalesce(m1.m, 0) as moment, coalesce(m2.m, 0) as body_moment, md5(title) as title_md5, year
 from bw left join t1 using (id) left join t2 using (id) left join m1 using (id) left join m2 using (id)""",
-    "passage_index": f"""with {_V}, {_texts('sx', 'docs')}, {sql.passages('sp', 'sx', 360)}, wx as (select sp.id || '-' || ord as id, {sql.norm("title || chr(10) || passage")} as n from sp join docs using (id)), ux as (select id || '-' || ord as id, {sql.norm('passage')} as n from sp),
-{sql.dense('w', 'wx', 1024)}, {sql.sparse20('u', 'ux')}, t1 as (select id, sum(w) as t, count(*) as n from us group by id), m1 as ({_MOMENT('wv')})
-select sp.id, ord, label, md5(passage) as passage_md5, coalesce(t1.n, 0)::int as n_terms, coalesce(t1.t, 0)::bigint as total, coalesce(m1.m, 0) as moment from sp left join t1 on t1.id = sp.id || '-' || ord left join m1 on m1.id = sp.id || '-' || ord""",
+    "passage_index": f"""with {_V}, {_texts('sx', 'docs')}, {sql.passages('sp', 'sx', 360)}, wx as (select sp.id || '-' || ord as id, {sql.norm("title || chr(10) || passage")} as n from sp join docs using (id)),
+{sql.dense('w', 'wx', 1024)}, m1 as ({_MOMENT('wv')}) select sp.id, ord, label, md5(passage) as passage_md5, coalesce(m1.m, 0) as moment from sp left join m1 on m1.id = sp.id || '-' || ord""",
     "index_refresh": """with m as (select d.doc_id, max(toxic) as toxic, min(quality) as quality from documents d left join labels l using (doc_id) group by all), n as (select count(*) as n, count(*) filter (where toxic = 1) as gone, count(*) filter (where quality = 0 and toxic = 0) as new from m)
 select * from (select 1 as step, n as added, 0 as changed, 0 as removed, 0 as same from n union all select 2, 0, 0, 0, n from n union all select 3, 0, new, gone, n - gone - new from n union all select 4, 0, 0, 0, n - gone from n)""",
     "bm25_topk": f"with {DOCUMENTS_VIEW_SQL}, {_BUNDLE}, {sql.sparse20('b', 'bu')}, {_BM_SPARSE} select id as doc_id, round(bm25, 6) as score from bm order by score desc, doc_id limit {TOP}",

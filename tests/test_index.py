@@ -30,7 +30,7 @@ def files(index):
 
 
 def contents(index):
-    return sorted((r.id, r.ord, r.label, r.passage, r.fingerprint, list(r.vector), list(r["keys"]), r.total, r.body_vector and list(r.body_vector)) for r in index.rows().collect())
+    return sorted((r.id, r.ord, r.label, r.passage, r.fingerprint, list(r.vector), r["keys"] and list(r["keys"]), r.total, r.body_vector and list(r.body_vector)) for r in index.rows().collect())
 
 
 def test_refresh_touches_what_changed(spark, index, tmp_path):

@@ -13,6 +13,11 @@ DECIMALS = {"lexical": 2, "dense": 4, "sparse": 4, "bm25": 4, "title_coverage":
 SORTS = {"latest": "newest", "citation": "most cited"}
 
 
+def rounded(c: Column, decimals: int) -> Column:
+    """c to so many decimals, of the halves of its binary value: F.round() rounds what it prints as, so 7.975, which is less, would go up."""
+    return F.round(c * 10**decimals) / 10**decimals
+
+
 def kind_of(type: Column) -> Column:
     """A known type, else paper."""
     return F.when(type.isin(*TYPES), type).otherwise("paper")
@@ -28,11 +33,11 @@ def search_rows(found: DataFrame, sort: str = "relevance") -> DataFrame:
     """Scored documents as search results: rank, id, score, parts rounded to DECIMALS, match, and the document's own columns. found is a page of results: a single task ranks it."""
     have = found.columns
     ranked = found.withColumn("match", scoring.match_sort_score(found)).withColumn("rank", F.row_number().over(Window.orderBy(*scoring._keys(sort), F.asc("id"))))
-    parts = [F.round(F.coalesce(F.col(n), F.lit(0.0)), d).alias(n) if n in have else F.lit(0.0).alias(n) for n, d in DECIMALS.items()]
+    parts = [rounded(F.coalesce(F.col(n), F.lit(0.0)), d).alias(n) if n in have else F.lit(0.0).alias(n) for n, d in DECIMALS.items()]
     own = [F.col(c) for c in ("title", "year", "region", "source", "citations", "organization") if c in have]
     sources = F.col("alternateSources") if "alternateSources" in have else F.array("source")
     language = F.col("language") if "language" in have else F.lit("")
-    return ranked.select("rank", "id", F.round("total", 2).alias("score"), *parts, "match", kind_of(F.col("type")).alias("type"), *own, F.coalesce(language, F.lit("")).alias("language"), F.upper(F.coalesce(language, F.lit(""))).alias("language_label"), origin(F.col("region"), language).alias("country"), sources.alias("sources"))
+    return ranked.select("rank", "id", rounded(F.col("total"), 2).alias("score"), *parts, "match", kind_of(F.col("type")).alias("type"), *own, F.coalesce(language, F.lit("")).alias("language"), F.upper(F.coalesce(language, F.lit(""))).alias("language_label"), origin(F.col("region"), language).alias("country"), sources.alias("sources"))
 
 
 def detail_rows(docs: DataFrame) -> DataFrame:

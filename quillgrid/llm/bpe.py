@@ -174,6 +174,22 @@ class MergeAutomaton:
         return path[::-1]
 
 
+class RunSizes(dict):
+    """The number of ids of each run of a tokenizer, for the first MOST runs."""
+
+    MOST = 200_000
+
+    def __init__(self, tok: WordTokenizer):
+        self.tok = tok
+
+    def __missing__(self, run: bytes) -> int:
+        tok = self.tok
+        n = len((tok.runs_kept[0].get(run) or tok._kept(tok.runs_kept, run, tok._run)).split())
+        if len(self) < self.MOST:
+            self[run] = n
+        return n
+
+
 class WordTokenizer:
     """Normaliser, pre-splitter, automaton and decoder of a word BPE tokenizer file."""
 
@@ -193,6 +209,7 @@ class WordTokenizer:
         self.symbols = byte_symbols()
         self.words_kept: tuple[dict, dict] = {}, {}
         self.runs_kept: tuple[dict, dict] = {}, {}
+        self.run_sizes = RunSizes(self)
 
     def normalise(self, text: str) -> str:
         """NFC, runs of white space as one space, each character in lower case by itself."""
@@ -232,6 +249,13 @@ class WordTokenizer:
                 out += [kept(r) or self._kept(self.runs_kept, r, self._run) for r in self.normalise(part).encode().split()]
         return " ".join(filter(None, out))
 
+    def count_of(self, text: str) -> int:
+        """How many ids a text has: len(ids_of(text).split()), without the ids of runs whose number is known."""
+        n = 0
+        for part in self.at_special.split(text) if "<|" in text else [text]:
+            n += 1 if part in self.special else sum(map(self.run_sizes.__getitem__, self.normalise(part).encode().split()))
+        return n
+
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for i in self.ids_of(text or "").split()]
 

@@ -49,8 +49,7 @@ def versions() -> dict[str, str]:
 def counter(spec: str):
     """The number of tokens of a text."""
     if spec.endswith(".json"):
-        tok = WordTokenizer(spec)
-        return lambda text: len(tok.ids_of(text).split())
+        return WordTokenizer(spec).count_of
     if spec == WORD:  # bytes.split() splits at exactly the characters between words
         return lambda text: len(text.encode("utf-8", "surrogatepass").split())
     pattern = regex.compile(spec)

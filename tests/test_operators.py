@@ -92,6 +92,13 @@ def test_passages_sections_references():
     assert passages.extract_references(None) == []
 
 
+def test_all_references_of_a_list_are_extracted(spark):
+    text = "x\nReferences\n" + "\n".join(f"[{k}] Kim, A., Lee, B. {1980 + k}. A study of number{k} tables. J. Data." for k in range(1, 31))
+    assert [(t, y) for t, y, _ in passages.extract_references(text)] == [(f"A study of number{k} tables", str(1980 + k)) for k in range(1, 31)]
+    rows = passages.references(spark.createDataFrame([(1, text)], "id long, abstract string")).collect()
+    assert sorted(r.ord for r in rows) == list(range(1, 31))
+
+
 def test_duplicates_merge_as_a_sequential_scan(spark):
     r = random.Random(1)
     words = [f"word{i}" for i in range(12)]

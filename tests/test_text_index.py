@@ -5,7 +5,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quillgrid.operators.document_index import DocumentIndex, TextIndex, T
+from quillgrid.functions import projection
+from quillgrid.operators.document_index import DocumentIndex, TextIndex, T, key_of, plain, term_arrays
+from quillgrid.operators.query import LEXICON
 from quillgrid.plans import catalogue
 from quillgrid.schema import table
 
@@ -55,3 +57,27 @@ def test_a_search_keeps_less_than_the_texts(spark, sf_dir):
     catalogue.queries()["bm25_topk"](spark, sf_dir).collect()
     catalogue.queries()["document_index"](spark, sf_dir).count()
     assert size() - before < texts
+
+
+@pytest.mark.parametrize("lexicon", [None, LEXICON])
+def test_terms_of_questions_are_counted_as_in_all_terms_of_a_text(lexicon):
+    expand = lexicon.expand_normal if lexicon else None
+    texts = ["", "ab", "aaaa aaaa aaaa", "the tion and the tion and the", "漢字 한국어 한국어 x " * 9, "graph neural network graph", "one two three two three four two three", "🙂 a b cd"]
+    texts = [plain(t) for t in (*texts, *(" ".join(g) for g in (lexicon.groups if lexicon else ())))]
+    for question in texts:
+        asked = projection.Asked(question, ["the", "aaaa", "two", "none", "x"], expand)
+        keys, weights = term_arrays(question, expand)
+        for text in texts:
+            every = dict(zip(*(x.tolist() for x in term_arrays(text, expand)), strict=True))
+            tokens = projection.words(text)
+            held = projection.Held(text, tokens, expand if expand and projection.touched(tokens, expand) else None)
+            assert held.total == sum(every.values())
+            assert held.least(asked) == sum(min(w, every.get(k, 0)) for k, w in zip(keys.tolist(), weights.tolist(), strict=True))
+            assert [held.weight(t) for t in asked.wanted] == [every.get(key_of(t), 0) for t in asked.wanted]
+
+
+def test_edges_of_results_make_no_vectors(spark, sf_dir, monkeypatch):
+    asked = []
+    ask = TextIndex.ask
+    monkeypatch.setattr(TextIndex, "ask", lambda self, questions, dense=True: asked.append(dense) or ask(self, questions, dense))
+    assert catalogue.queries()["result_edges"](spark, sf_dir).count() and asked == [False]
